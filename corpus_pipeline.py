@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarrysift.llm import exact_dedup, mixing, quality_rules
+from quarrysift.llm import exact_dedup, mixing, near_dedup, packing, quality_rules, tokens
 from quarrysift.llm._common import Scratch, table
 
 
@@ -23,7 +24,21 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("quality_rules", quality), ("exact_dedup", copies), ("mixing", mix)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: five words, a similarity of 0.8 or more."""
+    return near_dedup.drop_near_copies(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in sequences of 4096 tokens."""
+    import public_tokenizers
+
+    pieces = tokens.tokenize_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    pieces = Scratch(spark).keep(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
+    return packing.best_fit_pack(pieces)
+
+
+STAGES = [("quality_rules", quality), ("exact_dedup", copies), ("near_dedup", near), ("mixing", mix), ("packing", pack)]
 #: MinHash and tokenizers can't be written in SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 

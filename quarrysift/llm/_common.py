@@ -38,7 +38,8 @@ def word_count(text: Column) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, GAP, -1), lambda w: w != "")
+    trimmed = F.btrim(text, F.lit(SPACES))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, GAP, -1))
 
 
 # ---- scratch tables -------------------------------------------------------------------------------------------------

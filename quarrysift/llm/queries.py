@@ -5,8 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrysift.llm import chat_format, exact_dedup, mixing, quality_rules
-from quarrysift.llm._common import table
+from quarrysift.llm import chat_format, exact_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, token_counts, tokens, toxicity, url_filter
+from quarrysift.llm._common import Scratch, table
+
+
+#: At most so many labelled documents are learned from, drawn by a hash of their id.
+SAMPLE = 12_000
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def _remainder(n: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = tokens.tokenize_pieces(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    pieces = Scratch(spark).keep(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
+    return packing.best_fit_pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,6 +34,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"), words=3, threshold_pct=85)
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -31,17 +55,47 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    sample = Scratch(spark).keep(toxicity.labelled_sample(docs, labels, "toxic", _remainder(3) != 1, SAMPLE), "sample")
+    scored = toxicity.score(docs, toxicity.train(sample))
+    return scored.select("doc_id", (_remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+#: The host rules of the query, longest match first to win.
+HOST_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [url_filter.host_rule(*r) for r in HOST_RULES] + url_filter.DEFAULT_RULES
+    judged = url_filter.url_filter(table(spark, sf_dir, "pages"), rules)
+    return judged.select("page_id", "host", "path", F.when(F.col("rank") == 1, F.col("rule")).alias("rule"), "verdict", F.when(F.col("rank") == 0, F.col("rule")).alias("pattern"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op4_chat_formatting, op6_exact_dedup, op9_quality_rules)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    sample = Scratch(spark).keep(toxicity.labelled_sample(docs, labels, "quality", _remainder(5) != 0, SAMPLE), "sample")
+    scored = quality_classifier.score(docs, quality_classifier.train(sample))
+    return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_mixing, op3_near_dedup, op4_chat_formatting, op5_token_counts, op6_exact_dedup, op7_toxicity, op8_url_filters, op9_quality_rules, op10_quality_classifier)}
 
 #: ASCII white space as a DuckDB pattern.
 _WS = r"[\x20\x09-\x0D]"
@@ -126,4 +180,19 @@ WITH d AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (line_chars - good_chars) * 100 <= line_chars * 50 AS kept FROM b
 """
 
-SQL = {"op2_mixing": OP2_SQL, "op4_chat_formatting": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op9_quality_rules": OP9_SQL}
+OP8_SQL = r"""
+WITH u AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages
+), r AS (
+  SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')) AS t(rhost, rpath, rverdict)
+), m AS (
+  SELECT u.*, (SELECT max_by(struct_pack(name := rhost || rpath, verdict := rverdict), length(rhost || rpath)) FROM r WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)) AS hit,
+         (SELECT w FROM (VALUES ('casino'), ('poker'), ('betting'), ('gambling'), ('viagra'), ('cialis'), ('porn'), ('xxx'), ('escort'), ('warez'), ('keygen'), ('torrent'), ('phishing'), ('malware')) AS t(w)
+          WHERE regexp_matches(host || path, '(?i)(^|[^a-z0-9])' || w || '([^a-z0-9]|$)') ORDER BY length(w) DESC, w DESC LIMIT 1) AS word FROM u
+)
+SELECT page_id, host, path, hit.name AS rule, CASE WHEN hit IS NOT NULL THEN hit.verdict WHEN word IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
+       CASE WHEN hit IS NULL THEN word END AS pattern FROM m
+"""
+
+SQL = {"op8_url_filters": OP8_SQL, "op2_mixing": OP2_SQL, "op4_chat_formatting": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op9_quality_rules": OP9_SQL}
