@@ -17,14 +17,18 @@ SENTENCE_END = "[.!?…:;]"
 def _line_fails(line: Column) -> Column:
     """Whether a line with a word breaks one of the rules."""
     n = F.regexp_count(line, F.lit(WORD))
-    letters = F.regexp_count(line, F.lit(r"\p{L}"))
+    chars = F.length(without_spaces(line))
+    low = F.lower(line)
+    boilerplate = F.lit(False)
+    for phrase in BOILERPLATE:
+        boilerplate = boilerplate | low.contains(phrase)
     navigation = F.regexp_count(line, F.lit(NAVIGATION))
     return (
         ((n >= 8) & ~line.rlike(SENTENCE_END))  # punctuation: a long line without any sentence end
         | ((navigation >= 3) & (navigation * 4 >= n))
         | (F.regexp_count(line, F.lit(f"[{SYMBOLS}]")) * 2 >= n)
-        | ((letters >= 20) & (F.regexp_count(line, F.lit(r"\p{Lu}")) * 2 >= letters))
-        | F.lower(line).rlike("|".join(BOILERPLATE))
+        | ((chars >= 20) & (F.regexp_count(line, F.lit(r"\p{Lu}")) * 2 >= chars))  # upper case
+        | boilerplate
     )
 
 
@@ -38,22 +42,32 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Returns id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_chars, line_chars,
     clean_text, kept, and payload as `row` if given. Null and empty texts: all counts 0, base_failed. Rows are independent:
-    repeated rows, null ids and extra columns don't matter. Equal windows are found by sorting (hash, window) pairs and
-    comparing the windows themselves, only in documents where some hash occurs twice.
+    repeated rows, null ids and extra columns don't matter. Windows of equal hash are compared word by word; should
+    unequal ones share a hash, the document's windows are sorted as text instead.
     """
     base = docs.select(F.col(id_col).alias("__id"), text_of(text_col).alias("__text"), *([payload.alias("__row")] if payload is not None else []))
     carry = ["__id", "__text", *(["__row"] if payload is not None else [])]
     c = F.col
     split = base.select(*carry, words_of(c("__text")).alias("__w"), F.filter(F.split("__text", "\n", -1), lambda x: x.rlike(WORD)).alias("__lines"))
     n = F.size("__w")
-    windows = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("__w", i), F.get("__w", i + 1), F.get("__w", i + 2)))).otherwise(F.array().cast("array<bigint>"))
+    word = lambda i: F.get("__w", i)
+    # Each window as one number: 40 bits of its hash, then its place. Sorted, equal windows are neighbours.
+    packed = F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.shiftleft(F.shiftright(F.xxhash64(word(i), word(i + 1), word(i + 2)), 24), 24).bitwiseOR(i.cast("long"))))
     first_lines = F.array_distinct("__lines")
-    hashed = split.select(*carry, "__w", "__lines", windows.alias("__h"), F.filter(first_lines, lambda x: ~_line_fails(x)).alias("__good"))
-    window = lambda i: F.concat_ws(" ", F.get("__w", i), F.get("__w", i + 1), F.get("__w", i + 2))
-    sorted_ = F.when(F.size(F.array_distinct("__h")) < F.size("__h"), F.array_sort(F.transform("__h", lambda h, i: F.struct(h.alias("h"), window(i).alias("g"), i.alias("i")))))
-    placed = hashed.select(*carry, "__w", "__lines", "__good", sorted_.alias("__s"))
-    same = lambda x, j: F.coalesce((F.get("__s", j)["h"] == x["h"]) & (F.get("__s", j)["g"] == x["g"]), F.lit(False))
-    repeated = F.transform(F.filter("__s", lambda x, j: same(x, j + 1) | same(x, j - 1)), lambda x: x["i"])
+    hashed = split.select(*carry, "__w", "__lines", F.when(n >= 3, packed).alias("__p"), F.filter(first_lines, lambda x: ~_line_fails(x)).alias("__good"))
+    hash_at = lambda of, j: F.shiftright(F.get(of, j), 24)
+    near = F.filter("__p", lambda x, j: F.coalesce(F.shiftright(x, 24) == hash_at("__p", j + 1), F.lit(False)) | F.coalesce(F.shiftright(x, 24) == hash_at("__p", j - 1), F.lit(False)))
+    placed = hashed.select(*carry, "__w", "__lines", "__good", near.alias("__c"))
+    place = lambda x: x.bitwiseAND(F.lit(2**24 - 1)).cast("int")
+    differ = lambda i, j: (word(i) != word(j)) | (word(i + 1) != word(j + 1)) | (word(i + 2) != word(j + 2))
+    clash = F.exists(F.transform("__c", lambda x, j: F.struct(x.alias("x"), F.get("__c", j + 1).alias("y"))), lambda p: (F.shiftright(p["x"], 24) == F.shiftright(p["y"], 24)) & differ(place(p["x"]), place(p["y"])))
+    placed = placed.select(*carry, "__w", "__lines", "__good", "__c", F.when(n >= 2**24, F.lit(True)).otherwise(F.coalesce(clash, F.lit(False))).alias("__clash"))
+    # Unequal windows of one hash, or too many places: sort the windows themselves.
+    window = lambda i: F.concat_ws(" ", word(i), word(i + 1), word(i + 2))
+    plain = F.when(F.col("__clash"), F.array_sort(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(window(i).alias("g"), i.alias("i")))))
+    placed = placed.select(*carry, "__w", "__lines", "__good", "__c", plain.alias("__s"))
+    same = lambda x, j: F.coalesce(F.get("__s", j)["g"] == x["g"], F.lit(False))
+    repeated = F.when(F.col("__s").isNull(), F.transform("__c", place)).otherwise(F.transform(F.filter("__s", lambda x, j: same(x, j + 1) | same(x, j - 1)), lambda x: x["i"]))
     chars = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
     symbols = c("__text")
     for s in SYMBOLS:

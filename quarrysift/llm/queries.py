@@ -149,7 +149,7 @@ _FAILS = r"""(
   (len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) >= 8 AND NOT regexp_matches(x, '[.!?…:;]'))
   OR (len(regexp_extract_all(x, '[|»›•]')) >= 3 AND len(regexp_extract_all(x, '[|»›•]')) * 4 >= len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')))
   OR len(regexp_extract_all(x, '[#*$%&|<>]')) * 2 >= len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))
-  OR (len(regexp_extract_all(x, '\p{L}')) >= 20 AND len(regexp_extract_all(x, '\p{Lu}')) * 2 >= len(regexp_extract_all(x, '\p{L}')))
+  OR (length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g')) >= 20 AND len(regexp_extract_all(x, '\p{Lu}')) * 2 >= length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g')))
   OR regexp_matches(lower(x), 'all rights reserved|cookie policy|privacy policy|terms of use|terms of service|enable javascript|click here|subscribe to our newsletter|lorem ipsum')
 )"""
 
