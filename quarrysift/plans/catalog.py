@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from quarrysift.plans import text_queries  # noqa: F401  registers its queries
+from quarrysift.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
