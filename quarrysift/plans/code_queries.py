@@ -239,3 +239,30 @@ def split_top_level(spark, d):
 @query("SELECT doc_id, unnest(['a', 'b']) AS function_name, unnest(['5-6', '8-10']) AS line_range, unnest(['', 'help']) AS docstring FROM documents")
 def extract_functions(spark, d):
     return C.extract_functions(table(spark, d, "documents").select("doc_id", F.expr(_MODULE).alias("code"))).select("doc_id", "function_name", "line_range", "docstring")
+
+
+def _flag(name: str, remainder: int) -> None:
+    QUERIES[name] = lambda spark, d: _programs(spark, d).where(F.col("f")[name]).select("doc_id")
+    SQL[name] = f"SELECT doc_id FROM documents WHERE doc_id % 4 = {remainder}"
+
+
+for _name, _remainder in (("has_if", 0), ("has_loop", 0), ("has_switch", 1)):
+    _flag(_name, _remainder)
+
+
+@query("SELECT doc_id FROM (SELECT doc_id, CASE WHEN doc_id % 4 < 2 THEN 6 ELSE 2 END AS n FROM documents) WHERE n + doc_id % 12 >= 10 AND doc_id % 4 < 2")
+def is_complex_enough(spark, d):
+    rows = table(spark, d, "documents").selectExpr("doc_id", f"{_LONG} AS code").withColumn("f", C.code_features(F.col("code")))
+    return rows.where(C.complex_enough(F.col("code"), F.col("f"))).select("doc_id")
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 5 WHEN 1 THEN 5 WHEN 2 THEN -1 ELSE 0 END AS complexity_v1 FROM documents")
+def complexity_score_v1(spark, d):
+    return _programs(spark, d).select("doc_id", "f.complexity_v1")
+
+
+@query(f"SELECT doc_id, {template('def f():{nl}x = {doc_id}{nl}{nl}y = 2{nl}z').replace('CAST(nl AS STRING)', 'chr(10)')} AS code FROM documents")
+def tx_remove_indent(spark, d):
+    """By the registry's name, as one of a request's rewrites; tx_forget_indent is the native form."""
+    code = F.expr(template("def f():\n    x = {doc_id}\n\n        y = 2\nz").replace("        y", "    y"))
+    return table(spark, d, "documents").select("doc_id", C.rewrite(code, ["remove_indent"])["code"].alias("code"))

@@ -478,3 +478,8 @@ def generate_specs(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", F.concat(F.col("doc_id").cast("string"), F.lit("x")).alias("code_hash"))
     stored = table(spark, d, "documents").where("doc_id % 3 = 0").select(F.concat(F.col("doc_id").cast("string"), F.lit("x")).alias("code_hash"), F.lit("full").alias("spec_type"), F.col("doc_id").alias("created_at"), F.col("source").alias("spec"))
     return cache.generate(docs, stored, StubSpecs(), "text", "full").select("doc_id", "origin", "spec")
+
+
+@query(f"SELECT doc_id, source, lang, first_seq FROM ({_DEDUP.format('doc_id')}) WHERE doc_id = w")
+def dedup_rows(spark, d):
+    return _dedup(spark, d, "first")

@@ -197,3 +197,33 @@ def execute_batch(spark, d):
     incremental.run_batches(_stream(spark, d), spark, f"{out}/index", f"{out}/log", f"{out}/checkpoint", "doc_id")
     log = spark.read.schema("batch_id long, status string, added long").json(f"{out}/log").where("status = 'completed'")
     return log.agg(F.count(F.lit(1)).alias("batches"), F.sum("added").alias("added"))
+
+
+def _repos(spark, d, most: int):
+    """Two small repositories in a local folder, made from documents, read by the data source."""
+    from pathlib import Path
+
+    from quarrysift.sources import repos
+
+    root = Path(tempfile.mkdtemp(prefix="quarrysift-repos-"))
+    atexit.register(shutil.rmtree, str(root), True)
+    for r in table(spark, d, "documents").where("doc_id < 12").select("doc_id", "lang").collect():  # twelve small files
+        path = root / f"r{r.doc_id % 2}" / ("tests" if r.doc_id % 3 == 0 else "src" if r.doc_id % 3 == 1 else "") / f"m{r.doc_id}.py"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(r.lang)
+    repos.register(spark)
+    return spark.read.format("repo_files").option("root", str(root)).option("repos", "r0,r1").option("max_files", str(most)).load()
+
+
+_REPO_FILE = "'r' || doc_id % 2 AS repo, CASE doc_id % 3 WHEN 0 THEN 'tests/' WHEN 1 THEN 'src/' ELSE '' END || 'm' || doc_id || '.py' AS file_path"
+
+
+@query(f"SELECT repo, file_path, code FROM (SELECT repo, file_path, code, row_number() OVER (PARTITION BY repo ORDER BY length(file_path) - length(replace(file_path, '/', '')), file_path) AS r FROM (SELECT {_REPO_FILE}, lang AS code FROM documents WHERE doc_id < 12)) WHERE r <= 4")
+def scan_repo_tree(spark, d):
+    return _repos(spark, d, 4).select("repo", "file_path", "code")
+
+
+@query(f"SELECT repo, file_path FROM (SELECT {_REPO_FILE} FROM documents WHERE doc_id < 12) WHERE NOT starts_with(file_path, 'tests/')")
+def scan_git_clone(spark, d):
+    """A cloned repository's files without tests and __init__."""
+    return records.without_tests(_repos(spark, d, 100), "file_path").select("repo", "file_path")

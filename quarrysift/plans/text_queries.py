@@ -342,3 +342,15 @@ def categorize_message(spark, d):
 @query(f"SELECT event_id, CASE category WHEN 'Verification' THEN 'Critical' WHEN 'Parser' THEN 'High' WHEN 'Name/Type Resolution' THEN 'High' WHEN 'Compilation' THEN 'High' WHEN 'Ghost/Spec Context' THEN 'Medium' WHEN 'Determinism' THEN 'Medium' ELSE 'Low' END AS severity FROM {CATEGORIZED}")
 def severity(spark, d):
     return table(spark, d, "events").select("event_id", X.severity(X.categorize_message(F.expr(MESSAGE))).alias("severity"))
+
+
+@query("SELECT doc_id, len(string_split(regexp_replace(text, '\\n$', ''), chr(10)))::BIGINT AS n, regexp_replace('  ' || substr(text, 1, 9) || ' ', '^\\s+|\\s+$', '', 'g') AS stripped, lower(substr(text, 1, 9)) AS low FROM documents")
+def splitlines(spark, d):
+    short = F.substring("text", 1, 9)
+    rows = table(spark, d, "documents")
+    return rows.select("doc_id", F.size(X.split_lines(F.col("text"))).cast("long").alias("n"), X.strip(F.concat(F.lit("  "), short, F.lit(" "))).alias("stripped"), F.lower(short).alias("low"))
+
+
+@query("SELECT event_id, round(value, 2) AS rounded, printf('%.1f%%', round(value, 1)) AS percent FROM events WHERE value IS NOT NULL")
+def rounding(spark, d):
+    return table(spark, d, "events").where("value IS NOT NULL").select("event_id", F.round("value", 2).alias("rounded"), F.format_string("%.1f%%", F.round("value", 1)).alias("percent"))

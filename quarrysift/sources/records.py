@@ -94,3 +94,8 @@ def skip_words(files: DataFrame, path: str = "relative_path", words: list[str] =
 def resume(files: DataFrame, done: DataFrame, on: str = "relative_path") -> DataFrame:
     """Files that an earlier run has not processed."""
     return files.join(done.select(on), on, "left_anti")
+
+
+def without_tests(files: DataFrame, path: str = "relative_path") -> DataFrame:
+    """Without test files, files of test folders, and __init__."""
+    return files.where(~F.col(path).rlike(r"(?i)(^|/)tests?/|(^|/)test_[^/]*$|_test\.py$|(^|/)__init__\.py$"))
