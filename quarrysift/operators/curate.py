@@ -55,18 +55,21 @@ def add_programs(index: DataFrame, df: DataFrame, hashed: Column, seq: str) -> D
     return index.unionByName(new.select(*index.columns))
 
 
-def with_index(df: DataFrame, seq: str, out: str = "index") -> DataFrame:
-    """A 1-based index in the order of seq. Rows are range-partitioned by seq and counted by partition; no single task sees all.
+def with_index(df: DataFrame, seq: str, out: str = "index", ties: tuple[str, ...] = ()) -> DataFrame:
+    """A 1-based index in the order of seq, then ties. Rows are numbered within ranges of seq, and ranges are summed in order.
 
-    The partition's rows before it come from counts of the partitions, one row each.
+    The ranges' bounds come from one sampling pass and are then constants (512 at most), so every use of a row sees the same
+    range; no task meets all rows. Nulls come first. Rows of one seq value share a range.
     """
-    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = df.repartitionByRange(parts, seq).withColumn("__p", F.spark_partition_id())
-    # A range is known by its least seq: rows are numbered within their range, ranges are summed in order.
-    counts = dealt.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    parts = min(512, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = df.select(seq).where(F.col(seq).isNotNull()).repartitionByRange(parts, seq)
+    bounds = sorted(r["b"] for r in dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.min(seq).alias("b")).collect())
+    place = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(seq))) if bounds else F.lit(0)
+    ranged = df.withColumn("__p", F.when(F.col(seq).isNull(), -1).otherwise(place))
+    counts = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    own = F.row_number().over(Window.partitionBy("__p").orderBy(seq))
-    return dealt.join(F.broadcast(before), "__p").withColumn(out, (own + F.col("__before")).cast("long")).drop("__p", "__before")
+    own = F.row_number().over(Window.partitionBy("__p").orderBy(seq, *ties))
+    return ranged.join(F.broadcast(before), "__p").withColumn(out, (own + F.col("__before")).cast("long")).drop("__p", "__before")
 
 
 def per_group_top(df: DataFrame, group: str, order: list[Column], most: int) -> DataFrame:

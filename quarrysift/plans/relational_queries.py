@@ -455,8 +455,8 @@ def export_session(spark, d):
 
 @query("SELECT event_id, event_type, row_number() OVER (ORDER BY ts, event_id) AS index FROM events WHERE user_id < 20")
 def build_from_cache(spark, d):
-    rows = table(spark, d, "events").where("user_id < 20").select("event_id", "event_type", F.struct("ts", "event_id").alias("o"))
-    return curate.with_index(rows, "o").drop("o")
+    rows = table(spark, d, "events").where("user_id < 20").select("event_id", "event_type", "ts")
+    return curate.with_index(rows, "ts", ties=("event_id",)).drop("ts")
 
 
 @query("SELECT user_id AS session_id, max(ts) AS created_at FROM events GROUP BY 1")
