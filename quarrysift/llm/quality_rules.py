@@ -32,7 +32,7 @@ def _line_fails(line: Column) -> Column:
     )
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, max_repeat_pct: int = 50, max_lost_pct: int = 50, payload: Column | None = None) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, max_repeat_pct: int = 50, max_lost_pct: int = 50, hash_bits: int = 40, payload: Column | None = None) -> DataFrame:
     """Measures of each document, the text that is left after line cleaning, and a verdict.
 
     Lines are cut at \\n. A line with a word goes if it repeats an earlier line or breaks a rule: eight words or more without
@@ -51,8 +51,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     split = base.select(*carry, words_of(c("__text")).alias("__w"), F.filter(F.split("__text", "\n", -1), lambda x: x.rlike(WORD)).alias("__lines"))
     n = F.size("__w")
     word = lambda i: F.get("__w", i)
-    # Each window as one number: 40 bits of its hash, then its place. Sorted, equal windows are neighbours.
-    packed = F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.shiftleft(F.shiftright(F.xxhash64(word(i), word(i + 1), word(i + 2)), 24), 24).bitwiseOR(i.cast("long"))))
+    # Each window as one number: bits of its hash, then its place. Sorted, equal windows are neighbours.
+    packed = F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.shiftleft(F.shiftright(F.xxhash64(word(i), word(i + 1), word(i + 2)), 64 - hash_bits), 24).bitwiseOR(i.cast("long"))))
     first_lines = F.array_distinct("__lines")
     hashed = split.select(*carry, "__w", "__lines", F.when(n >= 3, packed).alias("__p"), F.filter(first_lines, lambda x: ~_line_fails(x)).alias("__good"))
     hash_at = lambda of, j: F.shiftright(F.get(of, j), 24)

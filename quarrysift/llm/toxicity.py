@@ -100,7 +100,7 @@ class Scanner:
 
     def evidence(self, words: list[bytes]) -> tuple[float, list[tuple[int, int, float]]]:
         """The evidence and the significant segments (those that chance gives less than once in such a text)."""
-        segments, chance = self.segments(words), math.log(max(len(words), 1) * self.model.k)
+        segments, chance = self.segments(words), math.log(max(len(words) * self.model.k, 1.0))  # short texts aren't rare by being short
         significant = [s for s in segments if s[2] > chance]
         x = sum(s[2] - chance for s in significant) if significant else max((s[2] for s in segments), default=0.0) - chance
         return math.asinh(x), significant  # about its logarithm where it is large, so that long texts don't set the slope
