@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,44 +16,87 @@ from pyspark.sql import types as T
 
 from quarrysift.llm._common import bounded_batches, text_of
 
-#: Words that a worker remembers, and the longest that it does; beyond that words are encoded anew. Results don't depend on it.
-CACHE_WORDS, CACHE_BYTES = 400_000, 48
+#: Words, and pieces of words, that a worker remembers in each of two generations. Results don't depend on it.
+CACHE_WORDS, CACHE_PIECES, CACHE_BYTES = 250_000, 150_000, 48
+
+_LETTERS = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+#: Words of ASCII and Latin letters and signs: lower case goes letter by letter and no normal form changes them.
+_PLAIN = re.compile(rf"[!-~{_LETTERS}]+")
+#: How the tokenizer cuts such a word, in lower case.
+_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if printable, else the next from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 class WordEncoder:
     """Ids of whole texts by a tokenizer whose tokens never cross ASCII white space, as little-endian unsigned 32-bit bytes.
 
-    Such a tokenizer gives a text the ids of its words one after another, so each word is encoded once and remembered.
+    Such a tokenizer gives a text the ids of its words one after another, so each word is encoded once and remembered. A
+    plain word goes piece by piece to the tokenizer's model; any other through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        known, split = self.known, [t.split() for t in texts]  # bytes are split at ASCII white space only
-        missing = set()
-        for words in split:
-            missing.update(words)
-        missing -= known.keys()
-        if missing:
-            if len(known) + len(missing) > CACHE_WORDS:
-                known.clear()
-                missing = set().union(*split)
-            new = list(missing)
-            encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-            for i in range(0, len(new), 20_000):
-                part = new[i : i + 20_000]
-                for word, e in zip(part, encode([w.decode() for w in part], add_special_tokens=False)):
-                    known[word] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        if len(known) > CACHE_WORDS // 2:
-            for word in [w for w in missing if len(w) > CACHE_BYTES]:
-                del known[word]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.words, self.older_words, self.pieces, self.older_pieces = {}, {}, {}, {}
+        state = json.loads(self.tokenizer.to_str())
+        self.by_piece = state["normalizer"] == _KNOWN["normalizer"] and state["pre_tokenizer"] == _KNOWN["pre_tokenizer"]
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if not self.by_piece or b"<|" in word or not _PLAIN.fullmatch(text):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        out, text, pieces = b"", text.lower(), self.pieces
+        for piece in (text,) if word.isalpha() else _PIECES.findall(text):
+            ids = pieces.get(piece)
+            if ids is None:
+                ids = self.older_pieces.get(piece)
+                if ids is None:
+                    letters = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+                    ids = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+                if len(piece) <= CACHE_BYTES:
+                    pieces[piece] = ids
+            out += ids
         return out
 
+    def encode(self, text: bytes) -> bytes:
+        words, known = text.split(), self.words  # bytes are split at ASCII white space only
+        found = list(map(known.get, words))
+        if None in found:
+            older, make = self.older_words.get, self._word
+            for i, ids in enumerate(found):
+                if ids is None:
+                    word = words[i]
+                    found[i] = ids = known.get(word) or older(word) or make(word)
+                    if len(word) <= CACHE_BYTES:
+                        known[word] = ids
+            if len(known) > CACHE_WORDS:
+                self.words, self.older_words = {}, known
+            if len(self.pieces) > CACHE_PIECES:
+                self.pieces, self.older_pieces = {}, self.pieces
+        return b"".join(found)
+
+
+#: The normalizer and the cutting pattern that the piecewise way stands for.
+_KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of at most capacity tokens of each document's ids, with end_id after them.
@@ -73,15 +119,14 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096,
                 lengths = pa.array([len(b) // 4 for b in blobs], pa.int64())
                 return pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), lengths, pa.array(blobs, pa.binary())], names=[id_col, "piece", "start", "length", "ids"])
 
-            for first in range(0, len(texts), 256):
-                for row, whole in enumerate(encoder.encode(texts[first : first + 256]), first):
-                    whole += end
-                    for piece, at in enumerate(range(0, len(whole), most)):
-                        rows.append(row)
-                        pieces.append(piece)
-                        starts.append(at // 4)
-                        blobs.append(whole[at : at + most])
-                    held += len(whole)
+            for row, text in enumerate(texts):
+                whole = encoder.encode(text) + end
+                for piece, at in enumerate(range(0, len(whole), most)):
+                    rows.append(row)
+                    pieces.append(piece)
+                    starts.append(at // 4)
+                    blobs.append(whole[at : at + most])
+                held += len(whole)
                 if held > 8_000_000:
                     yield flush()
                     rows, pieces, starts, blobs, held = [], [], [], [], 0
