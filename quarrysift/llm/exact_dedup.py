@@ -52,11 +52,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The row with the longest original text (code points), then the smallest id, stays. Ids are integers. Returns id_col,
     keep_id, group_size, kept, digest. Null text counts as empty; an empty table gives no rows; a repeated id with an equal
-    text counts as that many members, all marked kept if the id is.
+    text counts as that many members, all marked kept if the id is. A row without id stays only where no row of its group
+    has one; keep_id is null then.
     """
     rows = _rows(docs, id_col, text_col, normalise, digest)
     texts, clashing, full = _groups(rows, Scratch(docs.sparkSession), salts)
-    out = [F.col("id").alias(id_col), "keep_id", "group_size", (F.col("id") == F.col("keep_id")).alias("kept"), "digest"]
+    out = [F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest"]
     light = rows.select("id", "digest")
     if clashing is None:
         return light.join(texts, "digest").select(*out)
@@ -73,11 +74,13 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts, clashing, full = _groups(rows, Scratch(docs.sparkSession), salts)
 
     def winners(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
-        met = rows.join(groups.select(*keys[:-1], F.col("keep_id").alias("id")), keys)
+        by_id = lambda df, c: df.withColumns({"__id": F.coalesce(c, F.lit(0)), "__null": F.isnull(c)})  # noqa: E731  null ids meet too
+        keys = [*keys, "__id", "__null"]
+        met = by_id(rows, F.col("id")).join(by_id(groups, F.col("keep_id")).select(*keys), keys)
         once = Window.partitionBy(*keys).orderBy(F.desc("chars"))
         return met.withColumn("__n", F.row_number().over(once)).where("__n = 1").select("row.*")
 
     if clashing is None:
-        return winners(rows.drop("norm"), texts, ["digest", "id"])
-    clear = winners(rows.join(clashing, "digest", "left_anti"), texts, ["digest", "id"])
-    return clear.unionByName(winners(rows.join(clashing, "digest", "left_semi"), full, ["digest", "norm", "id"]))
+        return winners(rows.drop("norm"), texts, ["digest"])
+    clear = winners(rows.join(clashing, "digest", "left_anti"), texts, ["digest"])
+    return clear.unionByName(winners(rows.join(clashing, "digest", "left_semi"), full, ["digest", "norm"]))

@@ -15,6 +15,7 @@ Links and components stay distributed throughout.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -138,14 +139,14 @@ class Verifier:
         return out
 
 
-def connected_components(links: DataFrame, scratch: Scratch, name: str, most_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(node, component) for every node of links (a, b): component is the smallest node reachable.
 
     Alternating large-star and small-star steps, each cut by a written table; only a count and a hash sum reach the driver.
     """
     edges = scratch.keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-0")
     state = None
-    for i in range(1, most_rounds + 1):
+    for i in itertools.count(1):
         # large-star: the larger neighbours of a node go to the smallest one of its neighbours and itself
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -156,7 +157,7 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str, most_rou
         step = scratch.keep(small, f"{name}-{i}")
         scratch.drop(f"{name}-{i - 1}")
         edges = step
-        now = tuple(step.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(2**40)))).first())
+        now = tuple(step.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break
         state = now
@@ -169,8 +170,9 @@ def near_dedup(docs: DataFrame, words: int = 5, threshold_pct: int = 80, rows: i
 
     A shingle is `words` words (runs of non-spaces, A-Z in lower case); a text of fewer words is one shingle, a text without
     words (null, empty) has none and is linked with nothing. miss bounds the probability that a pair at the threshold shares
-    no band, and of its being dropped by the posterior bound; links are confirmed on the full sets. Ids are integers and not
-    null; rows that repeat an id are one document, so their texts are linked. Returns id_col, n_shingles, component_id (the
+    no band, and of its being dropped by the posterior bound; links are confirmed on the full sets. Ids are integers; rows
+    that repeat an id are one document, so their texts are linked. A row without id is in the group of an equal set, where one
+    has an id, else in none (component_id null, kept). Returns id_col, n_shingles, component_id (the
     smallest id reachable), kept (id is component_id). Extra columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -245,10 +247,10 @@ def near_dedup(docs: DataFrame, words: int = 5, threshold_pct: int = 80, rows: i
     groups = connected_components(scratch.keep(links.unionByName(same), "links"), scratch, "groups").withColumnRenamed("node", "rep")
     out = rep.join(scratch.keep(groups, "components"), "rep", "left")
     group = F.coalesce("component", "rep", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), group.alias("component_id"), (F.col("id") == group).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), group.alias("component_id"), F.col("id").eqNullSafe(group).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:
-    """docs with one document, the smallest id, of each group of near copies; columns as they were."""
-    kept = near_dedup(docs, id_col=id_col, **params).where("kept").select(F.col(id_col).cast("long").alias("__keep")).distinct()
-    return docs.select(F.col(id_col).cast("long").alias("__keep"), F.struct("*").alias("row")).join(kept, "__keep", "left_semi").select("row.*")
+    """docs with one document, the smallest id, of each group of near copies; columns as they were. Rows without id stay."""
+    drop = near_dedup(docs, id_col=id_col, **params).where("NOT kept").select(F.col(id_col).cast("long").alias("__drop")).distinct()
+    return docs.select(F.col(id_col).cast("long").alias("__drop"), F.struct("*").alias("row")).join(drop, "__drop", "left_anti").select("row.*")

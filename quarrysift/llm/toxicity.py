@@ -130,7 +130,7 @@ def train(sample: DataFrame, prior: float = 0.02, least_z: float = 3.5, least_od
         for label, (times, texts) in seen.items():
             yield pa.RecordBatch.from_arrays([pa.array(list(times), pa.binary()), pa.array([label] * len(times), pa.int32()), pa.array(list(times.values()), pa.int64()), pa.array([texts[u] for u in times], pa.int64())], names=["unit", "label", "n", "texts"])
 
-    texts = sample.dropDuplicates(["text"])
+    texts = sample.groupBy("text").agg(F.max("label").alias("label")).select(F.lit(0).alias("id"), "label", "text")
     sized = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.sum(F.size(F.split(F.col("text").cast("string"), " "))).alias("n")).collect()}
     if len(sized) < 2:
         return Model({}, -0.01, 1.0, 0.0, 20.0 if 1 in sized else -20.0)
