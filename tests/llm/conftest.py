@@ -9,7 +9,7 @@ def frame(spark):
 
     def make(rows):
         schema = "doc_id long, text string, lang string, source string, n_chars long, id long, row string, size int, digest string, kept string, bands int, key string"
-        full = [(i, t, "en", f"s{i % 3}" if i % 7 else None, None if t is None else len(t), 5, "r", 1, "d", "k", 2, "y") for i, t in rows]
+        full = [(i, t, "en", f"s{i % 3}" if i and i % 7 else None, None if t is None else len(t), 5, "r", 1, "d", "k", 2, "y") for i, t in rows]
         return spark.createDataFrame(full, schema)
 
     return make
