@@ -217,7 +217,8 @@ def extract_longest(c: Column) -> Column:
 
 
 def extract_python_block(c: Column) -> Column:
-    found = F.regexp_extract_all(c, F.lit(r"(?is)```(?:python|py)\s*\n(.*?)```"), F.lit(1))
+    """The first fenced block, a Python tag or none before it, else the text; null gives an empty text."""
+    found = F.regexp_extract_all(c, F.lit(r"(?is)```(?:python|py)?\s*(.*?)```"), F.lit(1))
     return F.coalesce(F.when(F.size(found) > 0, strip(F.get(found, F.lit(0)))).otherwise(strip(c)), F.lit(""))
 
 

@@ -200,13 +200,12 @@ def execute_batch(spark, d):
 
 
 def _repos(spark, d, most: int):
-    """Two small repositories in a local folder, made from documents, read by the data source."""
+    """Two small repositories in a shared folder, made from documents, read by the data source."""
     from pathlib import Path
 
     from quarrysift.sources import repos
 
-    root = Path(tempfile.mkdtemp(prefix="quarrysift-repos-"))
-    atexit.register(shutil.rmtree, str(root), True)
+    root = Path(scratch(spark).removeprefix("file://")) / "repos"
     for r in table(spark, d, "documents").where("doc_id < 12").select("doc_id", "lang").collect():  # twelve small files
         path = root / f"r{r.doc_id % 2}" / ("tests" if r.doc_id % 3 == 0 else "src" if r.doc_id % 3 == 1 else "") / f"m{r.doc_id}.py"
         path.parent.mkdir(parents=True, exist_ok=True)

@@ -239,7 +239,7 @@ def extract_longest(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", X.extract_longest(F.expr(_ANSWER)).alias("code"))
 
 
-@query(rf"SELECT conv_id, turn, CASE WHEN len(b) > 0 THEN {_T('b[1]')} ELSE {_T('a')} END AS code FROM (SELECT conv_id, turn, a, regexp_extract_all(a, '(?is)```(?:python|py)\s*\n(.*?)```', 1) AS b FROM {_ANS})")
+@query(rf"SELECT conv_id, turn, CASE WHEN len(b) > 0 THEN {_T('b[1]')} ELSE {_T('a')} END AS code FROM (SELECT conv_id, turn, a, regexp_extract_all(a, '(?is)```(?:python|py)?\s*(.*?)```', 1) AS b FROM {_ANS})")
 def extract_python_block(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", X.extract_python_block(F.expr(_ANSWER)).alias("code"))
 

@@ -67,9 +67,11 @@ def task_id_of(relative: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(relative, "[^0-9]", ""), F.lit("")), F.regexp_replace(relative, r"[/\\]", "_"))
 
 
-#: Folders that a scan passes over, and words of folders that a repository scan passes over.
-PRUNED = ["__pycache__", ".git", "venv", ".venv", "env", "node_modules"]
-SKIPPED_WORDS = ["test", "doc", "example", "demo", "tutorial", "benchmark", "script", "tool", "migration", "vendor"]
+#: Folders that a scan of a local tree passes over.
+PRUNED = ["__pycache__", ".git", ".venv", "venv", ".mypy_cache", ".pytest_cache"]
+#: Words of folders that a scan of a repository passes over, and those of its earlier form.
+SKIPPED_WORDS = ["test", "tests", "docs", "doc", "examples", "example", "vendor", "node_modules", "__pycache__", ".git"]
+SKIPPED_WORDS_V1 = ["test", "docs", "example", "vendor"]
 
 
 def scan_programs(spark: SparkSession, root: str) -> DataFrame:
@@ -83,12 +85,16 @@ def scan_programs(spark: SparkSession, root: str) -> DataFrame:
 def pruned(files: DataFrame, path: str = "relative_path") -> DataFrame:
     """Without files in tool and hidden folders, and hidden files."""
     names = "|".join(p.replace(".", r"\.") for p in PRUNED)
-    return files.where(~F.col(path).rlike(rf"(^|/)({names})(/|$)|(^|/)\.[^/]"))
+    return files.where(~F.col(path).rlike(rf"(^|/)({names})/|(^|/)\.[^/]"))
 
 
-def skip_words(files: DataFrame, path: str = "relative_path", words: list[str] = tuple(SKIPPED_WORDS)) -> DataFrame:
-    """Without files in folders whose name has one of the words."""
-    return files.where(~F.lower(F.regexp_extract(path, "^(.*)/", 1)).rlike("|".join(words)))
+def skip_words(files: DataFrame, path: str = "relative_path", words: list[str] = tuple(SKIPPED_WORDS), ignore_case: bool = True) -> DataFrame:
+    """Without files in folders whose path has one of the words."""
+    folder = F.regexp_extract(path, "^(.*)/", 1)
+    folder, skip = F.lower(folder) if ignore_case else folder, F.lit(False)
+    for w in words:
+        skip = skip | folder.contains(w)
+    return files.where(~skip)
 
 
 def resume(files: DataFrame, done: DataFrame, on: str = "relative_path") -> DataFrame:
@@ -97,5 +103,5 @@ def resume(files: DataFrame, done: DataFrame, on: str = "relative_path") -> Data
 
 
 def without_tests(files: DataFrame, path: str = "relative_path") -> DataFrame:
-    """Without test files, files of test folders, and __init__."""
-    return files.where(~F.col(path).rlike(r"(?i)(^|/)tests?/|(^|/)test_[^/]*$|_test\.py$|(^|/)__init__\.py$"))
+    """Without __init__ files and whatever has `test` in its path."""
+    return files.where(~F.lower(F.col(path)).contains("test") & (basename(F.col(path)) != "__init__.py"))
