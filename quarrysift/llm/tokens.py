@@ -7,6 +7,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -98,6 +99,12 @@ _KNOWN = {
 }
 
 
+@lru_cache(maxsize=2)
+def encoder_for(path: str) -> WordEncoder:
+    """One encoder for a worker process, with what it remembers, for all its tasks."""
+    return WordEncoder(path)
+
+
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of at most capacity tokens of each document's ids, with end_id after them.
 
@@ -110,7 +117,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096,
     schema = T.StructType([T.StructField(id_col, kind), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, most = WordEncoder(tokenizer_path), np.array([end_id], "<u4").tobytes(), 4 * capacity
+        encoder, end, most = encoder_for(tokenizer_path), np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             rows, pieces, starts, blobs, held = [], [], [], [], 0
