@@ -54,6 +54,16 @@ def attribute(ends: np.ndarray, starts: np.ndarray, stops: np.ndarray, rule: str
     return (np.searchsorted(anchor, stops, "left") - np.searchsorted(anchor, starts, "left")).astype(float), crossing
 
 
+def joined_fields(columns: list[str], separator: str = "\n") -> tuple[Column, Column]:
+    """Several fields as one text, and their spans as sections of it, in order; a null field is empty."""
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]
+    spans, at = [], F.lit(0)
+    for t in texts:
+        spans.append(F.struct(at.alias("start"), (at + F.length(t)).alias("end")))
+        at = at + F.length(t) + len(separator)
+    return F.concat_ws(separator, *texts), F.array(*spans)
+
+
 def token_counts(docs: DataFrame, ranks_path: str, pattern: str, rule: str = "first", sections: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each section of each document: id_col, section (from 0), char_start, char_end, n_tokens, n_crossing.
 

@@ -48,6 +48,13 @@ def test_sections_cover_all_tokens(spark, frame, words, rule):
     assert TC.token_counts(docs.where("false"), RANKS, PATTERN, rule).count() == 0
 
 
+def test_fields(spark):
+    docs = spark.createDataFrame([(1, "a title", None, "the body 🙂 text")], "doc_id long, title string, by string, body string")
+    text, sections = TC.joined_fields(["title", "by", "body"])
+    got = TC.token_counts(docs.select("doc_id", text.alias("text"), sections.alias("s")), RANKS, PATTERN, "first", F.col("s")).orderBy("section").collect()
+    assert [(r.char_start, r.char_end) for r in got] == [(0, 7), (8, 8), (9, 24)] and [r.n_tokens > 0 for r in got] == [True, False, True]
+
+
 # ---- toxicity -------------------------------------------------------------------------------------------------------
 
 
