@@ -7,7 +7,9 @@
 3. A family's members are compared in blocks, by pairs of blocks, so that a task holds two blocks at most: signatures of banded
    candidates are compared batch by batch, a pair is dropped as soon as the posterior probability that its similarity reaches
    the threshold falls below `miss`, and the survivors' sets are compared exactly. Pairs that earlier links of the same task
-   connect already are not compared; a task returns the links of a spanning forest.
+   connect already are not compared; a task returns the links of a spanning forest. A family of more than two blocks is first
+   compared within its blocks and with its first block, which is linear; then only the members outside its largest component
+   so far still have to be compared with the others.
 4. The connected components of the links are the groups.
 Links and components stay distributed throughout.
 """
@@ -30,8 +32,10 @@ from quarrysift.llm._common import Scratch, bounded_batches, text_of
 CACHE_WORDS = 300_000
 #: A block of a family has about so many members and shingles at most.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 1_000_000
-#: Up to so many members of families their ids are broadcast (16 MB); beyond, they meet the documents in a shuffle join.
+#: Up to so many ids and tasks of members these are broadcast (some 20 MB); beyond, they meet the documents in a shuffle join.
 BROADCAST_IDS = 1_000_000
+#: What a member takes part in: a pair of blocks x and y, on the side of the one (0) or the other (1).
+TASK = "struct<x:int,y:int,side:int>"
 
 
 def plan_bands(threshold: float, rows: int, miss: float) -> int:
@@ -208,42 +212,61 @@ def near_dedup(docs: DataFrame, words: int = 5, threshold_pct: int = 80, rows: i
     families = scratch.keep(connected_components(stars, scratch, "families"), "families")
     scratch.drop("signed")
 
-    # Members with their block; blocks of a family by its members and shingles.
-    sized = families.join(rep.where("id = rep").select(F.col("id").alias("node"), "n").groupBy("node").agg(F.max("n").alias("n")), "node")
-    blocks = sized.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = families.join(blocks, "component").select(F.col("node").alias("id"), "component", "blocks")
-    members = scratch.keep(members, "members")
-    if members.count() <= BROADCAST_IDS:
-        found = source.join(F.broadcast(members), "id")
-    else:
-        found = source.join(members, "id")
+    # Members of families with more than one, and in how many blocks a family is cut, by its members and their shingles.
+    size = lambda n: F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS), F.ceil(F.sum(n) / BLOCK_SHINGLES)).cast("int")
+    sized = families.join(rep.where("id = rep").groupBy(F.col("id").alias("node")).agg(F.max("n").alias("n")), "node")
+    blocks = sized.groupBy("component").agg(size("n").alias("blocks"))
+    members = scratch.keep(sized.join(blocks, "component").select(F.col("node").alias("id"), "component", "n", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")), "members")
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words, hashes)
         for b in batches:
             sets = [shingler.shingles(t) for t in b.column(1).to_pylist()]
             sigs = pa.array([shingler.signature(s).tobytes() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), sigs, pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "component", "blocks", "sig", "set"])
-
-    sets = found.select("id", "text", "component", "blocks").mapInArrow(again, "id long, component long, blocks int, sig binary, set binary")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(own, o).alias("x"), F.greatest(own, o).alias("y")))
-    blocked = sets.select("id", "component", "sig", "set", own.alias("own"), F.explode(pairs).alias("p")).select("id", "component", "sig", "set", "own", "p.x", "p.y")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), sigs, pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "component", "tasks", "sig", "set"])
 
     def compare(key: tuple, t: pa.Table) -> pa.Table:
-        order = np.lexsort((t["id"].to_numpy(), t["own"].to_numpy()))
-        t = t.take(pa.array(order))
-        own_, ids = t["own"].to_numpy(), t["id"].to_pylist()
+        side, ids = t["side"].to_numpy(), t["id"].to_numpy()
+        order = np.lexsort((ids, side))
+        t, side = t.take(pa.array(order)), side[order]
+        ids = t["id"].to_pylist()
+        split = int(np.searchsorted(side, 1))
+        within = key[1].as_py() == key[2].as_py()
         sigs = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint32).reshape(len(ids), hashes)
         held = [np.frombuffer(s, np.uint64) for s in t["set"].to_pylist()]
-        split = None if own_[0] == own_[-1] else int(np.searchsorted(own_, own_[-1]))
-        found = verifier.links(ids, sigs, held, rows, split)
-        if split is None and key[1].as_py() != key[2].as_py():
-            found = []  # a pair of blocks of which one is empty
+        found = verifier.links(ids, sigs, held, rows, None if within else split)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
     verifier = Verifier(threshold_pct, hashes, batch, miss)
-    links = blocked.groupBy("component", "x", "y").applyInArrow(compare, "a long, b long")
+
+    def linked(tasks: DataFrame, name: str) -> DataFrame:
+        """Links found by tasks (id, component, tasks: array of (x, y, side)): of each (component, x, y) the two sides are
+        compared with each other, or all members where x = y."""
+        tasks = scratch.keep(tasks, f"tasks-{name}")
+        total = tasks.agg(F.coalesce(F.sum(F.size("tasks") + 2), F.lit(0))).first()[0]
+        texts = source.join(F.broadcast(tasks) if total <= BROADCAST_IDS else tasks, "id").select("id", "text", "component", "tasks")
+        sets = texts.mapInArrow(again, f"id long, component long, tasks array<{TASK}>, sig binary, set binary")
+        dealt = sets.select("id", "component", "sig", "set", F.explode("tasks").alias("t")).select("id", "component", "sig", "set", "t.*")
+        return scratch.keep(dealt.groupBy("component", "x", "y").applyInArrow(compare, "a long, b long"), f"links-{name}")
+
+    task = lambda x, y, side: F.struct(F.lit(x).cast("int").alias("x"), F.lit(y).cast("int").alias("y"), F.lit(side).cast("int").alias("side"))
+    upto = lambda first, n: F.filter(F.sequence(F.lit(first), F.greatest(n, F.lit(first))), lambda i: i < n)
+    own, n_blocks = F.col("own"), F.col("blocks")
+    both = F.concat(F.array(task(own, own, 0)), F.transform(F.filter(upto(0, n_blocks), lambda o: o != own), lambda o: task(F.least(own, o), F.greatest(own, o), (own > o).cast("int"))))
+    first = F.when(own == 0, F.concat(F.array(task(0, 0, 0)), F.transform(upto(1, n_blocks), lambda o: task(0, o, 0)))).otherwise(F.array(task(own, own, 0), task(0, own, 1)))
+    links = linked(members.select("id", "component", F.when(n_blocks <= 2, both).otherwise(first).alias("tasks")), "first")
+    large = members.where("blocks > 2")
+    if not large.isEmpty():
+        so_far = connected_components(links, scratch, "so-far").select(F.col("node").alias("id"), F.col("component").alias("label"))
+        large = scratch.keep(large.join(so_far, "id", "left").withColumn("label", F.coalesce("label", "id")), "large")
+        largest = large.groupBy("component", "label").count().groupBy("component").agg(F.max_by("label", F.struct("count", "label")).alias("top"))
+        large = large.join(largest, "component").withColumn("left", F.col("label") != F.col("top"))
+        parts = large.where("left").groupBy("component").agg(size("n").alias("parts"))
+        part = F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int")
+        # Parts of what is left are numbered down from -1, so that a task is never taken for one within a block.
+        met = F.transform(upto(0, F.col("parts")), lambda p: task(-1 - p, own, 1))
+        meets = F.when(F.col("left"), F.transform(upto(0, n_blocks), lambda o: task(-1 - part, o, 0))).otherwise(F.array().cast(f"array<{TASK}>"))
+        links = links.unionByName(linked(large.join(parts, "component").select("id", "component", F.concat(met, meets).alias("tasks")), "rest"))
     groups = connected_components(scratch.keep(links.unionByName(same), "links"), scratch, "groups").withColumnRenamed("node", "rep")
     out = rep.join(scratch.keep(groups, "components"), "rep", "left")
     group = F.coalesce("component", "rep", "id")
