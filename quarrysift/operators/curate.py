@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarrysift.operators import prefix
+
 
 def key_of(*columns: str) -> Column:
     """Fields as one key, nulls as empty."""
@@ -87,12 +89,16 @@ def shuffled_limit(df: DataFrame, seed: int, ids: list[str], most: int) -> DataF
 
 
 def stratified_split(df: DataFrame, strata: list[str], seed: int, ids: list[str], train: float = 0.6, test: float = 0.2) -> DataFrame:
-    """A column split: in each stratum, in random order, the first int(n * train) rows, the next int(n * test), the rest."""
-    every = Window.partitionBy(*strata)
-    n = F.count(F.lit(1)).over(every)
-    place = F.row_number().over(every.orderBy(random_order(seed, *ids), *ids))
-    first = F.floor(n * F.lit(train))
-    return df.withColumn("split", F.when(place <= first, "train").when(place <= first + F.floor(n * F.lit(test)), "validation").otherwise("test"))
+    """A column split: in each stratum, in random order, the first int(n * train) rows, the next int(n * test), the rest.
+
+    Places in a stratum are prefix sums over ranges of the random key, so a stratum with most of the rows is spread out.
+    """
+    rows = df.withColumns({"__stratum": F.concat_ws("§", *[F.coalesce(F.concat(F.lit("v"), F.col(s).cast("string")), F.lit("n")) for s in strata]), "__key": random_order(seed, *ids), "__one": F.lit(1).cast("long")})
+    fine = prefix.range_sums(rows, "__stratum", "__key", "__one")
+    placed = prefix.sums_before(rows, fine, "__stratum", "__key", "__one", ids, "__before").join(prefix.group_sums(fine, "__stratum", "__n"), "__stratum")
+    first, n = F.floor(F.col("__n") * F.lit(train)), F.col("__n")
+    split = F.when(F.col("__before") < first, "train").when(F.col("__before") < first + F.floor(n * F.lit(test)), "validation").otherwise("test")
+    return placed.select(*df.columns, split.alias("split"))
 
 
 def plan_batch(repos: DataFrame, counts: DataFrame, target: int, batch: int, most_repos: int = 10) -> DataFrame:

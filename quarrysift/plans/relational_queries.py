@@ -240,10 +240,11 @@ def repo_count(spark, d):
     return table(spark, d, "documents").where("source = 'src3'").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT source AS source_repo, count(*) AS n, list(doc_id ORDER BY doc_id) AS programs FROM documents GROUP BY 1")
+@query("SELECT coalesce(source, 'unknown') AS source_repo, count(*) AS n, min(doc_id) AS first_doc, max(doc_id) AS last_doc, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1")
 def consolidate_by_repo(spark, d):
+    """A repository's figures; its programs stay rows (master_dataset) and files (write_per_repo), whatever their number."""
     groups = table(spark, d, "documents").groupBy(F.coalesce("source", F.lit("unknown")).alias("source_repo"))
-    return groups.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("doc_id")).alias("programs"))
+    return groups.agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.sum("n_chars").alias("chars"))
 
 
 @query("SELECT doc_id, source AS source_repo, count(*) OVER (PARTITION BY source) AS repo_programs FROM documents")
