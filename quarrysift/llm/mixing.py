@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrysift.llm._common import Scratch, group_sums, hash_key, range_sums, sums_before, text_of, word_count
+from quarrysift.llm._common import Scratch, text_of, word_count
+from quarrysift.operators.prefix import group_sums, hash_key, range_sums, sums_before
 
 
 def source_targets(sizes: DataFrame, weights: list[int], share: float, most: float) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrysift.llm._common import hash_key, range_sums, sums_before
+from quarrysift.operators.prefix import hash_key, range_sums, sums_before
 
 #: Ranks of one length stay below this; lengths and ranks are searched as one number.
 _RANKS = 2**46

@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrysift.llm._common import bounded_batches, hash_key, text_of
+from quarrysift.llm._common import bounded_batches, text_of
+from quarrysift.operators.prefix import hash_key
 
 #: ASCII letters in lower case, all other ASCII but digits as spaces; other bytes stay.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
