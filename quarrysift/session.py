@@ -27,3 +27,18 @@ def local_session(cores: str | int = "*", app: str = "quarrysift", driver_memory
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def share_code(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it, whatever folder they start in.
+
+    On clusters whose machines don't have that folder the package is installed or sent with --py-files instead.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    try:
+        environment = spark.sparkContext.environment
+    except Exception:  # noqa: BLE001  a remote session has no context here
+        return
+    known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *known])
