@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrysift.session import share_code
+
 #: ASCII white space; a word is a maximal run of other characters.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -87,6 +89,7 @@ class Scratch:
 
 
 def bounded_batches(spark: SparkSession, size: str = "16m") -> None:
-    """Arrow batches by bytes, so that a batch of very long texts still fits a Python worker."""
+    """Arrow batches by bytes, so that a batch of very long texts still fits a Python worker; which can import this package."""
+    share_code(spark)
     for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", size), ("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")):
         spark.conf.set(key, value)
