@@ -12,7 +12,9 @@ fit turns it into a probability.
 
 from __future__ import annotations
 
+import hashlib
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -95,9 +97,18 @@ class Scanner:
     def __init__(self, model: Model):
         self.model, self.scores = model, Scores(model.lexicon)
 
+    def hits(self, words: list[bytes]) -> list[tuple[int, float]]:
+        """Places and scores of the words that have one; a word scores MOST_IN_TEXT times at most, as in training."""
+        found, times = [], Counter()
+        for i, score in enumerate(map(self.scores.__getitem__, words)):
+            if score:
+                times[words[i]] += 1
+                if times[words[i]] <= MOST_IN_TEXT:
+                    found.append((i, score))
+        return found
+
     def segments(self, words: list[bytes]) -> list[tuple[int, int, float]]:
-        hits = [(i, s) for i, s in enumerate(map(self.scores.__getitem__, words)) if s]
-        return maximal_segments(hits, len(words), self.model.other)
+        return maximal_segments(self.hits(words), len(words), self.model.other)
 
     def evidence(self, words: list[bytes]) -> tuple[float, list[tuple[int, int, float]]]:
         """The evidence and the significant segments (those that chance gives less than once in such a text)."""
@@ -115,10 +126,34 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, usable,
     return docs.select(F.col(id_col).alias("id"), text_of(text_col).cast("binary").alias("text")).join(F.broadcast(few), "id").select("id", "label", "text")
 
 
+def without_near_copies(sample: DataFrame, keys: int = 5, width: int = 2) -> DataFrame:
+    """(id, label, text) rows of which none agree in a key of `width` MinHash values of their longer words.
+
+    Near copies agree in one of the keys almost surely, other texts hardly ever. The smallest id stays.
+    """
+    seeds = [hashlib.blake2b(f"key {i}".encode(), digest_size=8).digest() for i in range(keys * width)]
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for text in b.column(2).to_pylist():
+                words = {w for w in fold(text) if len(w) > 5} or set(fold(text)) or {b""}
+                h = np.array([zlib.crc32(w) for w in words], np.uint64)
+                lows = [int(((h * np.uint64(int.from_bytes(s, "little") | 1)) >> np.uint64(16)).min()) for s in seeds]
+                out.append([f"{lows[i : i + width]}" for i in range(0, len(lows), width)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], names=["id", "keys"])
+
+    kept = sample.mapInArrow(sketch, "id long, keys array<string>")
+    for i in range(keys):
+        kept = kept.groupBy(F.col("keys")[i].alias("key")).agg(F.min_by(F.struct("id", "keys"), "id").alias("r")).select("r.*")
+    return sample.join(F.broadcast(kept.select("id")), "id").select("id", "label", "text")  # ids of a bounded sample
+
+
 def train(sample: DataFrame, prior: float = 0.02, least_z: float = 3.5, least_odds: float = 1.5, least_docs: int = 4) -> Model:
     """The model from (id, label, text) rows, a bounded sample. Without both labels all scores are near the only one.
 
-    Copies count once, and a unit three times in a text at most, so that no single text makes a unit significant.
+    Copies and near copies count once, and a unit three times in a text at most, so that no single text makes a unit
+    significant.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +167,7 @@ def train(sample: DataFrame, prior: float = 0.02, least_z: float = 3.5, least_od
         for label, (times, texts) in seen.items():
             yield pa.RecordBatch.from_arrays([pa.array(list(times), pa.binary()), pa.array([label] * len(times), pa.int32()), pa.array(list(times.values()), pa.int64()), pa.array([texts[u] for u in times], pa.int64())], names=["unit", "label", "n", "texts"])
 
-    texts = sample.groupBy("text").agg(F.max("label").alias("label")).select(F.lit(0).alias("id"), "label", "text")
+    texts = without_near_copies(sample)
     sized = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.sum(F.size(F.split(F.col("text").cast("string"), " "))).alias("n")).collect()}
     if len(sized) < 2:
         return Model({}, -0.01, 1.0, 0.0, 20.0 if 1 in sized else -20.0)
@@ -164,7 +199,7 @@ def _measured(sample: DataFrame, model: Model) -> list:
             rows = []
             for text in b.column(2).to_pylist():
                 words = fold(text)
-                rows.append((len(words), sum(map(bool, map(scanner.scores.__getitem__, words))), max((s[2] for s in scanner.segments(words)), default=0.0), scanner.evidence(words)[0]))
+                rows.append((len(words), len(scanner.hits(words)), max((s[2] for s in scanner.segments(words)), default=0.0), scanner.evidence(words)[0]))
             n, hits, best, x = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(n, pa.int64()), pa.array(hits, pa.int64()), pa.array(best, pa.float64()), pa.array(x, pa.float64())], names=["label", "n", "hits", "best", "x"])
 
