@@ -21,7 +21,7 @@ NATIVE = sorted(n for n, q in QUERIES.items() if q.__module__ in (text_queries._
 @pytest.mark.parametrize("name", NATIVE)
 def test_native(spark, name):
     text = plan(QUERIES[name](spark, SF))
-    assert not any(x in text for x in ("Python", "Pandas", "Arrow", "CartesianProduct"))
+    assert not any(x in text for x in ("EvalPython", "InPandas", "InArrow", "CartesianProduct"))
 
 
 def test_pushdown(spark):
