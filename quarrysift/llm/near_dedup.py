@@ -147,19 +147,20 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str) -> DataF
     """(node, component) for every node of links (a, b): component is the smallest node reachable.
 
     Alternating large-star and small-star steps, each cut by a written table; only a count and a hash sum reach the driver.
+    Least neighbours are written before they are joined: a join of two plain shuffles is one whose hot keys Spark can split.
     """
     edges = scratch.keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-0")
     state = None
     for i in itertools.count(1):
         # large-star: the larger neighbours of a node go to the smallest one of its neighbours and itself
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = scratch.keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-{i}-least")
+        large = scratch.keep(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{name}-{i}-large")
         # small-star: the smaller neighbours of a node, and itself, go to the smallest one
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-{i}-low")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         step = scratch.keep(small, f"{name}-{i}")
-        scratch.drop(f"{name}-{i - 1}")
+        scratch.drop(f"{name}-{i - 1}", f"{name}-{i}-least", f"{name}-{i}-large", f"{name}-{i}-low")
         edges = step
         now = tuple(step.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
@@ -200,17 +201,17 @@ def near_dedup(docs: DataFrame, words: int = 5, threshold_pct: int = 80, rows: i
 
     signed = scratch.keep(source.mapInArrow(sign, "id long, n long, print binary, bands array<long>"), "signed")
     # Equal sets: one representative, the smallest id. Its bands are the same as theirs.
-    least = signed.where("print is not null").groupBy("print").agg(F.min("id").alias("rep"))
+    least = scratch.keep(signed.where("print is not null").groupBy("print").agg(F.min("id").alias("rep")), "least")
     rep = signed.select("id", "n", "print").join(least, "print", "left")
     rep = scratch.keep(rep.select("id", "n", "rep"), "reps")
     buckets = signed.where("print is not null").join(least.withColumnRenamed("rep", "id"), ["print", "id"]).select(F.col("id").alias("b"), F.explode("bands").alias("bucket"))
-    centre = buckets.groupBy("bucket").agg(F.min("b").alias("a"), F.max("b").alias("z")).where("a <> z").select("bucket", "a")
+    centre = scratch.keep(buckets.groupBy("bucket").agg(F.min("b").alias("a"), F.max("b").alias("z")).where("a <> z").select("bucket", "a"), "centres")
     stars = buckets.join(centre, "bucket").where("a <> b").select("a", "b").distinct()
     # Texts that repeat an id belong together whatever they say.
     several = rep.groupBy("id").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first <> last").select("id", "first")
     same = rep.join(several, "id").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
     families = scratch.keep(connected_components(stars, scratch, "families"), "families")
-    scratch.drop("signed")
+    scratch.drop("signed", "least", "centres")
 
     # Members of families with more than one, and in how many blocks a family is cut, by its members and their shingles.
     size = lambda n: F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS), F.ceil(F.sum(n) / BLOCK_SHINGLES)).cast("int")
