@@ -155,12 +155,12 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str) -> DataF
         # large-star: the larger neighbours of a node go to the smallest one of its neighbours and itself
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = scratch.keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-{i}-least")
-        large = scratch.keep(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{name}-{i}-large")
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small-star: the smaller neighbours of a node, and itself, go to the smallest one
-        least = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-{i}-low")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))  # the larger node of an edge, which few edges share by now
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         step = scratch.keep(small, f"{name}-{i}")
-        scratch.drop(f"{name}-{i - 1}", f"{name}-{i}-least", f"{name}-{i}-large", f"{name}-{i}-low")
+        scratch.drop(f"{name}-{i - 1}", f"{name}-{i}-least")
         edges = step
         now = tuple(step.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
