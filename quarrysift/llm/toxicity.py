@@ -98,14 +98,8 @@ class Scanner:
         self.model, self.scores = model, Scores(model.lexicon)
 
     def hits(self, words: list[bytes]) -> list[tuple[int, float]]:
-        """Places and scores of the words that have one; a word scores MOST_IN_TEXT times at most, as in training."""
-        found, times = [], Counter()
-        for i, score in enumerate(map(self.scores.__getitem__, words)):
-            if score:
-                times[words[i]] += 1
-                if times[words[i]] <= MOST_IN_TEXT:
-                    found.append((i, score))
-        return found
+        """Places and scores of all words that have one, however often they occur."""
+        return [(i, score) for i, score in enumerate(map(self.scores.__getitem__, words)) if score]
 
     def segments(self, words: list[bytes]) -> list[tuple[int, int, float]]:
         return maximal_segments(self.hits(words), len(words), self.model.other)

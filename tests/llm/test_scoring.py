@@ -99,6 +99,16 @@ def test_toxicity_learns(spark, frame, words):
     assert all(0 <= r.score <= 1 for r in scores.values())
 
 
+def test_every_occurrence_scores():
+    bad = [b"bad%d" % i for i in range(8)]
+    scanner = TX.Scanner(TX.Model({w: (5.0, 4.0) for w in bad}, -0.05, 0.01, 1.0, 0.0))
+    gap = [b"good"] * 2000
+    repeated = [w for _ in range(6) for w in [*bad, *gap]]
+    assert [(a, b) for a, b, _ in scanner.evidence(repeated)[1]] == [(i * 2008, i * 2008 + 8) for i in range(6)]
+    late = [w for _ in range(3) for b in bad for w in [b, *gap[:200]]] + bad
+    assert max(scanner.evidence(late)[1], key=lambda s: s[2]) == (len(late) - 8, len(late), pytest.approx(32.0))
+
+
 def test_toxicity_without_labels(spark, frame, words):
     docs = frame([(1, words(5)), (2, None)])
     labels = spark.createDataFrame([(1, 0), (2, None), (7, 1)], "doc_id long, toxic int")
