@@ -56,6 +56,15 @@ def load_json_file(spark, d):
     return rows.select(F.col("position").cast("long").alias("position"), F.try_variant_get("record", "$.doc_id", "bigint").alias("doc_id"), F.try_variant_get("record", "$.lang", "string").alias("lang"))
 
 
+@query("SELECT position, doc_id, lang FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS position, doc_id, lang FROM documents)")
+def load_json_file_whole(spark, d):
+    """All documents in one file, which the loader parses in one task."""
+    path = scratch(spark)
+    table(spark, d, "documents").select("doc_id", "lang").orderBy("doc_id").coalesce(1).write.json(path)
+    rows = records.load_records(spark, path)
+    return rows.select(F.col("position").cast("long").alias("position"), F.try_variant_get("record", "$.doc_id", "bigint").alias("doc_id"), F.try_variant_get("record", "$.lang", "string").alias("lang"))
+
+
 @query("SELECT source || '.py' AS base, max(doc_id) AS seq, arg_max(lang, doc_id) AS function FROM documents GROUP BY 1")
 def load_manifest(spark, d):
     path = scratch(spark)
@@ -86,6 +95,24 @@ def scan_pruned_dirs(spark, d):
     return records.pruned(_folder(spark, d)).select("relative_path")
 
 
+def _whole_folder(spark, d):
+    """_folder with a file for each document, written by the executors."""
+    root = f"{scratch(spark)}/programs"
+    fixed = spark.createDataFrame([("sub/q.py", "x"), ("venv/lib/r.py", "y")], "path string, text string")
+    writers.write_texts(table(spark, d, "documents").selectExpr("'p' || doc_id || '.py' AS path", "lang AS text").unionByName(fixed), root.removeprefix("file://"))
+    return records.scan_programs(spark, root)
+
+
+@query("SELECT doc_id::VARCHAR AS task_id, 'p' || doc_id || '.py' AS filename, lang AS code FROM documents UNION ALL SELECT 'sub_q.py', 'q.py', 'x'")
+def scan_py_dir_whole(spark, d):
+    return _whole_folder(spark, d).where("relative_path NOT LIKE '%venv%'").select("task_id", "filename", "code")
+
+
+@query("SELECT 'p' || doc_id || '.py' AS relative_path FROM documents UNION ALL SELECT 'sub/q.py'")
+def scan_pruned_dirs_whole(spark, d):
+    return records.pruned(_whole_folder(spark, d)).select("relative_path")
+
+
 _TREE = "CASE doc_id % 5 WHEN 0 THEN 'src/a' || doc_id || '.py' WHEN 1 THEN 'Tests/unit/t' || doc_id || '.py' WHEN 2 THEN 'pkg/examples_x/e.py' WHEN 3 THEN 'top' || doc_id || '.py' ELSE 'lib/core/m' || doc_id || '.py' END"
 
 
@@ -226,3 +253,27 @@ def scan_repo_tree(spark, d):
 def scan_git_clone(spark, d):
     """A cloned repository's files without tests and __init__."""
     return records.without_tests(_repos(spark, d, 100), "file_path").select("repo", "file_path")
+
+
+def _whole_repos(spark, d, most: int):
+    """_repos over all documents, the files written by the executors."""
+    from quarrysift.sources import repos
+
+    root = f"{scratch(spark)}/repos".removeprefix("file://")
+    writers.write_texts(table(spark, d, "documents").selectExpr("'r' || doc_id % 2 || CASE doc_id % 3 WHEN 0 THEN '/tests/m' WHEN 1 THEN '/src/m' ELSE '/m' END || doc_id || '.py' AS path", "lang AS text"), root)
+    repos.register(spark)
+    return spark.read.format("repo_files").option("root", root).option("repos", "r0,r1").option("max_files", str(most)).load()
+
+
+#: More files than any repository has.
+_ALL = 2**62
+
+
+@query(f"SELECT {_REPO_FILE}, lang AS code FROM documents")
+def scan_repo_tree_whole(spark, d):
+    return _whole_repos(spark, d, _ALL).select("repo", "file_path", "code")
+
+
+@query(f"SELECT repo, file_path FROM (SELECT {_REPO_FILE} FROM documents) WHERE NOT starts_with(file_path, 'tests/')")
+def scan_git_clone_whole(spark, d):
+    return records.without_tests(_whole_repos(spark, d, _ALL), "file_path").select("repo", "file_path")

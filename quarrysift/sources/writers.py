@@ -42,6 +42,21 @@ def program_files(df: DataFrame, task_id: str = "task_id", code: str = "code") -
     return df.where(strip(F.col(code)) != "").select(F.concat(F.lit("program_"), zfill(F.col(task_id), 3), F.lit(".py")).alias("filename"), F.concat(strip(F.col(code)), F.lit("\n")).alias("text"))
 
 
+def write_texts(df: DataFrame, folder: str) -> None:
+    """A file for each (path, text) row, written by the executors to a folder that all of them share; paths are relative to it."""
+
+    def write(rows) -> None:
+        for r in rows:
+            path = os.path.join(folder, r.path)
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            part = os.path.join(os.path.dirname(path), f".{os.path.basename(path)}.{os.getpid()}")
+            with open(part, "w", encoding="utf-8") as f:
+                f.write(r.text)
+            os.replace(part, path)
+
+    df.select("path", "text").foreachPartition(write)
+
+
 def write_program_files(df: DataFrame, folder: str) -> None:
     """One file for each row, written by the executors to a folder that all of them share."""
 
