@@ -153,6 +153,23 @@ def category_counts(spark, d):
     return _categories(spark, d)
 
 
+_WHOLE_COUNTS = f"SELECT t.category, severity, coalesce(n, 0) AS n, round(coalesce(n, 0) * 100 / (SELECT count(*) FROM events), 1) AS percent FROM {_CATS} LEFT JOIN (SELECT category, count(*) AS n FROM {CATEGORIZED} GROUP BY 1) c ON c.category = t.category"
+
+
+def _whole_categories(spark, d):
+    return metrics.category_counts(table(spark, d, "events").groupBy(X.categorize_message(F.expr(MESSAGE)).alias("category")).agg(F.count(F.lit(1)).alias("n")))
+
+
+@query(_WHOLE_COUNTS)
+def category_counts_whole(spark, d):
+    return _whole_categories(spark, d)
+
+
+@query(f"SELECT severity, sum(n)::BIGINT AS n FROM ({_WHOLE_COUNTS}) GROUP BY severity")
+def severity_counts_whole(spark, d):
+    return metrics.severity_counts(_whole_categories(spark, d))
+
+
 @query(f"SELECT severity, sum(n)::BIGINT AS n FROM ({_CATEGORY_COUNTS}) GROUP BY severity")
 def severity_counts(spark, d):
     return metrics.severity_counts(_categories(spark, d))
@@ -335,6 +352,11 @@ def least_collected_repos(spark, d):
     return table(spark, d, "documents").where("doc_id % 7 < 3").groupBy(F.col("source").alias("repo")).agg(F.count(F.lit(1)).alias("collected"), F.min("doc_id").alias("seq")).orderBy("collected", "seq").limit(10).drop("seq")
 
 
+@query("SELECT source AS repo, count(*) AS collected FROM documents GROUP BY 1 ORDER BY collected, min(doc_id) LIMIT 10")
+def least_collected_repos_whole(spark, d):
+    return table(spark, d, "documents").groupBy(F.col("source").alias("repo")).agg(F.count(F.lit(1)).alias("collected"), F.min("doc_id").alias("seq")).orderBy("collected", "seq").limit(10).drop("seq")
+
+
 @query("SELECT o_orderkey AS batch_id, o_orderdate AS start_time FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 5")
 def recent_batches(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("batch_id"), F.col("o_orderdate").alias("start_time")).orderBy(F.desc("start_time"), "batch_id").limit(5)
@@ -419,6 +441,13 @@ def plan_next_batch(spark, d):
     return curate.plan_batch(repos, counts, 100_000, 250)
 
 
+@query("""WITH r AS (SELECT source AS repo, count(*) AS collected, min(doc_id) AS seq FROM documents GROUP BY 1), l AS (SELECT * FROM r ORDER BY collected, seq LIMIT 10)
+SELECT repo, collected, least(250, 100000 - (SELECT sum(collected) FROM r))::BIGINT AS batch_size, greatest(1, least(250, 100000 - (SELECT sum(collected) FROM r)) // (SELECT count(*) FROM l))::BIGINT AS per_repo, 'planned' AS status FROM l""")
+def plan_next_batch_whole(spark, d):
+    docs = table(spark, d, "documents").select(F.col("source").alias("repo"), "doc_id")
+    return curate.plan_batch(docs.groupBy("repo").agg(F.min("doc_id").alias("seq")), docs.groupBy("repo").agg(F.count(F.lit(1)).alias("collected")), 100_000, 250)
+
+
 @query()
 def diversity_filter(spark, d):
     docs = table(spark, d, "documents").select("source", F.concat(F.col("lang"), F.lit("/"), (F.col("doc_id") % 9).cast("string")).alias("folder"), "doc_id")
@@ -460,6 +489,18 @@ def build_from_cache(spark, d):
     return curate.with_index(rows, "ts", ties=("event_id",)).drop("ts")
 
 
+@query("SELECT event_type AS session_id, count(*) AS n, list(event_id ORDER BY event_id)::VARCHAR AS specifications FROM events GROUP BY 1")
+def export_session_whole(spark, d):
+    out = cache.export(table(spark, d, "events").select(F.col("event_type").alias("session_id"), F.col("event_id")), "session_id", ["event_id"], "event_id")
+    listed = F.transform("specifications", lambda s: s["event_id"].cast("string"))
+    return out.select("session_id", "n", F.concat(F.lit("["), F.array_join(listed, ", "), F.lit("]")).alias("specifications"))
+
+
+@query("SELECT event_id, event_type, row_number() OVER (ORDER BY ts, event_id) AS index FROM events")
+def build_from_cache_whole(spark, d):
+    return curate.with_index(table(spark, d, "events").select("event_id", "event_type", "ts"), "ts", ties=("event_id",)).drop("ts")
+
+
 @query("SELECT user_id AS session_id, max(ts) AS created_at FROM events GROUP BY 1")
 def list_sessions(spark, d):
     return table(spark, d, "events").groupBy(F.col("user_id").alias("session_id")).agg(F.max("ts").alias("created_at")).orderBy(F.desc("created_at"))

@@ -13,3 +13,10 @@ def count(spark, name):
 def test_all_documents_are_loaded_and_scanned(spark):
     n = count(spark, "documents")
     assert {q: QUERIES[q](spark, SF).count() for q in ("load_json_file_whole", "scan_py_dir_whole", "scan_pruned_dirs_whole", "scan_repo_tree_whole")} == {"load_json_file_whole": n, "scan_py_dir_whole": n + 1, "scan_pruned_dirs_whole": n + 1, "scan_repo_tree_whole": n}
+
+
+def test_all_rows_are_exported_and_counted(spark):
+    n = count(spark, "events")
+    total = lambda q: QUERIES[q](spark, SF).groupBy().sum("n").first()[0]
+    assert QUERIES["build_from_cache_whole"](spark, SF).count() == n
+    assert [total(q) for q in ("export_session_whole", "category_counts_whole", "severity_counts_whole")] == [n, n, n]
