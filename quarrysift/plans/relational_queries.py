@@ -76,6 +76,26 @@ def add_program(spark, d):
     return curate.add_programs(index, docs, X.content_hash(F.col("text")), "doc_id")
 
 
+_LABELLED = "doc_id IN (SELECT doc_id FROM labels)"
+
+
+def _labelled(spark, d):
+    """The known programs: all documents with labels."""
+    return table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+
+
+@query(f"SELECT doc_id FROM (SELECT doc_id, {_HASH} AS h FROM documents) WHERE h NOT IN (SELECT {_HASH} FROM documents WHERE {_LABELLED})")
+def anti_duplicate_whole(spark, d):
+    index = _labelled(spark, d).select(X.content_hash(F.col("text")).alias("content_hash"))
+    return curate.anti_duplicate(table(spark, d, "documents"), index, X.content_hash(F.col("text"))).select("doc_id")
+
+
+@query(f"WITH h AS (SELECT doc_id, source, {_HASH} AS content_hash FROM documents), i AS (SELECT * FROM h WHERE {_LABELLED}) SELECT * FROM i UNION ALL SELECT min(doc_id), arg_min(source, doc_id), content_hash FROM h WHERE content_hash NOT IN (SELECT content_hash FROM i) GROUP BY 3")
+def add_program_whole(spark, d):
+    index = _labelled(spark, d).select("doc_id", "source", X.content_hash(F.col("text")).alias("content_hash"))
+    return curate.add_programs(index, table(spark, d, "documents"), X.content_hash(F.col("text")), "doc_id")
+
+
 @query("SELECT doc_id AS id, 'label' AS origin FROM labels UNION ALL SELECT doc_id, 'document' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def anti_known_ids(spark, d):
     known = table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.lit("label").alias("origin"))
@@ -475,6 +495,11 @@ def migrate_legacy(spark, d):
     return cache.migrate(_entries(spark, d, "false"), old)
 
 
+@query(f"SELECT code_hash, spec_type, created_at, spec FROM ({_ROWS})")
+def migrate_legacy_whole(spark, d):
+    return cache.migrate(_entries(spark, d, "false"), _entries(spark, d))
+
+
 @query("SELECT event_type AS session_id, count(*) AS n, list(event_id ORDER BY event_id)::VARCHAR AS specifications FROM events WHERE user_id < 20 GROUP BY 1")
 def export_session(spark, d):
     rows = table(spark, d, "events").where("user_id < 20").select(F.col("event_type").alias("session_id"), F.col("event_id"))

@@ -20,3 +20,11 @@ def test_all_rows_are_exported_and_counted(spark):
     total = lambda q: QUERIES[q](spark, SF).groupBy().sum("n").first()[0]
     assert QUERIES["build_from_cache_whole"](spark, SF).count() == n
     assert [total(q) for q in ("export_session_whole", "category_counts_whole", "severity_counts_whole")] == [n, n, n]
+
+
+def test_known_side_is_a_whole_table(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    known = docs.join(labels, "doc_id", "left_semi").select("doc_id")
+    assert QUERIES["add_program_whole"](spark, SF).join(known, "doc_id").count() == known.count()
+    assert QUERIES["anti_duplicate_whole"](spark, SF).join(known, "doc_id").count() == 0
+    assert QUERIES["migrate_legacy_whole"](spark, SF).count() == docs.count()
