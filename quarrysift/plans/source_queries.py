@@ -176,9 +176,11 @@ def report_text(spark, d):
 
 @query()
 def report_html(spark, d):
-    labels = table(spark, d, "labels")
-    page = writers.report_html(labels.agg(F.count(F.lit(1)).alias("total")), labels.orderBy("doc_id"), 20)
-    return spark.createDataFrame([(page,)], "page string")
+    """All pages of the report: the index, its parts with all labels, and a page for each label."""
+    labels, root = table(spark, d, "labels"), f"{scratch(spark)}/report"
+    writers.write_report(labels.agg(F.count(F.lit(1)).alias("total")), labels, "doc_id", root)
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.html")
+    return files.select(F.regexp_extract(F.col("_metadata.file_path"), "/report/(.*)$", 1).alias("path"), F.col("value").alias("page"))
 
 
 @query("SELECT CASE doc_id % 2 WHEN 0 THEN 'ok' ELSE 'failed' END AS outcome, count(*) AS n FROM documents GROUP BY 1")

@@ -6,6 +6,7 @@ import html
 import json
 import os
 
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,3 +90,38 @@ def report_html(summary: DataFrame, detail: DataFrame, most: int = 1000) -> str:
     head = "".join(f"<th>{html.escape(c)}</th>" for c in detail.columns)
     body = "".join("<tr>" + "".join(map(cell, r)) + "</tr>" for r in rows)
     return f"<html><body><pre>{html.escape(report_text(summary))}</pre><table><tr>{head}</tr>{body}</table></body></html>"
+
+
+def write_report(summary: DataFrame, detail: DataFrame, key: str, folder: str) -> None:
+    """A page for each row, detail/KEY.html, and all rows in order of the key in index parts, by the executors; index.html links the parts.
+
+    folder is shared by all executors. Keys are unique and fit a file name.
+    """
+    columns, folder = detail.columns, folder.removeprefix("file://")
+    page = lambda title, body: f"<html><head><title>{html.escape(title)}</title></head><body>{body}</body></html>"
+    text = lambda v: html.escape(str(v))
+
+    def put(name: str, body: str) -> None:
+        path = os.path.join(folder, name)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        part = f"{path}.{os.getpid()}.part"
+        with open(part, "w", encoding="utf-8") as f:
+            f.write(body)
+        os.replace(part, path)
+
+    def write(rows) -> None:
+        lines = []
+        for r in rows:
+            name = str(r[key])
+            fields = "".join(f"<tr><th>{text(c)}</th><td>{text(v)}</td></tr>" for c, v in zip(columns, r))
+            put(f"detail/{name}.html", page(name, f'<a href="../index.html">index</a><table>{fields}</table>'))
+            cells = "".join(f"<td>{text(v)}</td>" for v in r)
+            lines.append(f'<tr>{cells}<td><a href="../detail/{text(name)}.html">page</a></td></tr>')
+        head = "".join(f"<th>{text(c)}</th>" for c in columns)
+        if lines:
+            put(f"parts/{TaskContext.get().partitionId():06d}.html", page("results", f"<table><tr>{head}<th></th></tr>{''.join(lines)}</table>"))
+
+    detail.orderBy(key).foreachPartition(write)
+    parts = os.path.join(folder, "parts")
+    links = "".join(f'<li><a href="parts/{p}">{p}</a></li>' for p in sorted(os.listdir(parts) if os.path.isdir(parts) else []))
+    put("index.html", page("report", f"<pre>{text(report_text(summary))}</pre><ul>{links}</ul>"))

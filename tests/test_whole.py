@@ -28,3 +28,11 @@ def test_known_side_is_a_whole_table(spark):
     assert QUERIES["add_program_whole"](spark, SF).join(known, "doc_id").count() == known.count()
     assert QUERIES["anti_duplicate_whole"](spark, SF).join(known, "doc_id").count() == 0
     assert QUERIES["migrate_legacy_whole"](spark, SF).count() == docs.count()
+
+
+def test_report_has_all_rows(spark):
+    labels = {str(r.doc_id) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    pages = {r.path: r.page for r in QUERIES["report_html"](spark, SF).collect()}
+    assert {p for p in pages if p.startswith("detail/")} == {f"detail/{i}.html" for i in labels} and "index.html" in pages
+    parts = [p for p in pages if p.startswith("parts/")]
+    assert sum(pages[p].count("<tr><td>") for p in parts) == len(labels) and all(p in pages["index.html"] for p in parts)
