@@ -537,6 +537,12 @@ def build_regen_input(spark, d):
     return curate.with_index(rows, "doc_id", "task_id").select("task_id", "filename", P.first_text(F.col("t"), F.col("source")).alias("code"))
 
 
+@query("SELECT row_number() OVER (ORDER BY doc_id) AS task_id, lang || '_' || doc_id || '.py' AS filename, coalesce(CASE WHEN trim(text) <> '' THEN text END, source) AS code FROM documents")
+def build_regen_input_whole(spark, d):
+    rows = table(spark, d, "documents").selectExpr("doc_id", "lang || '_' || doc_id || '.py' AS filename", "text", "source")
+    return curate.with_index(rows, "doc_id", "task_id").select("task_id", "filename", P.first_text(F.col("text"), F.col("source")).alias("code"))
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'cache' ELSE 'generated' END AS origin, CASE WHEN doc_id % 3 = 0 THEN source ELSE '// spec of ' || length(text) || ' characters' END AS spec FROM documents")
 def generate_specs(spark, d):
     """Cached rows from the cache, the others from the stub provider."""

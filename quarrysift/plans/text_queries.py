@@ -123,6 +123,11 @@ def sanitize_name(spark, d):
     return table(spark, d, "documents").select("doc_id", X.sanitize_name(F.substring("text", 1, 40)).alias("name"))
 
 
+@query(r"SELECT doc_id, coalesce(nullif(trim(regexp_replace(text, '[^A-Za-z0-9_]+', '_', 'g'), '_'), ''), 'func') AS name FROM documents")
+def sanitize_name_whole(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.sanitize_name(F.col("text")).alias("name"))
+
+
 _STEM = r"regexp_replace(regexp_extract(p, '([^/]*)$', 1), '\.[^.]*$', '')"
 
 
@@ -351,6 +356,12 @@ def splitlines(spark, d):
     return rows.select("doc_id", F.size(X.split_lines(F.col("text"))).cast("long").alias("n"), X.strip(F.concat(F.lit("  "), short, F.lit(" "))).alias("stripped"), F.lower(short).alias("low"))
 
 
+@query("SELECT doc_id, len(string_split(regexp_replace(text, '\\n$', ''), chr(10)))::BIGINT AS n, regexp_replace('  ' || text || ' ', '^\\s+|\\s+$', '', 'g') AS stripped, lower(text) AS low FROM documents")
+def splitlines_whole(spark, d):
+    rows = table(spark, d, "documents")
+    return rows.select("doc_id", F.size(X.split_lines(F.col("text"))).cast("long").alias("n"), X.strip(F.concat(F.lit("  "), F.col("text"), F.lit(" "))).alias("stripped"), F.lower("text").alias("low"))
+
+
 @query("SELECT event_id, round(value, 2) AS rounded, printf('%.1f%%', round(value, 1)) AS percent FROM events WHERE value IS NOT NULL")
 def rounding(spark, d):
     return table(spark, d, "events").where("value IS NOT NULL").select("event_id", F.round("value", 2).alias("rounded"), F.format_string("%.1f%%", F.round("value", 1)).alias("percent"))

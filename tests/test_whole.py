@@ -36,3 +36,10 @@ def test_report_has_all_rows(spark):
     assert {p for p in pages if p.startswith("detail/")} == {f"detail/{i}.html" for i in labels} and "index.html" in pages
     parts = [p for p in pages if p.startswith("parts/")]
     assert sum(pages[p].count("<tr><td>") for p in parts) == len(labels) and all(p in pages["index.html"] for p in parts)
+
+
+def test_whole_texts_are_seen(spark):
+    longest = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("max(length(trim(text)))").first()[0]
+    assert QUERIES["build_regen_input_whole"](spark, SF).selectExpr("max(length(trim(code)))").first()[0] == longest
+    assert QUERIES["splitlines_whole"](spark, SF).selectExpr("max(length(trim(low)))").first()[0] == longest
+    assert QUERIES["sanitize_name_whole"](spark, SF).selectExpr("max(length(name))").first()[0] > 40
