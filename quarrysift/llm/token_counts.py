@@ -64,14 +64,17 @@ def joined_fields(columns: list[str], separator: str = "\n") -> tuple[Column, Co
     return F.concat_ws(separator, *texts), F.array(*spans)
 
 
-def token_counts(docs: DataFrame, ranks_path: str, pattern: str, rule: str = "first", sections: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_counts(docs: DataFrame, ranks_path: str, pattern: str, rule: str = "first", sections: Column | None = None, id_col: str = "doc_id", text_col: str = "text", outside: bool = False) -> DataFrame:
     """One row for each section of each document: id_col, section (from 0), char_start, char_end, n_tokens, n_crossing.
 
     sections: an array of (start, end) in characters of the text, clipped to it; by default the lines, each without its
-    \\n, which goes to no line under `share` and with the token that holds it otherwise. Empty sections have no tokens. A null
-    text counts as empty: one empty line, 0 tokens; a null array gives no rows. Repeated rows are counted one by one; extra
-    columns are ignored.
+    \\n: a token (or share of one) whose place by the rule is a \\n lies in no line. With outside, each document has one more
+    row for these, section -1 over the whole text, so that its counts add up. Empty sections have no tokens. A null text counts
+    as empty: one empty line, 0 tokens; a null array gives no rows. Repeated rows are counted one by one; extra columns are
+    ignored.
     """
+    if outside and sections is not None:
+        raise ValueError("outside is for the default lines, which don't overlap")
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
     bounded_batches(docs.sparkSession)
@@ -94,10 +97,14 @@ def token_counts(docs: DataFrame, ranks_path: str, pattern: str, rule: str = "fi
                 else:
                     breaks = np.flatnonzero(data == 10)
                     starts, stops = np.concatenate([[0], breaks + 1]), np.append(breaks, len(data))
-                n, cross = attribute(encoder.ends(text), starts, stops, rule)
-                k = len(starts)
+                ends = encoder.ends(text)
+                n, cross = attribute(ends, starts, stops, rule)
+                k, numbers = len(starts), np.arange(len(starts))
+                if outside:
+                    k, numbers, starts, stops = k + 1, np.append(numbers, -1), np.append(starts, 0), np.append(stops, len(data))
+                    n, cross = np.append(n, len(ends) - n.sum()), np.append(cross, 0)
                 index.append(np.full(k, row))
-                section.append(np.arange(k))
+                section.append(numbers)
                 first.append(np.searchsorted(at, starts))
                 last.append(np.searchsorted(at, stops))
                 tokens.append(n)
