@@ -120,10 +120,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, usable,
     return docs.select(F.col(id_col).alias("id"), text_of(text_col).cast("binary").alias("text")).join(F.broadcast(few), "id").select("id", "label", "text")
 
 
-def without_near_copies(sample: DataFrame, keys: int = 5, width: int = 2) -> DataFrame:
-    """(id, label, text) rows of which none agree in a key of `width` MinHash values of their longer words.
+def without_near_copies(sample: DataFrame, keys: int = 5, width: int = 2, least: float = 0.8) -> DataFrame:
+    """(id, label, text) rows without those that are near copies of a row with a smaller id and the same label.
 
-    Near copies agree in one of the keys almost surely, other texts hardly ever. The smallest id stays.
+    Near copies have word sets with a Jaccard similarity of `least` or more. Rows are compared where they agree in a key of
+    `width` MinHash values of their longer words, as near copies almost surely do in one of the keys.
     """
     seeds = [hashlib.blake2b(f"key {i}".encode(), digest_size=8).digest() for i in range(keys * width)]
 
@@ -134,19 +135,33 @@ def without_near_copies(sample: DataFrame, keys: int = 5, width: int = 2) -> Dat
                 words = {w for w in fold(text) if len(w) > 5} or set(fold(text)) or {b""}
                 h = np.array([zlib.crc32(w) for w in words], np.uint64)
                 lows = [int(((h * np.uint64(int.from_bytes(s, "little") | 1)) >> np.uint64(16)).min()) for s in seeds]
-                out.append([f"{lows[i : i + width]}" for i in range(0, len(lows), width)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.string()))], names=["id", "keys"])
+                out.append([f"{i} {lows[i : i + width]}" for i in range(0, len(lows), width)])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(pa.string()))], names=["id", "label", "text", "keys"])
 
-    kept = sample.mapInArrow(sketch, "id long, keys array<string>")
-    for i in range(keys):
-        kept = kept.groupBy(F.col("keys")[i].alias("key")).agg(F.min_by(F.struct("id", "keys"), "id").alias("r")).select("r.*")
-    return sample.join(F.broadcast(kept.select("id")), "id").select("id", "label", "text")  # ids of a bounded sample
+    def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, stay = None, []
+        for b in batches:
+            gone = []
+            for i, label, text, key in zip(*(c.to_pylist() for c in b.columns)):
+                if (label, key) != group:
+                    group, stay = (label, key), []
+                words = set(fold(text))
+                near = lambda other: len(words & other) >= least * len(words | other)
+                if any(j != i and near(other) for j, other in stay):
+                    gone.append(i)
+                else:
+                    stay.append((i, words))
+            yield pa.RecordBatch.from_arrays([pa.array(gone, pa.int64())], names=["id"])
+
+    keyed = sample.mapInArrow(sketch, "id long, label int, text binary, keys array<string>").select("id", "label", "text", F.explode("keys").alias("key"))
+    gone = keyed.repartition("label", "key").sortWithinPartitions("label", "key", "id").mapInArrow(copies, "id long").distinct()
+    return sample.join(F.broadcast(gone), "id", "left_anti")  # ids of a bounded sample
 
 
 def train(sample: DataFrame, prior: float = 0.02, least_z: float = 3.5, least_odds: float = 1.5, least_docs: int = 4) -> Model:
     """The model from (id, label, text) rows, a bounded sample. Without both labels all scores are near the only one.
 
-    Copies and near copies count once, and a unit three times in a text at most, so that no single text makes a unit
+    Copies and near copies of one label count once, and a unit three times in a text at most, so that no single text makes a unit
     significant.
     """
 

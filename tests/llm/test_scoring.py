@@ -109,6 +109,13 @@ def test_every_occurrence_scores():
     assert max(scanner.evidence(late)[1], key=lambda s: s[2]) == (len(late) - 8, len(late), pytest.approx(32.0))
 
 
+def test_only_near_copies_of_a_label_go(spark):
+    one, other = "commonword " + " ".join(f"a{i}" for i in range(40)), "commonword " + " ".join(f"b{i}" for i in range(40))
+    rows = [(1, 0, one), (2, 0, other), (3, 0, one + " a99"), (4, 1, one), (5, 1, one), (6, 0, ""), (7, 0, "")]
+    sample = spark.createDataFrame(rows, "id long, label int, text string").selectExpr("id", "label", "cast(text as binary) AS text")
+    assert {r.id for r in TX.without_near_copies(sample).collect()} == {1, 2, 4, 6}
+
+
 def test_toxicity_without_labels(spark, frame, words):
     docs = frame([(1, words(5)), (2, None)])
     labels = spark.createDataFrame([(1, 0), (2, None), (7, 1)], "doc_id long, toxic int")
