@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_EDGE = r"[\s\x1c-\x1f\x85]+"
-_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+#: White space as Unicode and Python have it.
+SPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
+def once(value: Column, then) -> Column:
+    """then(value), with the value computed once for a row however often `then` uses it. A null value is passed on."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def strip(c: Column) -> Column:
-    """Without white space at either end, as Unicode has it."""
-    return F.regexp_replace(c, rf"(?U)^{_EDGE}|{_EDGE}\z", "")
+    """Without white space at either end, as Unicode has it; in linear time."""
+    return F.btrim(c, F.lit(SPACE))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U){_EDGE}\z", "")
+    return F.rtrim(c, F.lit(SPACE))
 
 
 def lstrip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)^{_EDGE}", "")
+    return F.ltrim(c, F.lit(SPACE))
 
 
 def lines(c: Column) -> Column:
@@ -74,7 +82,7 @@ def zfill(c: Column, width: int) -> Column:
 
 
 def basename(c: Column) -> Column:
-    return F.regexp_extract(c, r"([^/]*)\z", 1)
+    return F.substring_index(c, "/", -1)
 
 
 def stem(c: Column) -> Column:
@@ -131,7 +139,7 @@ MESSAGE_RULES = [
     ("Command-line", [r"\bunknown (switch|option)\b|\bnot a recognized option\b", r"\bno dafny source files\b|\bfilename extension .* is not supported\b", r"\bonly one \.dfy file\b|\bmodelview file must be specified\b|\bcannot be formatted in place\b"]),
 ]
 #: How severe a category is.
-SEVERITY = {"Verification": "Critical", "Parser": "High", "Name/Type Resolution": "High", "Ghost/Spec Context": "Medium", "Determinism": "Medium", "Compilation": "High", "Command-line": "Low", "Other": "Low"}
+SEVERITY = {"Verification": "Critical", "Parser": "High", "Name/Type Resolution": "High", "Compilation": "High", "Ghost/Spec Context": "Medium", "Determinism": "Medium", "Command-line": "Low", "Other": "Low"}
 SEVERITY_LEVELS = ["Critical", "High", "Medium", "Low"]
 
 
@@ -144,11 +152,15 @@ def normalize_message(c: Column) -> Column:
 
 def categorize_message(c: Column) -> Column:
     """The first category one of whose patterns is in the normalized message, else Other."""
-    m, out = normalize_message(c), None
-    for category, patterns in MESSAGE_RULES:
-        hit = m.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
-        out = F.when(hit, category) if out is None else out.when(hit, category)
-    return out.otherwise("Other")
+
+    def rules(m: Column) -> Column:
+        out = None
+        for category, patterns in MESSAGE_RULES:
+            hit = m.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns))
+            out = F.when(hit, category) if out is None else out.when(hit, category)
+        return out.otherwise("Other")
+
+    return once(normalize_message(c), rules)
 
 
 def severity(category: Column) -> Column:
@@ -204,14 +216,21 @@ def extract_blocks(c: Column) -> Column:
     return F.when(F.size(own) > 0, F.array_join(own, "\n\n")).otherwise(F.array_join(likely, "\n\n"))
 
 
+#: Patterns of code in a text, in order, with the group that is the code; headings and emphasis to take out of it.
+CODE_PATTERNS = [(r"(?is)```dafny\s*\n(.*?)\n```", 1), (r"(?is)```\s*\n(.*?)\n```", 1), (r"(?is)module\s+\w+\s*\{.*?\}", 0)]
+MARKUP = [("(?m)^#.*$", ""), (r"\*\*(.*?)\*\*", "$1"), (r"\*(.*?)\*", "$1")]
+
+
 def extract_longest(c: Column) -> Column:
     """The longest match of the first pattern that matches, without headings and emphasis; else the text if it has a keyword."""
     out = None
-    for pattern, group in ((r"(?is)```dafny\s*\n(.*?)\n```", 1), (r"(?is)```\s*\n(.*?)\n```", 1), (r"(?is)module\s+\w+\s*\{.*?\}", 0)):
+    for pattern, group in CODE_PATTERNS:
         found = F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
         longest = F.aggregate(found, F.lit(None).cast("string"), lambda a, x: F.when(a.isNull() | (F.length(x) > F.length(a)), x).otherwise(a))
-        code = F.regexp_replace(strip(longest), "(?m)^#.*$", "")
-        code = strip(F.regexp_replace(F.regexp_replace(code, r"\*\*(.*?)\*\*", "$1"), r"\*(.*?)\*", "$1"))
+        code = strip(longest)
+        for mark, to in MARKUP:
+            code = F.regexp_replace(code, mark, to)
+        code = strip(code)
         out = F.when(F.size(found) > 0, code) if out is None else out.when(F.size(found) > 0, code)
     return out.when(_any(c, TEXT_WORDS, "contains"), strip(c))
 
@@ -222,14 +241,23 @@ def extract_python_block(c: Column) -> Column:
     return F.coalesce(F.when(F.size(found) > 0, strip(F.get(found, F.lit(0)))).otherwise(strip(c)), F.lit(""))
 
 
+#: Rewrites of a specification, in order, and what calls in conditions look like.
+CODE_FIXES = [
+    (r"foreach\s+(\w+)\s+in\s+", "for $1 in "),
+    (r"sum\s+(\w+):\s+int\s+\{:trigger\s+(.*?)\}\s+::", "sum($1: int | $2 :: "),
+    (r"var\s+(\w+)\s*:=\s*new\s+bool\[(\w+)\]\[(\w+)\]", "var $1 := new bool[$2, $3]"),
+    (r"(\w+)\[(\w+)\]\[(\w+)\]", "$1[$2, $3]"),
+]
+CALL_IN_CONDITION = r"ensures.*\w+\(.*\)|requires.*\w+\(.*\)"
+
+
 def fix_common_errors(c: Column) -> Column:
     """foreach to for, sum triggers, two-dimensional arrays; a warning around texts that may call methods in conditions."""
-    code = F.regexp_replace(c, r"foreach\s+(\w+)\s+in\s+", "for $1 in ")
-    code = F.regexp_replace(code, r"sum\s+(\w+):\s+int\s+\{:trigger\s+(.*?)\}\s+::", "sum($1: int | $2 :: ")
-    code = F.regexp_replace(code, r"var\s+(\w+)\s*:=\s*new\s+bool\[(\w+)\]\[(\w+)\]", "var $1 := new bool[$2, $3]")
-    code = F.regexp_replace(code, r"(\w+)\[(\w+)\]\[(\w+)\]", "$1[$2, $3]")
-    warned = F.concat(F.lit(WARNING + "\n"), code, F.lit("\n" + NOTE))
-    return F.when(code.rlike(r"ensures.*\w+\(.*\)|requires.*\w+\(.*\)"), warned).otherwise(code)
+    code = c
+    for pattern, to in CODE_FIXES:
+        code = F.regexp_replace(code, pattern, to)
+    warned = lambda x: F.concat(F.lit(WARNING + "\n"), x, F.lit("\n" + NOTE))
+    return once(code, lambda x: F.when(x.rlike(CALL_IN_CONDITION), warned(x)).otherwise(x))
 
 
 #: The comments that fix_common_errors and add_header write.
@@ -255,21 +283,27 @@ LOG_PATTERNS = [
 
 
 def parse_log_line(c: Column) -> Column:
-    """struct(type, file, line, column, message) of one log line; null where no pattern fits."""
-    out = None
-    for pattern, kind in LOG_PATTERNS:
-        placed = "(.+?)" in pattern.split(":")[0] and pattern.count("(") > 4
-        part = lambda g, p=pattern: F.regexp_extract(c, p, g)
-        none = F.lit(None)
-        found = F.struct(
-            F.lit(kind).alias("type"),
-            (part(1) if placed else none.cast("string")).alias("file"),
-            (part(2).cast("long") if placed else none.cast("long")).alias("line"),
-            (part(3).cast("long") if placed else none.cast("long")).alias("column"),
-            strip(part(4) if placed else part(1)).alias("message"),
+    """struct(type, file, line, column, message) of one log line; null where no pattern fits.
+
+    Lines without either word are passed over; of the others, a pattern's first match is searched once and cut into its groups
+    once (no group can hold a line break, which parts them).
+    """
+
+    def found(pattern: str, kind: str) -> Column:
+        groups = re.compile(pattern).groups
+        parted = F.transform(
+            F.filter(F.array(F.regexp_extract(c, pattern, 0)), lambda m: m != ""),
+            lambda m: F.split(F.regexp_replace(m, pattern, "\n".join(f"${g}" for g in range(1, groups + 1))), "\n", -1),
         )
-        out = F.when(c.rlike(pattern), found) if out is None else out.when(c.rlike(pattern), found)
-    return out
+        placed = groups == 4
+
+        def fields(g: Column) -> Column:
+            part = lambda i, kind: F.get(g, F.lit(i)).cast(kind) if placed else F.lit(None).cast(kind)
+            return F.struct(F.lit(kind).alias("type"), part(0, "string").alias("file"), part(1, "long").alias("line"), part(2, "long").alias("column"), strip(F.get(g, F.lit(groups - 1))).alias("message"))
+
+        return F.get(F.transform(parted, fields), F.lit(0))
+
+    return F.when(F.lower(c).contains("error") | F.lower(c).contains("warning"), F.coalesce(*[found(p, k) for p, k in LOG_PATTERNS]))
 
 
 def parse_log(c: Column) -> Column:
@@ -278,9 +312,13 @@ def parse_log(c: Column) -> Column:
     return F.filter(found, lambda x: x["d"].isNotNull() & (x["raw_line"] != ""))
 
 
+#: The lines that count errors.
+PARSE_COUNT, VERIFY_COUNT = r"(?i)(\d+)\s+parse\s+errors?\s+detected", r"(?i)(\d+)\s+verification\s+errors?"
+
+
 def count_messages(c: Column) -> Column:
     """Messages of the lines that count errors."""
-    parse, verify = F.regexp_extract(c, r"(?i)(\d+)\s+parse\s+errors?\s+detected", 1), F.regexp_extract(c, r"(?i)(\d+)\s+verification\s+errors?", 1)
+    parse, verify = F.regexp_extract(c, PARSE_COUNT, 1), F.regexp_extract(c, VERIFY_COUNT, 1)
     low = F.lower(c)
     return F.array_compact(
         F.array(

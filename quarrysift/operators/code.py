@@ -8,8 +8,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarrysift.functions import codeast
+from quarrysift.scratch import Scratch
 
 FEATURES = "valid boolean, has_if boolean, has_loop boolean, has_switch boolean, complexity int, complexity_v1 int, defs int, primary_name string"
 
@@ -48,6 +50,11 @@ def transform_dataset(df: DataFrame, names: list[str], code: str = "code", path:
     return out.withColumn("output_filename", label_output_name(F.col(path), F.lit(names[0]))) if path else out
 
 
+def process_dataset(df: DataFrame, names: list[str], owner: Scratch | None = None, **params) -> tuple[DataFrame, DataFrame]:
+    """transform_dataset, written once, as rows that were rewritten and rows that failed."""
+    return split_errors(Scratch(df.sparkSession, owner).keep(transform_dataset(df, names, **params), "rewritten"))
+
+
 def split_errors(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows that were rewritten, and rows that failed."""
     return df.where("transformation_error IS NULL"), df.where("transformation_error IS NOT NULL")
@@ -89,7 +96,7 @@ def slice_functions(df: DataFrame, code: str = "code") -> DataFrame:
     return _exploded(df, code, "function: string, code: string, needed_consts: array<string>, stubbed_helpers: array<string>, imports_included: int, lines_out: int", codeast.slice_functions)
 
 
-@F.udtf(returnType="function string, code string, needed_consts array<string>, stubbed_helpers array<string>, imports_included int, lines_out int")
+@F.udtf(returnType="function string, code string, needed_consts array<string>, stubbed_helpers array<string>, imports_included int, lines_out int", useArrow=True)
 class SliceFunctions:
     """slice_functions as a table function, for SQL with LATERAL."""
 
@@ -98,7 +105,13 @@ class SliceFunctions:
             yield tuple(s.values())
 
 
+@F.pandas_udf(T.StringType())
+def rewrite_code(codes: pd.Series, names: pd.Series) -> pd.Series:
+    """One rewrite for each row, by name."""
+    return pd.Series([codeast.transform_code(c or "", [n])[0] for c, n in zip(codes, names)])
+
+
 def register(spark) -> None:
-    """Table functions and the plain rewriter for SQL."""
+    """Table functions and the plain rewriter for SQL, both in Arrow batches."""
     spark.udtf.register("slice_functions", SliceFunctions)
-    spark.udf.register("rewrite_code", lambda code, name: codeast.transform_code(code or "", [name])[0], "string")
+    spark.udf.register("rewrite_code", rewrite_code)

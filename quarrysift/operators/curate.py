@@ -12,33 +12,38 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrysift.operators import prefix
+from quarrysift.scratch import Scratch
 
 
 def key_of(*columns: str) -> Column:
-    """Fields as one key, nulls as empty."""
+    """Fields as one text key, nulls as empty. Not one to one: a § inside a field parts it too, and null equals empty."""
     return F.concat_ws("§", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
 
 
-def dedup_rows(df: DataFrame, keys: list[str], seq: str, prefer: str = "first", field: str | None = None) -> DataFrame:
+def _tie(df: DataFrame) -> Column:
+    """A hash of a row, to order rows that are otherwise equal; of columns that can be hashed."""
+    plain = [f.name for f in df.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    return F.xxhash64(*[F.col(c) for c in plain])
+
+
+def dedup_rows(df: DataFrame, keys: list[str], seq: str, prefer: str = "first", field: str | None = None, joined: bool = False) -> DataFrame:
     """One row for each key, with first_seq, the place of its first row: the first, the last, or that with the longest field.
 
-    Of equally long ones the first stays. Without keys all rows stay. The winner's seq is found by an aggregate, and rows
-    meet it by (key, seq): no task meets all rows of one key.
+    Of equally long ones the first stays; a row without seq counts as the last one for `first` and `longer`, as the first for
+    `last`; rows of equal seq are told apart by a hash, so one row stays whatever repeats. Without keys all rows stay. Keys
+    are compared column by column, null being a value of its own; with joined, as the text key_of. One aggregate with
+    map-side combining: a task sends one row for a key, so no task meets all rows of one.
     """
     if not keys:
         return df.withColumn("first_seq", F.col(seq))
-    rows = df.withColumn("__key", key_of(*keys))
+    row, place, tie = F.struct("*"), F.col(seq), _tie(df)
     if prefer == "last":
-        wins = F.max(seq)
-    elif prefer == "longer" and field:
-        length = F.length(F.coalesce(F.col(field).cast("string"), F.lit(""))).cast("decimal(19,0)")
-        # The longest, then the first, as one number that an aggregate can keep in place.
-        wins = F.pmod(F.max(length * F.lit(2**62).cast("decimal(19,0)") + (F.lit(2**62 - 1).cast("decimal(19,0)") - F.col(seq))), F.lit(2**62).cast("decimal(19,0)"))
-        wins = (F.lit(2**62 - 1).cast("decimal(19,0)") - wins).cast("long")
+        best = F.max_by(row, F.struct(place.isNotNull(), place, tie))
     else:
-        wins = F.min(seq)
-    best = rows.groupBy("__key").agg(wins.alias("__seq"), F.min(seq).alias("first_seq"))
-    return rows.join(best, (rows["__key"] == best["__key"]) & (rows[seq] == best["__seq"])).select(*[rows[c] for c in df.columns], "first_seq")
+        length = F.length(F.coalesce(F.col(field).cast("string"), F.lit(""))) if prefer == "longer" and field else F.lit(0)
+        best = F.min_by(row, F.struct(-length, place.isNull(), place, tie))
+    by = [key_of(*keys).alias("__k0")] if joined else [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
+    return df.groupBy(*by).agg(best.alias("__row"), F.min(seq).alias("__first")).select("__row.*", F.col("__first").alias("first_seq"))
 
 
 def dedup_exact(df: DataFrame, hashed: Column, seq: str) -> DataFrame:
@@ -57,21 +62,27 @@ def add_programs(index: DataFrame, df: DataFrame, hashed: Column, seq: str) -> D
     return index.unionByName(new.select(*index.columns))
 
 
-def with_index(df: DataFrame, seq: str, out: str = "index", ties: tuple[str, ...] = ()) -> DataFrame:
-    """A 1-based index in the order of seq, then ties. Rows are numbered within ranges of seq, and ranges are summed in order.
+#: Rows that a range of a global order holds, about.
+RANGE_ROWS = 2_000_000
+
 
-    The ranges' bounds come from one sampling pass and are then constants (512 at most), so every use of a row sees the same
-    range; no task meets all rows. Nulls come first. Rows of one seq value share a range.
+def with_index(df: DataFrame, seq: str, out: str = "index", ties: tuple[str, ...] = (), owner: Scratch | None = None) -> DataFrame:
+    """A 1-based index in the order of seq, then ties, then a hash of the row. Nulls come first.
+
+    Rows are range-sorted and written once, with their place in their range; a range's first number is the sum of the ranges
+    before it. The number of ranges grows with the rows, and rows of one seq are parted by ties and hash, so no task meets
+    more than about RANGE_ROWS of them. One shuffle; only one count for each range is broadcast.
     """
-    parts = min(512, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = df.select(seq).where(F.col(seq).isNotNull()).repartitionByRange(parts, seq)
-    bounds = sorted(r["b"] for r in dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.min(seq).alias("b")).collect())
-    place = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(seq))) if bounds else F.lit(0)
-    ranged = df.withColumn("__p", F.when(F.col(seq).isNull(), -1).otherwise(place))
-    counts = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    own = F.row_number().over(Window.partitionBy("__p").orderBy(seq, *ties))
-    return ranged.join(F.broadcast(before), "__p").withColumn(out, (own + F.col("__before")).cast("long")).drop("__p", "__before")
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.count() // RANGE_ROWS + 1)
+    order = [seq, *ties, "__index_tie"]
+    ranged = df.withColumn("__index_tie", _tie(df)).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # An id of this function is the partition's number, then the row's place in it.
+    placed = Scratch(spark, owner).keep(ranged.drop("__index_tie").withColumn("__index_at", F.monotonically_increasing_id()), "ranges")
+    placed = placed.withColumn("__index_range", F.shiftright("__index_at", 33))
+    counts = placed.groupBy("__index_range").agg(F.count(F.lit(1)).alias("__index_n"))
+    before = counts.withColumn("__index_before", F.sum("__index_n").over(Window.orderBy("__index_range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__index_n")).drop("__index_n")
+    return placed.join(F.broadcast(before), "__index_range").withColumn(out, F.col("__index_before") + F.col("__index_at").bitwiseAND(2**33 - 1) + 1).drop("__index_range", "__index_at", "__index_before")
 
 
 def per_group_top(df: DataFrame, group: str, order: list[Column], most: int) -> DataFrame:
@@ -88,13 +99,13 @@ def shuffled_limit(df: DataFrame, seed: int, ids: list[str], most: int) -> DataF
     return df.withColumn("shuffle_key", random_order(seed, *ids)).orderBy("shuffle_key", *ids).limit(most)
 
 
-def stratified_split(df: DataFrame, strata: list[str], seed: int, ids: list[str], train: float = 0.6, test: float = 0.2) -> DataFrame:
+def stratified_split(df: DataFrame, strata: list[str], seed: int, ids: list[str], train: float = 0.6, test: float = 0.2, owner: Scratch | None = None) -> DataFrame:
     """A column split: in each stratum, in random order, the first int(n * train) rows, the next int(n * test), the rest.
 
     Places in a stratum are prefix sums over ranges of the random key, so a stratum with most of the rows is spread out.
     """
     rows = df.withColumns({"__stratum": F.concat_ws("§", *[F.coalesce(F.concat(F.lit("v"), F.col(s).cast("string")), F.lit("n")) for s in strata]), "__key": random_order(seed, *ids), "__one": F.lit(1).cast("long")})
-    fine = prefix.range_sums(rows, "__stratum", "__key", "__one")
+    fine = Scratch(df.sparkSession, owner).keep(prefix.range_sums(rows, "__stratum", "__key", "__one"), "ranges")
     placed = prefix.sums_before(rows, fine, "__stratum", "__key", "__one", ids, "__before").join(prefix.group_sums(fine, "__stratum", "__n"), "__stratum")
     first, n = F.floor(F.col("__n") * F.lit(train)), F.col("__n")
     split = F.when(F.col("__before") < first, "train").when(F.col("__before") < first + F.floor(n * F.lit(test)), "validation").otherwise("test")
@@ -150,20 +161,18 @@ def best_match(names: DataFrame, candidates: DataFrame) -> DataFrame:
 def diverse(df: DataFrame, repo: str, folder: str, seq: str, free: int = 10, folders: int = 5) -> DataFrame:
     """Per repository in order: once `free` rows are taken from `folders` folders or more, rows of folders seen before go.
 
-    The rule looks back at what was taken, so a repository's light columns go through one function; their size is bounded by
-    the repository.
+    Until then every row is taken, and afterwards only the first row of a folder. So what stays is: rows up to the later one
+    of the free-th row and the folders-th new folder of the repository (all, where it has fewer), and each folder's first
+    row. seq is unique within a repository. The rows themselves meet one row for their (repository, folder).
     """
-    light = df.select(repo, folder, seq)
-
-    def keep(rows):
-        rows, seen, taken, out = rows.sort_values(seq), set(), 0, []
-        for f in rows[folder]:
-            ok = not (taken >= free and len(seen) >= folders and f in seen)
-            taken += ok
-            seen |= {f} if ok else set()
-            out.append(ok)
-        return rows[out][[repo, seq]]
-
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    kept = light.groupBy(repo).applyInPandas(keep, f"`{repo}` {kinds[repo]}, `{seq}` {kinds[seq]}")
-    return df.join(kept, [repo, seq], "left_semi")
+    light = df.select(F.col(repo).alias("__r"), F.col(folder).alias("__f"), F.col(seq).alias("__s"))
+
+    def nth(rows: DataFrame, n: int) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("__r").orderBy("__s"))
+        return rows.select("__r", "__s").withColumn("__n", place).where(F.col("__n") <= n).where(F.col("__n") == n).drop("__n")
+
+    firsts = light.groupBy("__r", "__f").agg(F.min("__s").alias("__s"))
+    until = nth(light, free).unionByName(nth(firsts, folders)).groupBy("__r").agg(F.max("__s").alias("__until"), F.count(F.lit(1)).alias("__both")).where("__both = 2")
+    bounds = firsts.withColumnRenamed("__s", "__first").join(until, firsts["__r"].eqNullSafe(until["__r"]), "left").select(firsts["__r"], "__f", "__first", "__until")
+    met = df.join(bounds, df[repo].eqNullSafe(bounds["__r"]) & df[folder].eqNullSafe(bounds["__f"]))
+    return met.where(F.col("__until").isNull() | (F.col(seq) <= F.col("__until")) | (F.col(seq) == F.col("__first"))).select(*[df[c] for c in df.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrysift.functions.text import SEVERITY, SEVERITY_LEVELS
+from quarrysift.functions.text import SEVERITY, SEVERITY_LEVELS, categorize_message
 
 
 def _rate(part: Column, whole: Column) -> Column:
@@ -36,6 +36,12 @@ def merge_histograms(*parts: DataFrame) -> DataFrame:
     return out.groupBy("message").agg(F.sum("n").cast("long").alias("n"))
 
 
+def categorized(df: DataFrame, message: str) -> DataFrame:
+    """(category, n) rows of messages: equal messages are counted first, so that the rules run once for each."""
+    distinct = df.groupBy(F.col(message).alias("message")).agg(F.count(F.lit(1)).alias("n"))
+    return distinct.select(categorize_message(F.col("message")).alias("category"), "n").groupBy("category").agg(F.sum("n").alias("n"))
+
+
 def category_counts(categorized: DataFrame) -> DataFrame:
     """Every category with count, severity and percent; (category, n) rows in."""
     spark = categorized.sparkSession

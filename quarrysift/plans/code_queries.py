@@ -106,19 +106,39 @@ def tx_forget_indent(spark, d):
     return rows.select("doc_id", each(F.col("c"), X.lstrip).alias("code"), each(F.col("c"), flat).alias("flat"))
 
 
-# ---- random rewrites: rows only -------------------------------------------------------------------------------------
+# ---- random rewrites: what any of their results must keep ------------------------------------------------------------
 
 
-@query()
+def _kept(rows, first: int, last: int):
+    """The lines that stay in place at the start and the end of a program, and all lines in order of their text."""
+    of = X.lines(F.col("code"))
+    ends = F.concat(F.slice(of, 1, first), F.slice(of, F.size(of) - last + 1, last))
+    return rows.select("doc_id", F.array_join(ends, "\n").alias("ends"), F.array_join(F.array_sort(of), "\n").alias("sorted"))
+
+
+def _kept_sql(lines: list[str], ends: list[str]) -> str:
+    return f"SELECT doc_id, {template(chr(10).join(ends))} AS ends, array_to_string(list_sort([{', '.join(map(template, lines))}]), chr(10)) AS sorted FROM documents"
+
+
+_FREE = ["    x = a + {doc_id}", "    y = b * 2", "    z = len(a)"]
+_ENDS = ["def f(a, b):", "    return x + y + z"]
+
+
+@query(_kept_sql([*_ENDS, *_FREE], _ENDS))
 def tx_permute_statement(spark, d):
-    code = F.expr(template("def f(a, b):\n    x = a + {doc_id}\n    y = b * 2\n    z = len(a)\n    return x + y + z"))
-    return table(spark, d, "documents").select("doc_id", C.rewrite(code, ["permute_statement"])["code"].alias("code"))
+    """Any order of the three independent statements; nothing else moves."""
+    code = F.expr(template("\n".join([_ENDS[0], *_FREE, _ENDS[1]])))
+    return _kept(table(spark, d, "documents").select("doc_id", C.rewrite(code, ["permute_statement"])["code"].alias("code")), 1, 1)
+
+
+_LOGGED = ["def f_{doc_id}(a):", "    x = a", "    y = x", "    return y"]
 
 
-@query()
+@query(_kept_sql([*_LOGGED, "    print('LOG: reached')"], [_LOGGED[0]]))
 def tx_log_statement_random(spark, d):
-    code = F.expr(template("def f_{doc_id}(a):\n    x = a\n    y = x\n    return y"))
-    return table(spark, d, "documents").select("doc_id", C.rewrite(code, ["log_statement"], {"log_statement": {"seed": 7}})["code"].alias("code"))
+    """One line more, anywhere in the body."""
+    code = F.expr(template("\n".join(_LOGGED)))
+    return _kept(table(spark, d, "documents").select("doc_id", C.rewrite(code, ["log_statement"], {"log_statement": {"seed": 7}})["code"].alias("code")), 1, 0)
 
 
 # ---- features -------------------------------------------------------------------------------------------------------
@@ -193,7 +213,7 @@ def changed_only(spark, d):
 @query("SELECT doc_id, CASE WHEN doc_id % 4 = 2 THEN 'failed' ELSE 'done' END AS part FROM documents")
 def process_dataset(spark, d):
     rows = table(spark, d, "documents").selectExpr("doc_id", f"{PROGRAMS} AS code")
-    done, failed = C.split_errors(C.transform_dataset(rows, ["drop_comments"]))
+    done, failed = C.process_dataset(rows, ["drop_comments"])
     return done.select("doc_id", F.lit("done").alias("part")).unionByName(failed.select("doc_id", F.lit("failed").alias("part")))
 
 

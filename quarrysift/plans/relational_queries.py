@@ -62,20 +62,6 @@ def join_manifest(spark, d):
     return pages.join(manifest, "base", "left").select("page_id", "lang", "source")
 
 
-@query(f"SELECT doc_id FROM (SELECT doc_id, {_HASH} AS h FROM documents) WHERE h NOT IN (SELECT {_HASH} FROM documents WHERE doc_id < 200)")
-def anti_duplicate(spark, d):
-    docs = table(spark, d, "documents")
-    index = docs.where("doc_id < 200").select(X.content_hash(F.col("text")).alias("content_hash"))
-    return curate.anti_duplicate(docs, index, X.content_hash(F.col("text"))).select("doc_id")
-
-
-@query(f"WITH h AS (SELECT doc_id, source, {_HASH} AS content_hash FROM documents), i AS (SELECT * FROM h WHERE doc_id < 200) SELECT * FROM i UNION ALL SELECT min(doc_id), arg_min(source, doc_id), content_hash FROM h WHERE content_hash NOT IN (SELECT content_hash FROM i) GROUP BY 3")
-def add_program(spark, d):
-    docs = table(spark, d, "documents")
-    index = docs.where("doc_id < 200").select("doc_id", "source", X.content_hash(F.col("text")).alias("content_hash"))
-    return curate.add_programs(index, docs, X.content_hash(F.col("text")), "doc_id")
-
-
 _LABELLED = "doc_id IN (SELECT doc_id FROM labels)"
 
 
@@ -85,13 +71,13 @@ def _labelled(spark, d):
 
 
 @query(f"SELECT doc_id FROM (SELECT doc_id, {_HASH} AS h FROM documents) WHERE h NOT IN (SELECT {_HASH} FROM documents WHERE {_LABELLED})")
-def anti_duplicate_whole(spark, d):
+def anti_duplicate(spark, d):
     index = _labelled(spark, d).select(X.content_hash(F.col("text")).alias("content_hash"))
     return curate.anti_duplicate(table(spark, d, "documents"), index, X.content_hash(F.col("text"))).select("doc_id")
 
 
 @query(f"WITH h AS (SELECT doc_id, source, {_HASH} AS content_hash FROM documents), i AS (SELECT * FROM h WHERE {_LABELLED}) SELECT * FROM i UNION ALL SELECT min(doc_id), arg_min(source, doc_id), content_hash FROM h WHERE content_hash NOT IN (SELECT content_hash FROM i) GROUP BY 3")
-def add_program_whole(spark, d):
+def add_program(spark, d):
     index = _labelled(spark, d).select("doc_id", "source", X.content_hash(F.col("text")).alias("content_hash"))
     return curate.add_programs(index, table(spark, d, "documents"), X.content_hash(F.col("text")), "doc_id")
 
@@ -160,12 +146,11 @@ def merge_histograms(spark, d):
 
 
 _CATS = "(VALUES ('Verification','Critical'),('Parser','High'),('Name/Type Resolution','High'),('Ghost/Spec Context','Medium'),('Determinism','Medium'),('Compilation','High'),('Command-line','Low'),('Other','Low')) AS t(category, severity)"
-_CATEGORY_COUNTS = f"SELECT t.category, severity, coalesce(n, 0) AS n, round(coalesce(n, 0) * 100 / (SELECT count(*) FROM events WHERE event_id % 9 <> 4), 1) AS percent FROM {_CATS} LEFT JOIN (SELECT category, count(*) AS n FROM {CATEGORIZED} WHERE event_id % 9 <> 4 GROUP BY 1) c ON c.category = t.category"
+_CATEGORY_COUNTS = f"SELECT t.category, severity, coalesce(n, 0) AS n, round(coalesce(n, 0) * 100 / (SELECT count(*) FROM events), 1) AS percent FROM {_CATS} LEFT JOIN (SELECT category, count(*) AS n FROM {CATEGORIZED} GROUP BY 1) c ON c.category = t.category"
 
 
 def _categories(spark, d):
-    rows = table(spark, d, "events").where("event_id % 9 <> 4").groupBy(X.categorize_message(F.expr(MESSAGE)).alias("category")).agg(F.count(F.lit(1)).alias("n"))
-    return metrics.category_counts(rows)
+    return metrics.category_counts(metrics.categorized(table(spark, d, "events").select(F.expr(MESSAGE).alias("message")), "message"))
 
 
 @query(_CATEGORY_COUNTS)
@@ -173,23 +158,6 @@ def category_counts(spark, d):
     return _categories(spark, d)
 
 
-_WHOLE_COUNTS = f"SELECT t.category, severity, coalesce(n, 0) AS n, round(coalesce(n, 0) * 100 / (SELECT count(*) FROM events), 1) AS percent FROM {_CATS} LEFT JOIN (SELECT category, count(*) AS n FROM {CATEGORIZED} GROUP BY 1) c ON c.category = t.category"
-
-
-def _whole_categories(spark, d):
-    return metrics.category_counts(table(spark, d, "events").groupBy(X.categorize_message(F.expr(MESSAGE)).alias("category")).agg(F.count(F.lit(1)).alias("n")))
-
-
-@query(_WHOLE_COUNTS)
-def category_counts_whole(spark, d):
-    return _whole_categories(spark, d)
-
-
-@query(f"SELECT severity, sum(n)::BIGINT AS n FROM ({_WHOLE_COUNTS}) GROUP BY severity")
-def severity_counts_whole(spark, d):
-    return metrics.severity_counts(_whole_categories(spark, d))
-
-
 @query(f"SELECT severity, sum(n)::BIGINT AS n FROM ({_CATEGORY_COUNTS}) GROUP BY severity")
 def severity_counts(spark, d):
     return metrics.severity_counts(_categories(spark, d))
@@ -367,13 +335,8 @@ def topk_messages(spark, d):
     return metrics.histogram(table(spark, d, "events").select(F.array(F.expr(MESSAGE)).alias("m")), "m").limit(12)
 
 
-@query("SELECT source AS repo, count(*) AS collected FROM documents WHERE doc_id % 7 < 3 GROUP BY 1 ORDER BY collected, min(doc_id) LIMIT 10")
-def least_collected_repos(spark, d):
-    return table(spark, d, "documents").where("doc_id % 7 < 3").groupBy(F.col("source").alias("repo")).agg(F.count(F.lit(1)).alias("collected"), F.min("doc_id").alias("seq")).orderBy("collected", "seq").limit(10).drop("seq")
-
-
 @query("SELECT source AS repo, count(*) AS collected FROM documents GROUP BY 1 ORDER BY collected, min(doc_id) LIMIT 10")
-def least_collected_repos_whole(spark, d):
+def least_collected_repos(spark, d):
     return table(spark, d, "documents").groupBy(F.col("source").alias("repo")).agg(F.count(F.lit(1)).alias("collected"), F.min("doc_id").alias("seq")).orderBy("collected", "seq").limit(10).drop("seq")
 
 
@@ -451,24 +414,16 @@ def analysis_subsets(spark, d):
     return sizes.unionByName(kinds).unionByName(docs.select("doc_id").orderBy("doc_id").limit(100).select(F.lit("first_100").alias("subset"), "doc_id"))
 
 
-@query("""WITH c AS (SELECT source AS repo, count(*) AS n FROM documents WHERE doc_id % 3 = 0 AND source <> 'src4' GROUP BY 1), r AS (SELECT source AS repo, min(doc_id) AS seq FROM documents GROUP BY 1),
-l AS (SELECT repo, coalesce(n, 0) AS collected FROM r LEFT JOIN c USING (repo) ORDER BY collected, seq LIMIT 10)
-SELECT repo, collected, least(250, 100000 - (SELECT sum(n) FROM c))::BIGINT AS batch_size, greatest(1, least(250, 100000 - (SELECT sum(n) FROM c)) // (SELECT count(*) FROM l))::BIGINT AS per_repo, 'planned' AS status FROM l""")
-def plan_next_batch(spark, d):
-    docs = table(spark, d, "documents")
-    repos = docs.groupBy(F.col("source").alias("repo")).agg(F.min("doc_id").alias("seq"))
-    counts = docs.where("doc_id % 3 = 0 AND source <> 'src4'").groupBy(F.col("source").alias("repo")).agg(F.count(F.lit(1)).alias("collected"))
-    return curate.plan_batch(repos, counts, 100_000, 250)
-
-
 @query("""WITH r AS (SELECT source AS repo, count(*) AS collected, min(doc_id) AS seq FROM documents GROUP BY 1), l AS (SELECT * FROM r ORDER BY collected, seq LIMIT 10)
 SELECT repo, collected, least(250, 100000 - (SELECT sum(collected) FROM r))::BIGINT AS batch_size, greatest(1, least(250, 100000 - (SELECT sum(collected) FROM r)) // (SELECT count(*) FROM l))::BIGINT AS per_repo, 'planned' AS status FROM l""")
-def plan_next_batch_whole(spark, d):
+def plan_next_batch(spark, d):
     docs = table(spark, d, "documents").select(F.col("source").alias("repo"), "doc_id")
     return curate.plan_batch(docs.groupBy("repo").agg(F.min("doc_id").alias("seq")), docs.groupBy("repo").agg(F.count(F.lit(1)).alias("collected")), 100_000, 250)
 
 
-@query()
+@query("""WITH d AS (SELECT doc_id, source, lang || '/' || doc_id % 9 AS folder FROM documents), p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place, min(doc_id) OVER (PARTITION BY source, folder) = doc_id AS first FROM d),
+u AS (SELECT source, greatest(10, (list(place ORDER BY place) FILTER (WHERE first))[5]) AS until, count_if(first) AS folders FROM p GROUP BY 1)
+SELECT source, folder, doc_id FROM p JOIN u USING (source) WHERE folders < 5 OR place <= until OR first""")
 def diversity_filter(spark, d):
     docs = table(spark, d, "documents").select("source", F.concat(F.col("lang"), F.lit("/"), (F.col("doc_id") % 9).cast("string")).alias("folder"), "doc_id")
     return curate.diverse(docs, "source", "folder", "doc_id")
@@ -488,41 +443,20 @@ def cache_put(spark, d):
     return cache.put(_entries(spark, d, "doc_id < 400"), _entries(spark, d, "doc_id >= 400"))
 
 
-@query(f"SELECT code_hash, spec_type, created_at, spec FROM ({_ROWS}) WHERE created_at < 300")
-def migrate_legacy(spark, d):
-    """The old rows into an empty table; into one that has rows, nothing."""
-    old = _entries(spark, d, "doc_id < 300")
-    return cache.migrate(_entries(spark, d, "false"), old)
-
-
 @query(f"SELECT code_hash, spec_type, created_at, spec FROM ({_ROWS})")
-def migrate_legacy_whole(spark, d):
+def migrate_legacy(spark, d):
     return cache.migrate(_entries(spark, d, "false"), _entries(spark, d))
 
 
-@query("SELECT event_type AS session_id, count(*) AS n, list(event_id ORDER BY event_id)::VARCHAR AS specifications FROM events WHERE user_id < 20 GROUP BY 1")
-def export_session(spark, d):
-    rows = table(spark, d, "events").where("user_id < 20").select(F.col("event_type").alias("session_id"), F.col("event_id"))
-    out = cache.export(rows, "session_id", ["event_id"], "event_id")
-    listed = F.transform("specifications", lambda s: s["event_id"].cast("string"))
-    return out.select("session_id", "n", F.concat(F.lit("["), F.array_join(listed, ", "), F.lit("]")).alias("specifications"))
-
-
-@query("SELECT event_id, event_type, row_number() OVER (ORDER BY ts, event_id) AS index FROM events WHERE user_id < 20")
-def build_from_cache(spark, d):
-    rows = table(spark, d, "events").where("user_id < 20").select("event_id", "event_type", "ts")
-    return curate.with_index(rows, "ts", ties=("event_id",)).drop("ts")
-
-
 @query("SELECT event_type AS session_id, count(*) AS n, list(event_id ORDER BY event_id)::VARCHAR AS specifications FROM events GROUP BY 1")
-def export_session_whole(spark, d):
+def export_session(spark, d):
     out = cache.export(table(spark, d, "events").select(F.col("event_type").alias("session_id"), F.col("event_id")), "session_id", ["event_id"], "event_id")
     listed = F.transform("specifications", lambda s: s["event_id"].cast("string"))
     return out.select("session_id", "n", F.concat(F.lit("["), F.array_join(listed, ", "), F.lit("]")).alias("specifications"))
 
 
 @query("SELECT event_id, event_type, row_number() OVER (ORDER BY ts, event_id) AS index FROM events")
-def build_from_cache_whole(spark, d):
+def build_from_cache(spark, d):
     return curate.with_index(table(spark, d, "events").select("event_id", "event_type", "ts"), "ts", ties=("event_id",)).drop("ts")
 
 
@@ -531,14 +465,8 @@ def list_sessions(spark, d):
     return table(spark, d, "events").groupBy(F.col("user_id").alias("session_id")).agg(F.max("ts").alias("created_at")).orderBy(F.desc("created_at"))
 
 
-@query("SELECT row_number() OVER (ORDER BY doc_id) AS task_id, lang || '_' || doc_id || '.py' AS filename, coalesce(CASE WHEN trim(t) <> '' THEN t END, source) AS code FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN '  ' ELSE substr(text, 1, 30) END AS t FROM documents)")
-def build_regen_input(spark, d):
-    rows = table(spark, d, "documents").selectExpr("doc_id", "lang || '_' || doc_id || '.py' AS filename", "CASE WHEN doc_id % 2 = 0 THEN '  ' ELSE substr(text, 1, 30) END AS t", "source")
-    return curate.with_index(rows, "doc_id", "task_id").select("task_id", "filename", P.first_text(F.col("t"), F.col("source")).alias("code"))
-
-
 @query("SELECT row_number() OVER (ORDER BY doc_id) AS task_id, lang || '_' || doc_id || '.py' AS filename, coalesce(CASE WHEN trim(text) <> '' THEN text END, source) AS code FROM documents")
-def build_regen_input_whole(spark, d):
+def build_regen_input(spark, d):
     rows = table(spark, d, "documents").selectExpr("doc_id", "lang || '_' || doc_id || '.py' AS filename", "text", "source")
     return curate.with_index(rows, "doc_id", "task_id").select("task_id", "filename", P.first_text(F.col("text"), F.col("source")).alias("code"))
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -12,18 +9,18 @@ from pyspark.sql import functions as F
 from quarrysift.functions import text as X
 from quarrysift.operators import metrics
 from quarrysift.plans.registry import query, table
+from quarrysift.scratch import shared_folder
 from quarrysift.sources import providers, records, writers
 from quarrysift.streaming import incremental
 
 
+#: The columns of the table that the report shows.
+LABELS = ["doc_id", "quality", "toxic"]
+
+
 def scratch(spark) -> str:
-    """A new folder that all executors share, or a temporary one on a single machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        local = tempfile.mkdtemp(prefix="quarrysift-")
-        atexit.register(shutil.rmtree, local, True)
-        root = f"file://{local}"
-    return f"{root}/{uuid.uuid4().hex}"
+    """A new folder that all executors share."""
+    return f"{shared_folder(spark)}/quarrysift/{uuid.uuid4().hex}"
 
 
 _SHAPE = (
@@ -47,17 +44,8 @@ def load_jsonl(spark, d):
     return records.load_jsonl(spark, path, "doc_id long, lang string, source string")
 
 
-@query("SELECT position, doc_id, lang FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS position, doc_id, lang FROM documents WHERE doc_id < 50)")
-def load_json_file(spark, d):
-    """Lines of one file, through the loader that takes any shape."""
-    path = scratch(spark)
-    table(spark, d, "documents").where("doc_id < 50").select("doc_id", "lang").orderBy("doc_id").coalesce(1).write.json(path)
-    rows = records.load_records(spark, path)
-    return rows.select(F.col("position").cast("long").alias("position"), F.try_variant_get("record", "$.doc_id", "bigint").alias("doc_id"), F.try_variant_get("record", "$.lang", "string").alias("lang"))
-
-
 @query("SELECT position, doc_id, lang FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS position, doc_id, lang FROM documents)")
-def load_json_file_whole(spark, d):
+def load_json_file(spark, d):
     """All documents in one file, which the loader parses in one task."""
     path = scratch(spark)
     table(spark, d, "documents").select("doc_id", "lang").orderBy("doc_id").coalesce(1).write.json(path)
@@ -72,45 +60,22 @@ def load_manifest(spark, d):
     return records.load_manifest(spark, path, "seq long, out_path string, function string", "seq").select("base", "seq", "function")
 
 
-@query("SELECT doc_id::VARCHAR AS task_id, 'p' || doc_id || '.py' AS filename, lang AS code FROM documents WHERE doc_id < 40 UNION ALL SELECT 'sub_q.py', 'q.py', 'x'")
-def scan_py_dir(spark, d):
-    return _folder(spark, d).where("relative_path NOT LIKE '%venv%'").select("task_id", "filename", "code")
-
-
 def _folder(spark, d):
-    """Programs of a folder that is made from documents: one file each, one in a subfolder, one that a scan prunes."""
-    root = scratch(spark) + "/programs"
-    files = {f"p{r.doc_id}.py": r.lang for r in table(spark, d, "documents").where("doc_id < 40").select("doc_id", "lang").collect()}  # forty small files
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for name, text in {**files, "sub/q.py": "x", "venv/lib/r.py": "y"}.items():
-        path = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
-        out = path.getFileSystem(conf).create(path)
-        out.write(bytearray(text.encode()))
-        out.close()
-    return records.scan_programs(spark, root)
-
-
-@query("SELECT 'p' || doc_id || '.py' AS relative_path FROM documents WHERE doc_id < 40 UNION ALL SELECT 'sub/q.py'")
-def scan_pruned_dirs(spark, d):
-    return records.pruned(_folder(spark, d)).select("relative_path")
-
-
-def _whole_folder(spark, d):
-    """_folder with a file for each document, written by the executors."""
+    """A folder of programs: a file for each document, one in a subfolder, one that a scan prunes."""
     root = f"{scratch(spark)}/programs"
     fixed = spark.createDataFrame([("sub/q.py", "x"), ("venv/lib/r.py", "y")], "path string, text string")
-    writers.write_texts(table(spark, d, "documents").selectExpr("'p' || doc_id || '.py' AS path", "lang AS text").unionByName(fixed), root.removeprefix("file://"))
+    writers.write_texts(table(spark, d, "documents").selectExpr("'p' || doc_id || '.py' AS path", "lang AS text").unionByName(fixed), root)
     return records.scan_programs(spark, root)
 
 
 @query("SELECT doc_id::VARCHAR AS task_id, 'p' || doc_id || '.py' AS filename, lang AS code FROM documents UNION ALL SELECT 'sub_q.py', 'q.py', 'x'")
-def scan_py_dir_whole(spark, d):
-    return _whole_folder(spark, d).where("relative_path NOT LIKE '%venv%'").select("task_id", "filename", "code")
+def scan_py_dir(spark, d):
+    return _folder(spark, d).where("relative_path NOT LIKE '%venv%'").select("task_id", "filename", "code")
 
 
 @query("SELECT 'p' || doc_id || '.py' AS relative_path FROM documents UNION ALL SELECT 'sub/q.py'")
-def scan_pruned_dirs_whole(spark, d):
-    return records.pruned(_whole_folder(spark, d)).select("relative_path")
+def scan_pruned_dirs(spark, d):
+    return records.pruned(_folder(spark, d)).select("relative_path")
 
 
 _TREE = "CASE doc_id % 5 WHEN 0 THEN 'src/a' || doc_id || '.py' WHEN 1 THEN 'Tests/unit/t' || doc_id || '.py' WHEN 2 THEN 'pkg/examples_x/e.py' WHEN 3 THEN 'top' || doc_id || '.py' ELSE 'lib/core/m' || doc_id || '.py' END"
@@ -174,10 +139,21 @@ def report_text(spark, d):
     return spark.createDataFrame([(writers.report_text(summary),)], "report string")
 
 
-@query()
+_PAGE = "'<html><head><title>' || {0} || '</title></head><body>' || {1} || '</body></html>'"
+_CELL = "coalesce({0}::VARCHAR, 'None')"
+_FIELDS = " || ".join(f"'<tr><th>{c}</th><td>' || {_CELL.format(c)} || '</td></tr>'" for c in LABELS)
+_ROW = "'<tr>' || " + " || ".join(f"'<td>' || {_CELL.format(c)} || '</td>'" for c in LABELS) + " || '<td><a href=\"../detail/' || doc_id || '.html\">page</a></td></tr>'"
+_HEAD = "".join(f"<th>{c}</th>" for c in LABELS)
+_DETAIL_PAGE = _PAGE.format("doc_id", f"'<a href=\"../index.html\">index</a><table>' || {_FIELDS} || '</table>'")
+_PART_PAGE = _PAGE.format("'results'", f"'<table><tr>{_HEAD}<th></th></tr>' || string_agg({_ROW}, '' ORDER BY doc_id) || '</table>'")
+_INDEX_PAGE = _PAGE.format("'report'", "'<pre>total: ' || (SELECT count(*) FROM labels) || chr(10) || '</pre><ul>' || coalesce(string_agg('<li><a href=\"' || path || '\">' || replace(path, 'parts/', '') || '</a></li>', '' ORDER BY path), '') || '</ul>'")
+
+
+@query(f"""WITH p AS (SELECT 'parts/' || lpad(part::VARCHAR, 6, '0') || '.html' AS path, {_PART_PAGE} AS page FROM (SELECT *, (row_number() OVER (ORDER BY doc_id) - 1) // 1000 AS part FROM labels) GROUP BY part)
+SELECT 'detail/' || doc_id || '.html' AS path, {_DETAIL_PAGE} AS page FROM labels UNION ALL SELECT * FROM p UNION ALL SELECT 'index.html', {_INDEX_PAGE} FROM p""")
 def report_html(spark, d):
     """All pages of the report: the index, its parts with all labels, and a page for each label."""
-    labels, root = table(spark, d, "labels"), f"{scratch(spark)}/report"
+    labels, root = table(spark, d, "labels").select(LABELS), f"{scratch(spark)}/report"
     writers.write_report(labels.agg(F.count(F.lit(1)).alias("total")), labels, "doc_id", root)
     files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.html")
     return files.select(F.regexp_extract(F.col("_metadata.file_path"), "/report/(.*)$", 1).alias("path"), F.col("value").alias("page"))
@@ -212,7 +188,6 @@ def _stream(spark, d):
     return spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).parquet(path)
 
 
-
 @query("SELECT count(DISTINCT array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(string_split(l, '#')[1])), lambda l: l <> ''), chr(10))) AS programs FROM documents")
 def stream_distinct_programs(spark, d):
     out = scratch(spark)
@@ -228,40 +203,14 @@ def execute_batch(spark, d):
     return log.agg(F.count(F.lit(1)).alias("batches"), F.sum("added").alias("added"))
 
 
-def _repos(spark, d, most: int):
-    """Two small repositories in a shared folder, made from documents, read by the data source."""
-    from pathlib import Path
-
-    from quarrysift.sources import repos
-
-    root = Path(scratch(spark).removeprefix("file://")) / "repos"
-    for r in table(spark, d, "documents").where("doc_id < 12").select("doc_id", "lang").collect():  # twelve small files
-        path = root / f"r{r.doc_id % 2}" / ("tests" if r.doc_id % 3 == 0 else "src" if r.doc_id % 3 == 1 else "") / f"m{r.doc_id}.py"
-        path.parent.mkdir(parents=True, exist_ok=True)
-        path.write_text(r.lang)
-    repos.register(spark)
-    return spark.read.format("repo_files").option("root", str(root)).option("repos", "r0,r1").option("max_files", str(most)).load()
-
-
 _REPO_FILE = "'r' || doc_id % 2 AS repo, CASE doc_id % 3 WHEN 0 THEN 'tests/' WHEN 1 THEN 'src/' ELSE '' END || 'm' || doc_id || '.py' AS file_path"
 
 
-@query(f"SELECT repo, file_path, code FROM (SELECT repo, file_path, code, row_number() OVER (PARTITION BY repo ORDER BY length(file_path) - length(replace(file_path, '/', '')), file_path) AS r FROM (SELECT {_REPO_FILE}, lang AS code FROM documents WHERE doc_id < 12)) WHERE r <= 4")
-def scan_repo_tree(spark, d):
-    return _repos(spark, d, 4).select("repo", "file_path", "code")
-
-
-@query(f"SELECT repo, file_path FROM (SELECT {_REPO_FILE} FROM documents WHERE doc_id < 12) WHERE NOT starts_with(file_path, 'tests/')")
-def scan_git_clone(spark, d):
-    """A cloned repository's files without tests and __init__."""
-    return records.without_tests(_repos(spark, d, 100), "file_path").select("repo", "file_path")
-
-
-def _whole_repos(spark, d, most: int):
-    """_repos over all documents, the files written by the executors."""
+def _repos(spark, d, most: int):
+    """Two repositories, whose files are made from all documents and written by the executors, read by the data source."""
     from quarrysift.sources import repos
 
-    root = f"{scratch(spark)}/repos".removeprefix("file://")
+    root = f"{scratch(spark)}/repos"
     writers.write_texts(table(spark, d, "documents").selectExpr("'r' || doc_id % 2 || CASE doc_id % 3 WHEN 0 THEN '/tests/m' WHEN 1 THEN '/src/m' ELSE '/m' END || doc_id || '.py' AS path", "lang AS text"), root)
     repos.register(spark)
     return spark.read.format("repo_files").option("root", root).option("repos", "r0,r1").option("max_files", str(most)).load()
@@ -272,10 +221,10 @@ _ALL = 2**62
 
 
 @query(f"SELECT {_REPO_FILE}, lang AS code FROM documents")
-def scan_repo_tree_whole(spark, d):
-    return _whole_repos(spark, d, _ALL).select("repo", "file_path", "code")
+def scan_repo_tree(spark, d):
+    return _repos(spark, d, _ALL).select("repo", "file_path", "code")
 
 
 @query(f"SELECT repo, file_path FROM (SELECT {_REPO_FILE} FROM documents) WHERE NOT starts_with(file_path, 'tests/')")
-def scan_git_clone_whole(spark, d):
-    return records.without_tests(_whole_repos(spark, d, _ALL), "file_path").select("repo", "file_path")
+def scan_git_clone(spark, d):
+    return records.without_tests(_repos(spark, d, _ALL), "file_path").select("repo", "file_path")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from typing import Protocol
 
 from quarrysift.functions import codeast
+from quarrysift.sources.files import Folder
 
 
 class SpecProvider(Protocol):
@@ -18,10 +19,12 @@ class Verifier(Protocol):
 
 
 class RepoSource(Protocol):
-    def files(self, repo: str) -> list[tuple[str, str]]:
-        """(path, content) of each file of a repository."""
+    def list(self, repo: str) -> list[tuple[str, int]]:
+        """(path, bytes) of each file of a repository."""
         ...
 
+    def read(self, repo: str, path: str) -> str: ...
+
 
 class StubSpecs:
     """Specifications that only tell the length of the code."""
@@ -39,13 +42,21 @@ class SyntaxVerifier:
 
 
 class FolderRepos:
-    """Repositories as folders of a local or mounted root."""
+    """Repositories as folders below a root that all executors reach."""
 
     def __init__(self, root: str):
-        self.root = root
+        self.root, self._folder = root, None
+
+    def __getstate__(self) -> dict:
+        return {"root": self.root, "_folder": None}
+
+    @property
+    def folder(self) -> Folder:
+        self._folder = self._folder or Folder(self.root)
+        return self._folder
 
-    def files(self, repo: str) -> list[tuple[str, str]]:
-        from pathlib import Path
+    def list(self, repo: str) -> list[tuple[str, int]]:
+        return [(p, n) for p, n in self.folder.list(repo) if p.endswith(".py")]
 
-        top = Path(self.root) / repo
-        return [(str(p.relative_to(top)), p.read_text(errors="replace")) for p in sorted(top.rglob("*.py"))]
+    def read(self, repo: str, path: str) -> str:
+        return self.folder.read(f"{repo}/{path}").decode(errors="replace")

@@ -3,25 +3,31 @@
 from __future__ import annotations
 
 import html
+import itertools
 import json
-import os
 
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrysift.functions.text import strip, zfill
+from quarrysift.operators.curate import with_index
+from quarrysift.sources.files import Folder
 
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_envelope(df: DataFrame, path: str, metadata: dict) -> None:
-    """One pretty JSON file {metadata, results}, for small results that are read as a whole; rows are collected."""
-    rows = [json.loads(r) for r in df.toJSON().collect()] if hasattr(df, "toJSON") else [r.asDict(True) for r in df.collect()]
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump({"metadata": metadata, "results": rows}, f, indent=2, ensure_ascii=False)
+def write_envelope(df: DataFrame, path: str, metadata: dict, most: int = 100_000) -> None:
+    """One pretty JSON file {metadata, results} in a folder that the driver reaches, for results that are read as a whole.
+
+    More than `most` rows are an error: they are for write_json.
+    """
+    rows = df.limit(most + 1).toJSON().collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows: use write_json")
+    folder, name = path.rsplit("/", 1)
+    Folder(folder).write(name, json.dumps({"metadata": metadata, "results": [json.loads(r) for r in rows]}, indent=2, ensure_ascii=False).encode())
 
 
 def csv_columns(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -43,39 +49,28 @@ def program_files(df: DataFrame, task_id: str = "task_id", code: str = "code") -
     return df.where(strip(F.col(code)) != "").select(F.concat(F.lit("program_"), zfill(F.col(task_id), 3), F.lit(".py")).alias("filename"), F.concat(strip(F.col(code)), F.lit("\n")).alias("text"))
 
 
-def write_texts(df: DataFrame, folder: str) -> None:
-    """A file for each (path, text) row, written by the executors to a folder that all of them share; paths are relative to it."""
+def write_texts(df: DataFrame, folder: str, path: str = "path", text: str = "text") -> None:
+    """A file for each row, written by the executors to a folder that all of them share; paths are relative to it."""
 
     def write(rows) -> None:
+        to = Folder(folder)
         for r in rows:
-            path = os.path.join(folder, r.path)
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            part = os.path.join(os.path.dirname(path), f".{os.path.basename(path)}.{os.getpid()}")
-            with open(part, "w", encoding="utf-8") as f:
-                f.write(r.text)
-            os.replace(part, path)
+            to.write(r[0], r[1].encode())
 
-    df.select("path", "text").foreachPartition(write)
+    df.select(path, text).foreachPartition(write)
 
 
 def write_program_files(df: DataFrame, folder: str) -> None:
-    """One file for each row, written by the executors to a folder that all of them share."""
-
-    def write(rows) -> None:
-        os.makedirs(folder, exist_ok=True)
-        for r in rows:
-            part = os.path.join(folder, f".{r.filename}.{os.getpid()}")
-            with open(part, "w", encoding="utf-8") as f:
-                f.write(r.text)
-            os.replace(part, os.path.join(folder, r.filename))
-
-    program_files(df).foreachPartition(write)
+    """One file for each program with code, as write_texts."""
+    write_texts(program_files(df), folder, "filename")
 
 
 def write_partitioned(df: DataFrame, path: str, by: str) -> None:
-    """One folder for each value of a column, / in it as _; rows are dealt by the value and spread within it."""
-    safe = F.regexp_replace(F.col(by), "/", "_")
-    df.withColumn("__part", safe).repartition("__part", F.pmod(F.xxhash64(*df.columns), F.lit(8))).write.mode("overwrite").partitionBy("__part").json(path)
+    """One folder for each value of a column, / in it as _; null has a folder of its own.
+
+    Rows are brought together by value; adaptive execution splits the values that are larger than a task should be.
+    """
+    df.withColumn("__part", F.regexp_replace(F.col(by), "/", "_")).hint("rebalance", F.col("__part")).write.mode("overwrite").partitionBy("__part").json(path)
 
 
 def report_text(summary: DataFrame) -> str:
@@ -83,45 +78,29 @@ def report_text(summary: DataFrame) -> str:
     return "\n".join(f"{k}: {v}" for k, v in row.items()) + "\n"
 
 
-def report_html(summary: DataFrame, detail: DataFrame, most: int = 1000) -> str:
-    """A page with the summary and the first rows of a small detail table."""
-    cell = lambda v: f"<td>{html.escape(str(v))}</td>"
-    rows = detail.limit(most).collect()
-    head = "".join(f"<th>{html.escape(c)}</th>" for c in detail.columns)
-    body = "".join("<tr>" + "".join(map(cell, r)) + "</tr>" for r in rows)
-    return f"<html><body><pre>{html.escape(report_text(summary))}</pre><table><tr>{head}</tr>{body}</table></body></html>"
-
-
-def write_report(summary: DataFrame, detail: DataFrame, key: str, folder: str) -> None:
+def write_report(summary: DataFrame, detail: DataFrame, key: str, folder: str, rows_a_part: int = 1000) -> None:
     """A page for each row, detail/KEY.html, and all rows in order of the key in index parts, by the executors; index.html links the parts.
 
-    folder is shared by all executors. Keys are unique and fit a file name.
+    folder is shared by all executors. Keys are unique and fit a file name. The driver holds the names of the parts alone.
     """
-    columns, folder = detail.columns, folder.removeprefix("file://")
-    page = lambda title, body: f"<html><head><title>{html.escape(title)}</title></head><body>{body}</body></html>"
+    columns = detail.columns
+    page = lambda title, body: f"<html><head><title>{html.escape(title)}</title></head><body>{body}</body></html>".encode()
     text = lambda v: html.escape(str(v))
 
-    def put(name: str, body: str) -> None:
-        path = os.path.join(folder, name)
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        part = f"{path}.{os.getpid()}.part"
-        with open(part, "w", encoding="utf-8") as f:
-            f.write(body)
-        os.replace(part, path)
-
     def write(rows) -> None:
-        lines = []
-        for r in rows:
-            name = str(r[key])
-            fields = "".join(f"<tr><th>{text(c)}</th><td>{text(v)}</td></tr>" for c, v in zip(columns, r))
-            put(f"detail/{name}.html", page(name, f'<a href="../index.html">index</a><table>{fields}</table>'))
-            cells = "".join(f"<td>{text(v)}</td>" for v in r)
-            lines.append(f'<tr>{cells}<td><a href="../detail/{text(name)}.html">page</a></td></tr>')
-        head = "".join(f"<th>{text(c)}</th>" for c in columns)
-        if lines:
-            put(f"parts/{TaskContext.get().partitionId():06d}.html", page("results", f"<table><tr>{head}<th></th></tr>{''.join(lines)}</table>"))
-
-    detail.orderBy(key).foreachPartition(write)
-    parts = os.path.join(folder, "parts")
-    links = "".join(f'<li><a href="parts/{p}">{p}</a></li>' for p in sorted(os.listdir(parts) if os.path.isdir(parts) else []))
-    put("index.html", page("report", f"<pre>{text(report_text(summary))}</pre><ul>{links}</ul>"))
+        to, head = Folder(folder), "".join(f"<th>{text(c)}</th>" for c in columns)
+        for part, own in itertools.groupby(rows, lambda r: (r["__at"] - 1) // rows_a_part):
+            lines = []
+            for r in own:
+                name, values = str(r[key]), [r[c] for c in columns]
+                fields = "".join(f"<tr><th>{text(c)}</th><td>{text(v)}</td></tr>" for c, v in zip(columns, values))
+                to.write(f"detail/{name}.html", page(name, f'<a href="../index.html">index</a><table>{fields}</table>'))
+                cells = "".join(f"<td>{text(v)}</td>" for v in values)
+                lines.append(f'<tr>{cells}<td><a href="../detail/{text(name)}.html">page</a></td></tr>')
+            to.write(f"parts/{part:06d}.html", page("results", f"<table><tr>{head}<th></th></tr>{''.join(lines)}</table>"))
+
+    numbered = with_index(detail, key, "__at")
+    numbered.repartition(F.floor((F.col("__at") - 1) / rows_a_part)).sortWithinPartitions("__at").foreachPartition(write)
+    to = Folder(folder)
+    links = "".join(f'<li><a href="parts/{p}">{p}</a></li>' for p, _ in to.list("parts"))
+    to.write("index.html", page("report", f"<pre>{text(report_text(summary))}</pre><ul>{links}</ul>"))

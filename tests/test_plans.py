@@ -7,8 +7,8 @@ from quarrysift.plans import code_queries, record_queries, relational_queries, t
 
 SF = "/root/testdata/sf0.001"
 QUERIES = entry.catalog.QUERIES
-#: Queries that need a syntax tree, a provider or a function over ordered groups.
-PYTHON = {"diversity_filter", "generate_specs"}
+#: Queries that need a provider.
+PYTHON = {"generate_specs"}
 
 
 def plan(df):

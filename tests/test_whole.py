@@ -12,22 +12,22 @@ def count(spark, name):
 
 def test_all_documents_are_loaded_and_scanned(spark):
     n = count(spark, "documents")
-    assert {q: QUERIES[q](spark, SF).count() for q in ("load_json_file_whole", "scan_py_dir_whole", "scan_pruned_dirs_whole", "scan_repo_tree_whole")} == {"load_json_file_whole": n, "scan_py_dir_whole": n + 1, "scan_pruned_dirs_whole": n + 1, "scan_repo_tree_whole": n}
+    assert {q: QUERIES[q](spark, SF).count() for q in ("load_json_file", "scan_py_dir", "scan_pruned_dirs", "scan_repo_tree")} == {"load_json_file": n, "scan_py_dir": n + 1, "scan_pruned_dirs": n + 1, "scan_repo_tree": n}
 
 
 def test_all_rows_are_exported_and_counted(spark):
     n = count(spark, "events")
     total = lambda q: QUERIES[q](spark, SF).groupBy().sum("n").first()[0]
-    assert QUERIES["build_from_cache_whole"](spark, SF).count() == n
-    assert [total(q) for q in ("export_session_whole", "category_counts_whole", "severity_counts_whole")] == [n, n, n]
+    assert QUERIES["build_from_cache"](spark, SF).count() == n
+    assert [total(q) for q in ("export_session", "category_counts", "severity_counts")] == [n, n, n]
 
 
 def test_known_side_is_a_whole_table(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     known = docs.join(labels, "doc_id", "left_semi").select("doc_id")
-    assert QUERIES["add_program_whole"](spark, SF).join(known, "doc_id").count() == known.count()
-    assert QUERIES["anti_duplicate_whole"](spark, SF).join(known, "doc_id").count() == 0
-    assert QUERIES["migrate_legacy_whole"](spark, SF).count() == docs.count()
+    assert QUERIES["add_program"](spark, SF).join(known, "doc_id").count() == known.count()
+    assert QUERIES["anti_duplicate"](spark, SF).join(known, "doc_id").count() == 0
+    assert QUERIES["migrate_legacy"](spark, SF).count() == docs.count()
 
 
 def test_report_has_all_rows(spark):
@@ -40,6 +40,6 @@ def test_report_has_all_rows(spark):
 
 def test_whole_texts_are_seen(spark):
     longest = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("max(length(trim(text)))").first()[0]
-    assert QUERIES["build_regen_input_whole"](spark, SF).selectExpr("max(length(trim(code)))").first()[0] == longest
-    assert QUERIES["splitlines_whole"](spark, SF).selectExpr("max(length(trim(low)))").first()[0] == longest
-    assert QUERIES["sanitize_name_whole"](spark, SF).selectExpr("max(length(name))").first()[0] > 40
+    assert QUERIES["build_regen_input"](spark, SF).selectExpr("max(length(trim(code)))").first()[0] == longest
+    assert QUERIES["splitlines"](spark, SF).selectExpr("max(length(trim(low)))").first()[0] == longest
+    assert QUERIES["sanitize_name"](spark, SF).selectExpr("max(length(name))").first()[0] > 40
