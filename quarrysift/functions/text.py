@@ -285,12 +285,14 @@ LOG_PATTERNS = [
 def parse_log_line(c: Column) -> Column:
     """struct(type, file, line, column, message) of one log line; null where no pattern fits.
 
-    Lines without either word are passed over; of the others, a pattern's first match is searched once and cut into its groups
-    once (no group can hold a line break, which parts them).
+    A pattern is tried on lines that have its word, and its closing bracket, alone. Its first match is searched once and cut into
+    its groups once (no group can hold a line break, which parts them).
     """
 
     def found(pattern: str, kind: str) -> Column:
         groups = re.compile(pattern).groups
+        has = F.lower(c).contains("warning" if "warning" in kind else "error")
+        has = has & c.contains("):") if groups == 4 else has
         parted = F.transform(
             F.filter(F.array(F.regexp_extract(c, pattern, 0)), lambda m: m != ""),
             lambda m: F.split(F.regexp_replace(m, pattern, "\n".join(f"${g}" for g in range(1, groups + 1))), "\n", -1),
@@ -301,9 +303,9 @@ def parse_log_line(c: Column) -> Column:
             part = lambda i, kind: F.get(g, F.lit(i)).cast(kind) if placed else F.lit(None).cast(kind)
             return F.struct(F.lit(kind).alias("type"), part(0, "string").alias("file"), part(1, "long").alias("line"), part(2, "long").alias("column"), strip(F.get(g, F.lit(groups - 1))).alias("message"))
 
-        return F.get(F.transform(parted, fields), F.lit(0))
+        return F.when(has, F.get(F.transform(parted, fields), F.lit(0)))
 
-    return F.when(F.lower(c).contains("error") | F.lower(c).contains("warning"), F.coalesce(*[found(p, k) for p, k in LOG_PATTERNS]))
+    return F.coalesce(*[found(p, k) for p, k in LOG_PATTERNS])
 
 
 def parse_log(c: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarrysift.functions.text import SEVERITY, SEVERITY_LEVELS, categorize_message
 
@@ -43,13 +44,12 @@ def categorized(df: DataFrame, message: str) -> DataFrame:
 
 
 def category_counts(categorized: DataFrame) -> DataFrame:
-    """Every category with count, severity and percent; (category, n) rows in."""
-    spark = categorized.sparkSession
-    dimension = spark.createDataFrame([(c, s) for c, s in SEVERITY.items()], "category string, severity string")
-    total = categorized.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    """Every category with count, severity and percent of all; (category, n) rows of these categories in."""
+    named = F.array(*[F.struct(F.lit(c).alias("category"), F.lit(s).alias("severity")) for c, s in SEVERITY.items()])
+    dimension = categorized.sparkSession.range(1).select(F.explode(named).alias("c")).select("c.*")
     sums = categorized.groupBy("category").agg(F.sum("n").alias("n"))
-    joined = dimension.join(sums, "category", "left").crossJoin(F.broadcast(total))
-    n = F.coalesce("n", F.lit(0)).cast("long")
+    n, total = F.coalesce("n", F.lit(0)).cast("long"), F.coalesce(F.sum("n").over(Window.partitionBy()), F.lit(0))  # a row for each category
+    joined = sums.join(F.broadcast(dimension), "category", "right").withColumn("total", total)
     return joined.select("category", "severity", n.alias("n"), F.when(F.col("total") > 0, F.round(n * 100 / F.col("total"), 1)).otherwise(0.0).alias("percent"))
 
 

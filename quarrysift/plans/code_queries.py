@@ -8,6 +8,7 @@ from quarrysift.functions import text as X
 from quarrysift.functions.text import strip
 from quarrysift.operators import code as C
 from quarrysift.plans.registry import QUERIES, SQL, query, table, template
+from quarrysift.session import spread
 
 #: name: (rewrite, options, cases of (code before, code after)); case i holds for documents with doc_id % cases = i.
 REWRITES: dict[str, tuple[str, dict, list[tuple[str, str]]]] = {
@@ -77,7 +78,8 @@ def _cases(texts: list[str]) -> str:
 def _add(name: str, rewrite: str, options: dict, cases: list[tuple[str, str]]) -> None:
     def run(spark, d):
         code = F.expr(_cases([a for a, _ in cases]))
-        out = table(spark, d, "documents").select("doc_id", C.rewrite(code, [rewrite], {rewrite: options}).alias("r"))
+        rows = spread(table(spark, d, "documents").select("doc_id", code.alias("code")))
+        out = rows.select("doc_id", C.rewrite(F.col("code"), [rewrite], {rewrite: options}).alias("r"))
         return out.select("doc_id", "r.code", F.col("r.error").alias("error"))
 
     QUERIES[name] = run
@@ -151,7 +153,7 @@ PROGRAMS = (
 
 
 def _programs(spark, d):
-    return table(spark, d, "documents").selectExpr("doc_id", f"{PROGRAMS} AS code").withColumn("f", C.code_features(F.col("code")))
+    return spread(table(spark, d, "documents").selectExpr("doc_id", f"{PROGRAMS} AS code")).withColumn("f", C.code_features(F.col("code")))
 
 
 @query("SELECT doc_id, doc_id % 4 = 0 AS has_if, doc_id % 4 = 0 AS has_loop, doc_id % 4 = 1 AS has_switch FROM documents")
@@ -199,7 +201,7 @@ _INVERTED = template("if not x > {doc_id}:{nl}    pass{nl}else:{nl}    f()").rep
 
 @query(f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN {_INVERTED} ELSE {template('f({doc_id})  # same')} END AS code, 'if_invert' AS transformation_type, 'if_invert,remove_print' AS applied, NULL::VARCHAR AS transformation_error, 'p' || doc_id || '__if_invert.py' AS output_filename FROM documents WHERE doc_id % 3 < 2")
 def transform_dataset(spark, d):
-    rows = table(spark, d, "documents").selectExpr("doc_id", f"{_IF_OR_NOT} AS code", "'in/p' || doc_id || '.py' AS path")
+    rows = spread(table(spark, d, "documents").selectExpr("doc_id", f"{_IF_OR_NOT} AS code", "'in/p' || doc_id || '.py' AS path"))
     out = C.transform_dataset(rows, ["if_invert", "remove_print"], path="path")
     return out.select("doc_id", "code", "transformation_type", F.array_join("applied_transformers", ",").alias("applied"), "transformation_error", "output_filename")
 
@@ -235,7 +237,7 @@ _nl = lambda t: template(t)
     UNION ALL SELECT doc_id, 'b', {_nl("import os{0}{0}def b(y):{0}    \"\"\"help\"\"\"{0}    return y".replace("{0}", chr(10)))}, '', '', 1, 5 FROM documents"""
 )
 def slice_functions(spark, d):
-    rows = C.slice_functions(table(spark, d, "documents").select("doc_id", F.expr(_MODULE).alias("code")))
+    rows = C.slice_functions(spread(table(spark, d, "documents").select("doc_id", F.expr(_MODULE).alias("code"))))
     return rows.select("doc_id", "function", "code", F.array_join("needed_consts", ",").alias("consts"), F.array_join("stubbed_helpers", ",").alias("helpers"), "imports_included", "lines_out")
 
 

@@ -8,6 +8,7 @@ from quarrysift.functions import predicates as P
 from quarrysift.functions import text as X
 from quarrysift.operators import curate
 from quarrysift.plans.registry import REPO, query, table, template
+from quarrysift.session import spread
 
 _HASH = r"sha256(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: regexp_replace(string_split(l, '#')[1], '^\s+|\s+$', '', 'g')), lambda l: l <> ''), chr(10)))"
 _RSTRIPPED = r"array_to_string(list_transform(string_split(regexp_replace(text, '\n$', ''), chr(10)), lambda l: regexp_replace(l, '\s+$', '')), chr(10))"
@@ -16,12 +17,12 @@ _LIGHT = rf"regexp_replace(regexp_replace({_RSTRIPPED}, '^\s+|\s+$', '', 'g') ||
 
 @query(f"SELECT doc_id, {_HASH} AS content_hash FROM documents")
 def content_hash(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.content_hash(F.col("text")).alias("content_hash"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", X.content_hash(F.col("text")).alias("content_hash"))
 
 
 @query(f"SELECT doc_id, sha256({_LIGHT}) AS code_sha256 FROM documents")
 def normalize_light_hash(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.light_hash(F.col("text")).alias("code_sha256"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", X.light_hash(F.col("text")).alias("code_sha256"))
 
 
 @query(f"SELECT doc_id, 'doc_' || doc_id || '.py::' || substr(sha1({_RSTRIPPED}), 1, 12) AS id FROM documents")
@@ -36,7 +37,7 @@ def md5_key(spark, d):
 
 @query(f"SELECT min(doc_id) AS doc_id, arg_min(source, doc_id) AS source, h AS content_hash FROM (SELECT *, {_HASH} AS h FROM documents) GROUP BY h")
 def dedup_exact(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "source", X.content_hash(F.col("text")).alias("hash"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "source", "text")).select("doc_id", "source", X.content_hash(F.col("text")).alias("hash"))
     return curate.dedup_exact(docs, F.col("hash"), "doc_id").select("doc_id", "source", "content_hash")
 
 
@@ -336,7 +337,7 @@ CATEGORIZED = f"(SELECT event_id, {_category('m')} AS category FROM (SELECT even
 
 @query(f"SELECT event_id, category FROM {CATEGORIZED}")
 def categorize_message(spark, d):
-    return table(spark, d, "events").select("event_id", X.categorize_message(F.expr(MESSAGE)).alias("category"))
+    return spread(table(spark, d, "events").select("event_id", F.expr(MESSAGE).alias("message"))).select("event_id", X.categorize_message(F.col("message")).alias("category"))
 
 
 @query(f"SELECT event_id, CASE category WHEN 'Verification' THEN 'Critical' WHEN 'Parser' THEN 'High' WHEN 'Name/Type Resolution' THEN 'High' WHEN 'Compilation' THEN 'High' WHEN 'Ghost/Spec Context' THEN 'Medium' WHEN 'Determinism' THEN 'Medium' ELSE 'Low' END AS severity FROM {CATEGORIZED}")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Adaptive execution re-plans skewed and small joins at run time; UTC keeps timestamps comparable across engines.
 DEFAULTS = {
@@ -42,3 +42,14 @@ def share_code(spark: SparkSession) -> None:
     known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in known:
         environment["PYTHONPATH"] = os.pathsep.join([root, *known])
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where it is a plain scan with fewer tasks than there are cores (files of one row group); else as it is.
+
+    For work that costs much more than moving the rows. Large inputs have more tasks than cores and aren't moved.
+    """
+    cores, plan = df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution().executedPlan()
+    if "Exchange" in plan.toString():
+        return df
+    return df.repartition(cores) if 0 < df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
