@@ -160,7 +160,8 @@ def categorize_message(c: Column) -> Column:
             out = F.when(hit, category) if out is None else out.when(hit, category)
         return out.otherwise("Other")
 
-    return once(normalize_message(c), rules)
+    # Never null, so that no null check of a join on it is pushed below an aggregate of the messages.
+    return F.coalesce(once(normalize_message(c), rules), F.lit("Other"))
 
 
 def severity(category: Column) -> Column:
