@@ -1,15 +1,14 @@
-"""What the operators of this folder share: word rules, scratch tables and batch sizes."""
+"""What the operators of this folder share: word rules, batch sizes, labelled samples."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrysift.operators.prefix import hash_key
+from quarrysift.scratch import Scratch, shared_folder  # noqa: F401
 from quarrysift.session import share_code
 
 #: ASCII white space; a word is a maximal run of other characters.
@@ -43,53 +42,38 @@ def words_of(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, GAP, -1))
 
 
-# ---- scratch tables -------------------------------------------------------------------------------------------------
+# ---- batches and labelled samples -------------------------------------------------------------------------------------
 
+_UNITS = {"": 1, "b": 1, "k": 2**10, "kb": 2**10, "m": 2**20, "mb": 2**20, "g": 2**30, "gb": 2**30}
+#: Arrow batches have at most so many bytes and rows.
+BATCH_BYTES, BATCH_ROWS = 8 * 2**20, 4000
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Only where it is unset (one machine, tests), a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='quarrysift-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-        atexit.register(shutil.rmtree, folder.removeprefix("file://"), True)
-    return folder.rstrip("/")
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches by bytes, so that a batch of very long texts still fits a Python worker; which can import this package.
 
-class Scratch:
-    """Tables written to the shared folder to cut lineage: a lost executor then costs a reread, not a recomputation.
-
-    drop() removes a table as soon as nothing reads it any more; the others go when the driver ends, as a lazy result may
-    still need them.
+    Settings of the session are lowered to these bounds, never raised, so that no operator undoes what another one needs.
     """
+    share_code(spark)
+    bytes_, rows = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    number = re.fullmatch(r"\s*(-?\d+)\s*([a-z]*)\s*", spark.conf.get(bytes_).lower())
+    now = int(number[1]) * _UNITS.get(number[2], 2**30) if number else -1
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(bytes_, str(BATCH_BYTES))
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.paths = spark, f"{shared_folder(spark)}/quarrysift/{uuid.uuid4().hex}", {}
-        atexit.register(self.close)
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        self.paths[name] = path
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            self._remove(self.paths.pop(name))
-
-    def _remove(self, path: str) -> None:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
-
-    def close(self) -> None:
-        try:
-            self._remove(self.root)
-        except Exception:  # the session has ended already; its folder is the cluster's to clean
-            pass
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id string, label int, text binary) of at most `most` labelled documents for which usable holds, drawn by a hash of the id.
 
-def bounded_batches(spark: SparkSession, size: str = "16m") -> None:
-    """Arrow batches by bytes, so that a batch of very long texts still fits a Python worker; which can import this package."""
-    share_code(spark)
-    for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", size), ("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")):
-        spark.conf.set(key, value)
+    Ids can be of any type; null ids have no label. Of several labels of one id the largest counts, of several texts the one
+    with the least hash, so the bound holds for rows and their order of drawing is the same on every run. Labels other than
+    0 and 1 are no labels; a null text is empty; an empty table gives no rows; extra columns are ignored.
+    """
+    bounded_batches(docs.sparkSession)
+    few = labels.where(usable & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
+    few = few.orderBy(hash_key(F.col("id")), "id").limit(most)  # ids and labels of at most `most` rows: small enough to broadcast
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(few), "id")
+    once = rows.groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return once.select(F.col("id").cast("string").alias("id"), "label", F.col("text").cast("binary").alias("text"))

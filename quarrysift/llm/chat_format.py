@@ -7,8 +7,13 @@ attachments of the conversation from 1; its reference and expanded token count a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quarrysift.functions.text import once
 
 #: What each control character is escaped as, in the order of escaping; unescaping goes the other way.
 ESCAPES = [("\\", "\\b"), ("<", "\\l"), (">", "\\g")]
@@ -41,52 +46,70 @@ def format_chat(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn
     parts: array of structs (type, text, ref, tokens); by default the column text as one text part. Turns go by turn_col,
     ties by role and content; null role and null text are empty, null or empty parts give a turn without content, an unknown
     type is treated as a document. loss_spans: (start, length) in code points of the escaped texts of loss_role's turns, in
-    order; placeholders are outside the spans. attachments: (k, type, ref, tokens) in order; a null count is 0. A
-    conversation is one output row, so its turns meet in one task. Repeated rows are repeated turns; extra columns are ignored;
-    an empty table gives no rows.
+    order, and (byte, bytes), the same in bytes of UTF-8; placeholders are outside the spans. attachments: (k, type, ref,
+    tokens) in order; a null count is 0. A conversation is one output row, so its turns meet in one task, in time linear in
+    its length but for a sort. Repeated rows are repeated turns; a null id is a conversation of its own; extra columns are
+    ignored; an empty table gives no rows.
+
+    The visitor goes over parts as rows: running sums over a conversation give each part its place and each attachment its
+    number, so nothing is appended to a growing state.
     """
     parts = text_part(F.col("text")) if parts is None else parts
     kind = lambda p: F.when(p["type"] == "text", "text").when(p["type"].isin(KINDS), p["type"]).otherwise("document")
     clean = F.transform(F.coalesce(parts, F.array().cast(f"array<{PART}>")), lambda p: F.struct(kind(p).alias("type"), F.coalesce(p["text"], F.lit("")).alias("text"), p["ref"].alias("ref"), F.coalesce(p["tokens"].cast("long"), F.lit(0).cast("long")).alias("tokens")))
-    rows = turns.select(F.col(id_col).alias("id"), F.struct(F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), clean.alias("parts")).alias("t"))
-    convs = rows.groupBy("id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    # The visitor: its state is the text so far, the spans and the attachments; it goes through turns and their parts once.
-    state = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"), F.array().cast("array<struct<k:int,type:string,ref:string,tokens:bigint>>").alias("files"))
-
-    def put(s: Column, piece: Column, spans: Column | None = None, files: Column | None = None) -> Column:
-        return F.struct(F.array_append(s["out"], piece).alias("out"), (s["at"] + F.length(piece)).alias("at"), (s["spans"] if spans is None else spans).alias("spans"), (s["files"] if files is None else files).alias("files"))
-
-    def visit(s: Column, t: Column) -> Column:
-        is_text, role, part, k = t["kind"] == "text", t["role"], t["part"], F.size(s["files"]) + 1
-        text = F.when(t["kind"] == "edge", t["raw"]).when(is_text, escape(part["text"])).otherwise(F.concat(F.lit("<"), part["type"], F.lit(" "), k.cast("string"), F.lit(">")))
-        spans = F.when(is_text & (role == loss_role), F.array_append(s["spans"], F.struct(s["at"].alias("start"), F.length(text).alias("length")))).otherwise(s["spans"])
-        files = F.when(is_text | (t["kind"] == "edge"), s["files"]).otherwise(F.array_append(s["files"], F.struct(k.alias("k"), part["type"].alias("type"), part["ref"].alias("ref"), part["tokens"].alias("tokens"))))
-        return put(s, text, spans, files)
-
-    nothing = F.lit(None).cast(PART)
-    event = lambda kind, raw, role, part: F.struct(kind.alias("kind"), raw.alias("raw"), role.alias("role"), part.alias("part"))
-    edge = lambda raw, t: F.array(event(F.lit("edge"), raw, t["role"], nothing))
-    events = F.flatten(
-        F.transform(
-            "turns",
-            lambda t: F.concat(
-                edge(F.concat(F.lit(OPEN), escape(t["role"]), F.lit(">\n")), t),
-                F.transform(t["parts"], lambda p: event(F.when(p["type"] == "text", "text").otherwise("file"), F.lit(None).cast("string"), t["role"], p)),
-                edge(F.lit(CLOSE), t),
-            ),
-        )
+    rows = turns.select(F.col(id_col).alias("id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), clean.alias("parts"))
+    numbered = rows.withColumn("t", F.row_number().over(Window.partitionBy("id").orderBy("turn", "role", "parts")))
+    visited = numbered.select("id", "t", "role", F.size("parts").alias("n"), F.posexplode_outer("parts").alias("i", "part"))
+    # A null part stands for a turn without content.
+    in_order = Window.partitionBy("id").orderBy("t", "i")
+    is_text, is_file = F.col("part.type") == "text", F.col("part.type") != "text"
+    k = F.sum(F.when(is_file, 1).otherwise(0)).over(in_order).cast("int")
+    text = F.when(is_text, escape(F.col("part.text"))).when(is_file, F.concat(F.lit("<"), F.col("part.type"), F.lit(" "), k.cast("string"), F.lit(">"))).otherwise(F.lit(""))
+    opening = F.when(F.coalesce("i", F.lit(0)) == 0, F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(">\n"))).otherwise(F.lit(""))
+    closing = F.when(F.coalesce("i", F.lit(0)) + 1 >= F.col("n"), F.lit(CLOSE)).otherwise(F.lit(""))
+    pieces = visited.select("id", "t", "i", "part", k.alias("k"), opening.alias("opening"), text.alias("body"), closing.alias("closing"), (is_text & (F.col("role") == loss_role)).alias("loss"))
+    whole = F.concat("opening", "body", "closing")
+    before = lambda length: F.sum(length(whole)).over(in_order) - length(F.concat("body", "closing"))
+    placed = pieces.select(
+        "id", "t", "i", whole.alias("whole"),
+        F.when(F.col("loss"), F.struct(before(F.length).cast("int").alias("start"), F.length("body").alias("length"), before(F.octet_length).cast("int").alias("byte"), F.octet_length("body").alias("bytes"))).alias("span"),
+        F.when(is_file, F.struct("k", F.col("part.type").alias("type"), F.col("part.ref").alias("ref"), F.col("part.tokens").alias("tokens"))).alias("file"),
+    )
+    convs = placed.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("t", "i", "whole", "span", "file"))).alias("all"))
+    return convs.select(
+        F.col("id").alias(id_col),
+        F.array_join(F.transform("all", lambda x: x["whole"]), "").alias("formatted"),
+        F.array_compact(F.transform("all", lambda x: x["span"])).alias("loss_spans"),
+        F.array_compact(F.transform("all", lambda x: x["file"])).alias("attachments"),
     )
-    done = convs.select("id", events.alias("events")).select("id", F.aggregate("events", state, visit).alias("s"))
-    return done.select(F.col("id").alias(id_col), F.array_join("s.out", "").alias("formatted"), F.col("s.spans").alias("loss_spans"), F.col("s.files").alias("attachments"))
 
 
-def read_back(formatted: Column) -> Column:
-    """The turns (role, text) of a formatted conversation of texts only, read from the string alone."""
+def _bodies(formatted: Column, then: Callable[[Column], Column], name: str) -> Column:
     pieces = F.split(formatted, CLOSE, -1)
     bodies = F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))
-    return F.transform(bodies, lambda b: F.struct(unescape(b.substr(F.lit(len(OPEN) + 1), F.instr(b, ">\n") - len(OPEN) - 1)).alias("role"), unescape(b.substr(F.instr(b, ">\n") + 2, F.length(b))).alias("text")))
+    return F.transform(bodies, lambda b: F.struct(unescape(b.substr(F.lit(len(OPEN) + 1), F.instr(b, ">\n") - len(OPEN) - 1)).alias("role"), then(b.substr(F.instr(b, ">\n") + 2, F.length(b))).alias(name)))
+
+
+def read_back(formatted: Column) -> Column:
+    """The turns (role, text) of a formatted conversation of texts only, read from the string alone."""
+    return _bodies(formatted, unescape, "text")
+
+
+def read_parts(formatted: Column, attachments: Column) -> Column:
+    """The turns (role, parts) of a formatted conversation, with the attachments that its placeholders name.
+
+    What the format doesn't hold is lost: empty text parts, and where one text part ends and a next one begins.
+    """
+
+    def part(piece: Column) -> Column:
+        null, file = F.lit(None), F.element_at(attachments, F.regexp_extract(piece, r"^<\w+ (\d+)>$", 1).cast("int"))
+        text = F.struct(F.lit("text").alias("type"), unescape(piece).alias("text"), null.cast("string").alias("ref"), F.lit(0).cast("long").alias("tokens"))
+        return F.when(piece.startswith("<"), F.struct(file["type"].alias("type"), F.lit("").alias("text"), file["ref"].alias("ref"), file["tokens"].alias("tokens"))).otherwise(text)
+
+    return _bodies(formatted, lambda body: F.transform(F.filter(F.split(body, "(?=<)|(?<=>)", -1), lambda x: x != ""), part), "parts")
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, in order."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["length"]))), "")
+    """All text under the loss mask, unescaped, in order; cut by bytes, so in linear time."""
+    cut = lambda data: F.transform(spans, lambda s: unescape(F.substring(data, s["byte"] + 1, s["bytes"]).cast("string")))
+    return F.array_join(once(formatted.cast("binary"), cut), "")

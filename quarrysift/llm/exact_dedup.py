@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrysift.llm._common import Scratch, text_of, without_spaces
+from quarrysift.operators.skew import join_groups
 
 #: For ranking rows by (longest text, smallest id) in one number, which a hash aggregate can update in place.
 _ID_BASE = Decimal(2**63)
@@ -42,7 +43,7 @@ def _groups(rows: DataFrame, scratch: Scratch, salts: int) -> tuple[DataFrame, D
     return texts, clashing, merged.join(clashing, "digest", "left_semi").select("digest", "norm", "keep_id", "group_size")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: Callable[[Column], Column] = without_spaces, digest: Callable[[Column], Column] = _sha256, salts: int = 64) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: Callable[[Column], Column] = without_spaces, digest: Callable[[Column], Column] = _sha256, salts: int = 64, owner: Scratch | None = None) -> DataFrame:
     """Which row of each group of equal normalised texts stays.
 
     Equal texts combine in three stages, each grouped by digest and the full text: rows of one task (the map-side half of the
@@ -53,25 +54,26 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The row with the longest original text (code points), then the smallest id, stays. Ids are integers. Returns id_col,
     keep_id, group_size, kept, digest. Null text counts as empty; an empty table gives no rows; a repeated id with an equal
     text counts as that many members, all marked kept if the id is. A row without id stays only where no row of its group
-    has one; keep_id is null then.
+    has one; keep_id is null then. Extra columns are ignored, whatever their names. The way back from groups to rows is salted
+    for the groups that hold a thousandth of all rows or more.
     """
     rows = _rows(docs, id_col, text_col, normalise, digest)
-    texts, clashing, full = _groups(rows, Scratch(docs.sparkSession), salts)
+    texts, clashing, full = _groups(rows, Scratch(docs.sparkSession, owner), salts)
     out = [F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest"]
     light = rows.select("id", "digest")
     if clashing is None:
-        return light.join(texts, "digest").select(*out)
-    clear = light.join(clashing, "digest", "left_anti").join(texts, "digest").select(*out)
+        return join_groups(light, texts, "digest", "group_size", salts).select(*out)
+    clear = join_groups(light.join(clashing, "digest", "left_anti"), texts.join(clashing, "digest", "left_anti"), "digest", "group_size", salts).select(*out)
     return clear.unionByName(rows.join(clashing, "digest", "left_semi").join(full, ["digest", "norm"]).select(*out))
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: Callable[[Column], Column] = without_spaces, digest: Callable[[Column], Column] = _sha256, salts: int = 64) -> DataFrame:
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", normalise: Callable[[Column], Column] = without_spaces, digest: Callable[[Column], Column] = _sha256, salts: int = 64, owner: Scratch | None = None) -> DataFrame:
     """docs without the copies that exact_dedup drops, columns as they were; of rows that repeat an id and its text one stays.
 
     Rows meet their group by (digest, id), so the copies of one text spread over all tasks.
     """
     rows = _rows(docs, id_col, text_col, normalise, digest, F.struct("*").alias("row"))
-    texts, clashing, full = _groups(rows, Scratch(docs.sparkSession), salts)
+    texts, clashing, full = _groups(rows, Scratch(docs.sparkSession, owner), salts)
 
     def winners(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
         by_id = lambda df, c: df.withColumns({"__id": F.coalesce(c, F.lit(0)), "__null": F.isnull(c)})  # noqa: E731  null ids meet too

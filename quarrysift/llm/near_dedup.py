@@ -2,16 +2,16 @@
 
 1. Each document's set of word shingles is hashed to 64 bits, and a MinHash signature of bands * rows values is taken.
    Documents with equal sets share one representative from here on, so a group of copies costs one row.
-2. Representatives that agree in a band are tied to the smallest one of their bucket (a star, never all pairs). The
-   connected components of these stars are families: any two candidates are in one family.
-3. A family's members are compared in blocks, by pairs of blocks, so that a task holds two blocks at most: signatures of banded
-   candidates are compared batch by batch, a pair is dropped as soon as the posterior probability that its similarity reaches
-   the threshold falls below `miss`, and the survivors' sets are compared exactly. Pairs that earlier links of the same task
-   connect already are not compared; a task returns the links of a spanning forest. A family of more than two blocks is first
-   compared within its blocks and with its first block, which is linear; then only the members outside its largest component
-   so far still have to be compared with the others.
-4. The connected components of the links are the groups.
-Links and components stay distributed throughout.
+2. Representatives that agree in a band are in one bucket; candidates are pairs of a bucket. Each member of buckets is first
+   dealt to one star only, that of the smallest member it shares most buckets with, in blocks, and compared within its block.
+3. Buckets whose members are all in one group by now, or were all compared with each other, are done. What is left of the others
+   is dealt by bucket, in pairs of blocks: members of different groups are compared, each pair in the first bucket that it shares.
+4. A task holds two blocks at most. It compares the signatures of its banded candidates batch by batch, drops a pair as soon as
+   the posterior probability that its similarity reaches the threshold falls below `miss`, and compares the survivors' sets
+   exactly. Pairs that earlier links connect already are not compared; a task returns the links of a spanning forest.
+5. The connected components of the links are the groups.
+Links and components stay distributed throughout. What is moved is at most a row for each member and star, then for each member,
+unfinished bucket and block of it; no pair is ever written but a link.
 """
 
 from __future__ import annotations
@@ -25,17 +25,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quarrysift.llm._common import Scratch, bounded_batches, text_of
+from quarrysift.operators.skew import join_groups
+from quarrysift.session import spread
 
 CACHE_WORDS = 300_000
-#: A block of a family has about so many members and shingles at most.
+#: A block of a star or bucket has about so many members and shingles at most.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 1024, 1_000_000
 #: Up to so many ids and tasks of members these are broadcast (some 20 MB); beyond, they meet the documents in a shuffle join.
 BROADCAST_IDS = 1_000_000
-#: What a member takes part in: a pair of blocks x and y, on the side of the one (0) or the other (1).
-TASK = "struct<x:int,y:int,side:int>"
+#: What a member takes part in: of a star (band -1) or a bucket of a band, the pair of blocks x and y, on the side of the one (0)
+#: or the other (1); label is its group so far.
+TASK = "struct<group:bigint,band:int,x:int,y:int,side:int,label:bigint>"
 
 
 def plan_bands(threshold: float, rows: int, miss: float) -> int:
@@ -108,24 +110,31 @@ class Verifier:
                 return m
         return n
 
-    def links(self, ids: list, sigs: np.ndarray, sets: list[np.ndarray], rows: int, split: int | None) -> list[tuple]:
-        """Links of a spanning forest of the similar pairs; with split, of pairs between the first split members and the rest."""
-        n, out, parent = len(ids), [], list(range(len(ids)))
+    def links(self, ids: list, labels: list, sigs: np.ndarray, sets: list[np.ndarray], rows: int, split: int | None, band: int = -1) -> tuple[list[tuple], int]:
+        """Links of a spanning forest of the similar pairs, and how many signatures were compared.
 
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
+        With split, of pairs between the first split members and the rest. Members of one label are connected already. With a
+        band, of pairs whose first common band it is.
+        """
+        n, out, compared = len(ids), [], 0
+        parent = {label: label for label in labels}
 
-        sizes = np.array([len(s) for s in sets])
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        sizes, own = np.array([len(s) for s in sets]), np.array(labels)
         bands = sigs[:, : sigs.shape[1] // rows * rows].reshape(n, -1, rows)
         for i in range(n if split is None else split):
             others = np.arange(i + 1, n) if split is None else np.arange(split, n)
             low, high = np.minimum(sizes[i], sizes[others]), np.maximum(sizes[i], sizes[others])
-            others = others[100 * low >= self.threshold_pct * high]  # sets of sizes further apart can't be similar enough
+            others = others[(own[others] != own[i]) & (100 * low >= self.threshold_pct * high)]  # sets of sizes further apart can't be similar enough
             if len(others):
-                others = others[(bands[others] == bands[i]).all(axis=2).any(axis=1)]
+                shared = (bands[others] == bands[i]).all(axis=2)
+                others = others[shared.any(axis=1) if band < 0 else shared[:, band] & ~shared[:, :band].any(axis=1)]
+            compared += len(others)
             done, equal = 0, np.zeros(len(others), np.int64)
             for upto, least in self.checks:
                 if not len(others):
@@ -134,13 +143,13 @@ class Verifier:
                 live = equal >= least
                 others, equal, done = others[live], equal[live], upto
             for j in others[np.argsort(-equal, kind="stable")]:
-                a, b = root(i), root(int(j))
+                a, b = root(labels[i]), root(labels[j])
                 if a != b:
                     both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                     if 100 * both >= self.threshold_pct * (len(sets[i]) + len(sets[j]) - both):
                         parent[max(a, b)] = min(a, b)
-                        out.append((ids[i], ids[int(j)]))
-        return out
+                        out.append((ids[i], ids[j]))
+        return out, compared
 
 
 def connected_components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -170,23 +179,24 @@ def connected_components(links: DataFrame, scratch: Scratch, name: str) -> DataF
     return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def near_dedup(docs: DataFrame, words: int = 5, threshold_pct: int = 80, rows: int | None = None, miss: float = 1e-6, batch: int = 28, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, words: int = 5, threshold_pct: int = 80, rows: int | None = None, miss: float = 1e-6, batch: int = 28, id_col: str = "doc_id", text_col: str = "text", owner: Scratch | None = None) -> DataFrame:
     """Groups of documents whose sets of shingles are linked by 100 * intersection >= threshold_pct * union.
 
     A shingle is `words` words (runs of non-spaces, A-Z in lower case); a text of fewer words is one shingle, a text without
     words (null, empty) has none and is linked with nothing. miss bounds the probability that a pair at the threshold shares
-    no band, and of its being dropped by the posterior bound; links are confirmed on the full sets. Ids are integers; rows
-    that repeat an id are one document, so their texts are linked. A row without id is in the group of an equal set, where one
-    has an id, else in none (component_id null, kept). Returns id_col, n_shingles, component_id (the
-    smallest id reachable), kept (id is component_id). Extra columns are ignored; an empty table gives no rows.
+    no band, and of its being dropped by the posterior bound; links are confirmed on the full sets, whose shingles are 64-bit
+    hashes. Ids are integers; rows that repeat an id are one document, so their texts are linked. A row without id is in the
+    group of an equal set, where one has an id, else in none (component_id null, kept). Returns id_col, n_shingles,
+    component_id (the smallest id reachable), kept (id is component_id). Extra columns are ignored; an empty table gives no
+    rows; a very long text is one set in one task.
     """
     spark = docs.sparkSession
-    bounded_batches(spark, "8m")
+    bounded_batches(spark)
     rows = rows or (7 if threshold_pct >= 85 else 6)
     bands = plan_bands(threshold_pct / 100, rows, miss)
     hashes = bands * rows
-    scratch = Scratch(spark)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).cast("binary").alias("text"))
+    scratch = Scratch(spark, owner)
+    source = spread(docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).cast("binary").alias("text")))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words, hashes)
@@ -201,75 +211,86 @@ def near_dedup(docs: DataFrame, words: int = 5, threshold_pct: int = 80, rows: i
 
     signed = scratch.keep(source.mapInArrow(sign, "id long, n long, print binary, bands array<long>"), "signed")
     # Equal sets: one representative, the smallest id. Its bands are the same as theirs.
-    least = scratch.keep(signed.where("print is not null").groupBy("print").agg(F.min("id").alias("rep")), "least")
-    rep = signed.select("id", "n", "print").join(least, "print", "left")
-    rep = scratch.keep(rep.select("id", "n", "rep"), "reps")
-    buckets = signed.where("print is not null").join(least.withColumnRenamed("rep", "id"), ["print", "id"]).select(F.col("id").alias("b"), F.explode("bands").alias("bucket"))
+    least = scratch.keep(signed.where("print is not null").groupBy("print").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "least")
+    rep = join_groups(signed.where("print is not null").select("id", "n", "print"), least, "print", "copies").select("id", "n", "rep")
+    rep = scratch.keep(rep.unionByName(signed.where("print is null").select("id", "n", F.lit(None).cast("long").alias("rep"))), "reps")
+    # Buckets of two members or more: bucket, band, the member b, the smallest member a. Keys of different bands differ.
+    first = signed.where("print is not null").join(least.select("print", F.col("rep").alias("id")), ["print", "id"]).dropDuplicates(["print", "id"])
+    buckets = first.select(F.col("id").alias("b"), "n", F.posexplode("bands").alias("band", "bucket"))
     centre = scratch.keep(buckets.groupBy("bucket").agg(F.min("b").alias("a"), F.max("b").alias("z")).where("a <> z").select("bucket", "a"), "centres")
-    stars = buckets.join(centre, "bucket").where("a <> b").select("a", "b").distinct()
+    shared = scratch.keep(buckets.join(centre, "bucket").select("bucket", "band", "a", "b", "n"), "shared")
     # Texts that repeat an id belong together whatever they say.
     several = rep.groupBy("id").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first <> last").select("id", "first")
     same = rep.join(several, "id").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
-    families = scratch.keep(connected_components(stars, scratch, "families"), "families")
     scratch.drop("signed", "least", "centres")
 
-    # Members of families with more than one, and in how many blocks a family is cut, by its members and their shingles.
-    size = lambda n: F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS), F.ceil(F.sum(n) / BLOCK_SHINGLES)).cast("int")
-    sized = families.join(rep.where("id = rep").groupBy(F.col("id").alias("node")).agg(F.max("n").alias("n")), "node")
-    blocks = sized.groupBy("component").agg(size("n").alias("blocks"))
-    members = scratch.keep(sized.join(blocks, "component").select(F.col("node").alias("id"), "component", "n", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("own")), "members")
-
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words, hashes)
         for b in batches:
             sets = [shingler.shingles(t) for t in b.column(1).to_pylist()]
             sigs = pa.array([shingler.signature(s).tobytes() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), sigs, pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "component", "tasks", "sig", "set"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), sigs, pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "tasks", "sig", "set"])
+
+    verifier = Verifier(threshold_pct, hashes, batch, miss)
 
     def compare(key: tuple, t: pa.Table) -> pa.Table:
         side, ids = t["side"].to_numpy(), t["id"].to_numpy()
         order = np.lexsort((ids, side))
         t, side = t.take(pa.array(order)), side[order]
-        ids = t["id"].to_pylist()
-        split = int(np.searchsorted(side, 1))
-        within = key[1].as_py() == key[2].as_py()
+        ids, within = t["id"].to_pylist(), key[2].as_py() == key[3].as_py()
         sigs = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint32).reshape(len(ids), hashes)
         held = [np.frombuffer(s, np.uint64) for s in t["set"].to_pylist()]
-        found = verifier.links(ids, sigs, held, rows, None if within else split)
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
-
-    verifier = Verifier(threshold_pct, hashes, batch, miss)
+        found, compared = verifier.links(ids, t["label"].to_pylist(), sigs, held, rows, None if within else int(np.searchsorted(side, 1)), key[1].as_py())
+        report = [(None, None, compared, len(ids)), *[(x, y, 0, 0) for x, y in found]]
+        return pa.table({name: pa.array(list(c), pa.int64()) for name, c in zip(("a", "b", "compared", "held"), zip(*report))})
 
     def linked(tasks: DataFrame, name: str) -> DataFrame:
-        """Links found by tasks (id, component, tasks: array of (x, y, side)): of each (component, x, y) the two sides are
-        compared with each other, or all members where x = y."""
+        """Links found by tasks (id, tasks: array of TASK): of each (group, band, x, y) the two sides are compared with each other,
+        or all members where x = y. A row without a link counts what the task held and compared."""
         tasks = scratch.keep(tasks, f"tasks-{name}")
         total = tasks.agg(F.coalesce(F.sum(F.size("tasks") + 2), F.lit(0))).first()[0]
-        texts = source.join(F.broadcast(tasks) if total <= BROADCAST_IDS else tasks, "id").select("id", "text", "component", "tasks")
-        sets = texts.mapInArrow(again, f"id long, component long, tasks array<{TASK}>, sig binary, set binary")
-        dealt = sets.select("id", "component", "sig", "set", F.explode("tasks").alias("t")).select("id", "component", "sig", "set", "t.*")
-        return scratch.keep(dealt.groupBy("component", "x", "y").applyInArrow(compare, "a long, b long"), f"links-{name}")
-
-    task = lambda x, y, side: F.struct(F.lit(x).cast("int").alias("x"), F.lit(y).cast("int").alias("y"), F.lit(side).cast("int").alias("side"))
-    upto = lambda first, n: F.filter(F.sequence(F.lit(first), F.greatest(n, F.lit(first))), lambda i: i < n)
-    own, n_blocks = F.col("own"), F.col("blocks")
-    both = F.concat(F.array(task(own, own, 0)), F.transform(F.filter(upto(0, n_blocks), lambda o: o != own), lambda o: task(F.least(own, o), F.greatest(own, o), (own > o).cast("int"))))
-    first = F.when(own == 0, F.concat(F.array(task(0, 0, 0)), F.transform(upto(1, n_blocks), lambda o: task(0, o, 0)))).otherwise(F.array(task(own, own, 0), task(0, own, 1)))
-    links = linked(members.select("id", "component", F.when(n_blocks <= 2, both).otherwise(first).alias("tasks")), "first")
-    large = members.where("blocks > 2")
-    if not large.isEmpty():
-        so_far = connected_components(links, scratch, "so-far").select(F.col("node").alias("id"), F.col("component").alias("label"))
-        large = scratch.keep(large.join(so_far, "id", "left").withColumn("label", F.coalesce("label", "id")), "large")
-        largest = large.groupBy("component", "label").count().groupBy("component").agg(F.max_by("label", F.struct("count", "label")).alias("top"))
-        large = large.join(largest, "component").withColumn("left", F.col("label") != F.col("top"))
-        parts = large.where("left").groupBy("component").agg(size("n").alias("parts"))
-        part = F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int")
-        # Parts of what is left are numbered down from -1, so that a task is never taken for one within a block.
-        met = F.transform(upto(0, F.col("parts")), lambda p: task(-1 - p, own, 1))
-        meets = F.when(F.col("left"), F.transform(upto(0, n_blocks), lambda o: task(-1 - part, o, 0))).otherwise(F.array().cast(f"array<{TASK}>"))
-        links = links.unionByName(linked(large.join(parts, "component").select("id", "component", F.concat(met, meets).alias("tasks")), "rest"))
+        texts = source.join(F.broadcast(tasks) if total <= BROADCAST_IDS else tasks, "id").select("id", "text", "tasks")
+        sets = texts.mapInArrow(again, f"id long, tasks array<{TASK}>, sig binary, set binary")
+        dealt = sets.select("id", "sig", "set", F.explode("tasks").alias("t")).select("id", "sig", "set", "t.*")
+        return scratch.keep(dealt.groupBy("group", "band", "x", "y").applyInArrow(compare, "a long, b long, compared long, held long"), f"links-{name}")
+
+    size = lambda n: F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS), F.ceil(F.sum(n) / BLOCK_SHINGLES)).cast("int")
+    task = lambda group, band, x, y, side, label: F.struct(group.alias("group"), band.cast("int").alias("band"), x.cast("int").alias("x"), y.cast("int").alias("y"), F.lit(side).cast("int").alias("side"), label.alias("label"))
+    upto = lambda n: F.filter(F.sequence(F.lit(0), n), lambda i: i < n)
+    dealt_to = lambda n: F.pmod(F.xxhash64("b"), n).cast("int")
+
+    # Stars: each member goes to the smallest member it shares most buckets with; the centre to all blocks of its star.
+    chosen = shared.where("a <> b").groupBy("b", "a").agg(F.count(F.lit(1)).alias("times"), F.max("n").alias("n"))
+    chosen = chosen.groupBy("b").agg(F.max_by("a", F.struct("times", -F.col("a"))).alias("a"), F.max("n").alias("n"))
+    stars = scratch.keep(chosen, "chosen")
+    blocks = scratch.keep(stars.groupBy("a").agg(size("n").alias("blocks")), "blocks")
+    member = scratch.keep(stars.join(blocks, "a").select("b", "a", dealt_to(F.col("blocks")).alias("block")), "members")
+    own = member.select(F.col("b").alias("id"), task(F.col("a"), F.lit(-1), F.col("block"), F.col("block"), 0, F.col("b")).alias("t"))
+    centres = blocks.select(F.col("a").alias("id"), F.explode(upto(F.col("blocks"))).alias("i"), "a").select("id", task(F.col("a"), F.lit(-1), F.col("i"), F.col("i"), 0, F.col("a")).alias("t"))
+    each = lambda tasks: tasks.groupBy("id").agg(F.collect_list("t").alias("tasks"))
+    links = linked(each(own.unionByName(centres)), "stars")
+
+    # Buckets that may still hold a link: members of several groups, not all of which were in one block of one star.
+    so_far = connected_components(links.where("a IS NOT NULL").select("a", "b"), scratch, "so-far").select(F.col("node").alias("b"), F.col("component").alias("label"))
+    star = F.when(F.col("t_a").isNotNull(), F.struct("t_a", "t_block"))
+    placed = shared.join(member.select("b", F.col("a").alias("t_a"), F.col("block").alias("t_block")), "b", "left").join(so_far, "b", "left").withColumns({"label": F.coalesce("label", "b"), "star": star})
+    placed = scratch.keep(placed, "placed")
+    rest, head = F.col("a") != F.col("b"), F.col("a") == F.col("b")
+    state = placed.groupBy("bucket").agg(
+        F.min("label").alias("l0"), F.max("label").alias("l1"), F.min(F.when(rest, F.col("star"))).alias("s0"), F.max(F.when(rest, F.col("star"))).alias("s1"),
+        F.max(F.when(head, F.col("star"))).alias("mine"), F.min("a").alias("head"), size("n").alias("parts"),
+    )
+    together = (F.col("s0") == F.col("s1")) & ((F.col("s0.t_a") == F.col("head")) | F.col("s0").eqNullSafe(F.col("mine")))
+    left = scratch.keep(state.where((F.col("l0") != F.col("l1")) & ~together).select("bucket", "parts"), "left")
+    open_ = placed.join(left, "bucket").select("bucket", "band", F.col("b").alias("id"), "label", "parts", dealt_to(F.col("parts")).alias("own"))
+    # Pairs of blocks (x <= y): a member is on the one side of those with later blocks, on the other of those with earlier ones.
+    pair = lambda o: F.struct(F.least(F.col("own"), o).alias("x"), F.greatest(F.col("own"), o).alias("y"), (F.col("own") > o).cast("int").alias("side"))
+    dealt = open_.select("id", "bucket", "band", "label", F.explode(F.transform(upto(F.col("parts")), pair)).alias("p"))
+    rest_tasks = dealt.select("id", F.struct(F.col("bucket").alias("group"), F.col("band").cast("int").alias("band"), "p.x", "p.y", "p.side", "label").alias("t"))
+    links = links.unionByName(linked(each(rest_tasks), "rest")).where("a IS NOT NULL").select("a", "b")
     groups = connected_components(scratch.keep(links.unionByName(same), "links"), scratch, "groups").withColumnRenamed("node", "rep")
     out = rep.join(scratch.keep(groups, "components"), "rep", "left")
+    scratch.drop("shared", "chosen", "blocks", "members", "tasks-stars", "placed", "left", "tasks-rest")
     group = F.coalesce("component", "rep", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), group.alias("component_id"), F.col("id").eqNullSafe(group).alias("kept"))
 

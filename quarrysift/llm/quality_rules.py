@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrysift.llm._common import GAP, WORD, text_of, without_spaces, words_of
+from quarrysift.functions.text import once
+from quarrysift.llm._common import WORD, text_of, without_spaces, words_of
+from quarrysift.session import spread
 
 SYMBOLS = "#*$%&|<>"
 #: Phrases that mark a line as boilerplate, matched in lower case.
@@ -14,22 +16,30 @@ NAVIGATION = "[|»›•]"
 SENTENCE_END = "[.!?…:;]"
 
 
-def _line_fails(line: Column) -> Column:
-    """Whether a line with a word breaks one of the rules."""
-    n = F.regexp_count(line, F.lit(WORD))
-    chars = F.length(without_spaces(line))
+def _line_fails(line: Column, boilerplate: Column, navigation: Column, symbols: Column) -> Column:
+    """Whether a line with a word breaks one of the rules. The flags tell what its whole text holds at all; a rule whose
+    characters or phrases the text doesn't have is not tried on its lines. Cheap rules come first."""
     low = F.lower(line)
-    boilerplate = F.lit(False)
-    for phrase in BOILERPLATE:
-        boilerplate = boilerplate | low.contains(phrase)
-    navigation = F.regexp_count(line, F.lit(NAVIGATION))
-    return (
-        ((n >= 8) & ~line.rlike(SENTENCE_END))  # punctuation: a long line without any sentence end
-        | ((navigation >= 3) & (navigation * 4 >= n))
-        | (F.regexp_count(line, F.lit(f"[{SYMBOLS}]")) * 2 >= n)
-        | ((chars >= 20) & (F.regexp_count(line, F.lit(r"\p{Lu}")) * 2 >= chars))  # upper case
-        | boilerplate
-    )
+    phrase = F.lit(False)
+    for p in BOILERPLATE:
+        phrase = phrase | low.contains(p)
+
+    def rules(n: Column) -> Column:
+        chars = F.length(without_spaces(line))
+        separators = lambda: F.regexp_count(line, F.lit(NAVIGATION))
+        return (
+            ((n >= 8) & ~line.rlike(SENTENCE_END))  # punctuation: a long line without any sentence end
+            | (navigation & (separators() >= 3) & (separators() * 4 >= n))
+            | (symbols & (F.regexp_count(line, F.lit(f"[{SYMBOLS}]")) * 2 >= n))
+            | (boilerplate & phrase)
+            | ((chars >= 20) & (F.regexp_count(line, F.lit(r"\p{Lu}")) * 2 >= chars))  # upper case
+        )
+
+    return once(F.regexp_count(line, F.lit(WORD)), rules)
+
+
+def total_chars(lines: Column) -> Column:
+    return F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, max_repeat_pct: int = 50, max_lost_pct: int = 50, hash_bits: int = 40, payload: Column | None = None) -> DataFrame:
@@ -45,16 +55,23 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     repeated rows, null ids and extra columns don't matter. Windows of equal hash are compared word by word; should
     unequal ones share a hash, the document's windows are sorted as text instead.
     """
-    base = docs.select(F.col(id_col).alias("__id"), text_of(text_col).alias("__text"), *([payload.alias("__row")] if payload is not None else []))
+    base = spread(docs).select(F.col(id_col).alias("__id"), text_of(text_col).alias("__text"), *([payload.alias("__row")] if payload is not None else []))
     carry = ["__id", "__text", *(["__row"] if payload is not None else [])]
     c = F.col
+    low, flag = F.lower(c("__text")), F.lit(False)
+    for phrase in BOILERPLATE:
+        flag = flag | low.contains(phrase)
+    has = F.struct(flag.alias("boilerplate"), c("__text").rlike(NAVIGATION).alias("navigation"), c("__text").rlike(f"[{SYMBOLS}]").alias("symbols"))
     split = base.select(*carry, words_of(c("__text")).alias("__w"), F.filter(F.split("__text", "\n", -1), lambda x: x.rlike(WORD)).alias("__lines"))
     n = F.size("__w")
     word = lambda i: F.get("__w", i)
     # Each window as one number: bits of its hash, then its place. Sorted, equal windows are neighbours.
     packed = F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.shiftleft(F.shiftright(F.xxhash64(word(i), word(i + 1), word(i + 2)), 64 - hash_bits), 24).bitwiseOR(i.cast("long"))))
-    first_lines = F.array_distinct("__lines")
-    hashed = split.select(*carry, "__w", "__lines", F.when(n >= 3, packed).alias("__p"), F.filter(first_lines, lambda x: ~_line_fails(x)).alias("__good"))
+    once_each = F.array_distinct("__lines")
+    split = split.select(*carry, "__w", F.size("__lines").alias("__n_lines"), total_chars(c("__lines")).alias("__line_chars"), once_each.alias("__first"))
+    good = once(has, lambda h: F.filter("__first", lambda x: ~_line_fails(x, h["boilerplate"], h["navigation"], h["symbols"])))
+    measures = F.struct(c("__line_chars").alias("line_chars"), (c("__n_lines") - F.size("__first")).cast("long").alias("n_dup_lines")).alias("__lines")
+    hashed = split.select(*carry, "__w", measures, F.when(n >= 3, packed).alias("__p"), good.alias("__good"))
     hash_at = lambda of, j: F.shiftright(F.get(of, j), 24)
     near = F.filter("__p", lambda x, j: F.coalesce(F.shiftright(x, 24) == hash_at("__p", j + 1), F.lit(False)) | F.coalesce(F.shiftright(x, 24) == hash_at("__p", j - 1), F.lit(False)))
     placed = hashed.select(*carry, "__w", "__lines", "__good", near.alias("__c"))
@@ -68,7 +85,6 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     placed = placed.select(*carry, "__w", "__lines", "__good", "__c", plain.alias("__s"))
     same = lambda x, j: F.coalesce(F.get("__s", j)["g"] == x["g"], F.lit(False))
     repeated = F.when(F.col("__s").isNull(), F.transform("__c", place)).otherwise(F.transform(F.filter("__s", lambda x, j: same(x, j + 1) | same(x, j - 1)), lambda x: x["i"]))
-    chars = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
     symbols = c("__text")
     for s in SYMBOLS:
         symbols = F.replace(symbols, F.lit(s), F.lit(""))
@@ -76,10 +92,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.size("__w").cast("long").alias("n_words"),
         F.length(without_spaces(c("__text"))).cast("long").alias("word_chars"),
         (F.length("__text") - F.length(symbols)).cast("long").alias("n_symbols"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
+        c("__lines.n_dup_lines").alias("n_dup_lines"),
         F.coalesce(F.size(F.array_distinct(F.flatten(F.transform(repeated, lambda i: F.array(i, i + 1, i + 2))))), F.lit(0)).cast("long").alias("n_repeat_words"),
-        chars("__lines").alias("line_chars"),
-        chars("__good").alias("__kept_chars"),
+        c("__lines.line_chars").alias("line_chars"),
+        total_chars(c("__good")).alias("__kept_chars"),
         F.array_join("__good", "\n").alias("clean_text"),
     ]
     # A generator of one row: filters on the counts stay above it. Pushed below, they would repeat the lambdas.
@@ -92,6 +108,14 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def filter_documents(docs: DataFrame, **params) -> DataFrame:
-    """The rows of docs that quality_rules keeps, with the columns of docs (texts as they were)."""
-    return quality_rules(docs, payload=F.struct("*"), **params).where("kept").select("row.*")
+def filter_documents(docs: DataFrame, text_col: str = "text", **params) -> DataFrame:
+    """The rows of docs that quality_rules keeps, with the columns of docs and the cleaned text in place of the text.
+
+    Where docs have a column n_chars it follows the text. Rows with a null or empty text fail the base rules and go; repeated
+    rows stay repeated; other columns are as they were, nulls included; an empty table stays empty.
+    """
+    kept = quality_rules(docs, text_col=text_col, payload=F.struct("*"), **params).where("kept")
+    changed = {text_col: F.col("clean_text")}
+    if "n_chars" in docs.columns and text_col != "n_chars":
+        changed["n_chars"] = F.length("clean_text").cast(docs.schema["n_chars"].dataType)
+    return kept.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrysift.llm import chat_format, exact_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, token_counts, tokens, toxicity, url_filter
-from quarrysift.llm._common import Scratch, table
+from quarrysift.llm._common import Scratch, labelled_sample, table
 
 
 #: At most so many labelled documents are learned from, drawn by a hash of their id.
@@ -41,7 +41,7 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     chats = chat_format.format_chat(turns.unionByName(extra))
     text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     read = chats.select("conv_id", "formatted", chat_format.read_back(F.col("formatted")).alias("turns"), chat_format.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
@@ -68,7 +68,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    sample = Scratch(spark).keep(toxicity.labelled_sample(docs, labels, "toxic", _remainder(3) != 1, SAMPLE), "sample")
+    sample = Scratch(spark).keep(labelled_sample(docs, labels, "toxic", _remainder(3) != 1, SAMPLE), "sample")
     scored = toxicity.score(docs, toxicity.train(sample))
     return scored.select("doc_id", (_remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
@@ -90,7 +90,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    sample = Scratch(spark).keep(toxicity.labelled_sample(docs, labels, "quality", _remainder(5) != 0, SAMPLE), "sample")
+    sample = Scratch(spark).keep(labelled_sample(docs, labels, "quality", _remainder(5) != 0, SAMPLE), "sample")
     scored = quality_classifier.score(docs, quality_classifier.train(sample))
     return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
@@ -183,16 +183,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 OP8_SQL = r"""
 WITH u AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages
+         regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(coalesce(url, ''), '://[^/?#]*[^?#]*(\?[^#]*)', 1) AS query FROM pages
 ), r AS (
   SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')) AS t(rhost, rpath, rverdict)
+), w AS (
+  SELECT w AS name, '(^|[^a-z0-9])' || w || '([^a-z0-9]|$)' AS regex, false AS with_query FROM (VALUES ('casino'), ('poker'), ('betting'), ('gambling'), ('viagra'), ('cialis'), ('porn'), ('xxx'), ('escort'), ('warez'), ('keygen'), ('torrent'), ('phishing'), ('malware')) AS t(w)
+  UNION ALL SELECT name, regex, true FROM (VALUES
+    ('||adserver.*/click^', '^([^/]*[.])?adserver[.].*/click([^a-z0-9_.%-]|$)'), ('/ads/banner*.gif', '/ads/banner.*[.]gif'), ('/affiliate/*/redirect^', '/affiliate/.*/redirect([^a-z0-9_.%-]|$)'),
+    ('?adurl=*&clickid=', '[?]adurl=.*&clickid='), ('/wp-login.php^', '/wp-login[.]php([^a-z0-9_.%-]|$)'), ('/free-*-download/', '/free-.*-download/')) AS t(name, regex)
 ), m AS (
-  SELECT u.*, (SELECT max_by(struct_pack(name := rhost || rpath, verdict := rverdict), length(rhost || rpath)) FROM r WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)) AS hit,
-         (SELECT w FROM (VALUES ('casino'), ('poker'), ('betting'), ('gambling'), ('viagra'), ('cialis'), ('porn'), ('xxx'), ('escort'), ('warez'), ('keygen'), ('torrent'), ('phishing'), ('malware')) AS t(w)
-          WHERE regexp_matches(host || path, '(?i)(^|[^a-z0-9])' || w || '([^a-z0-9]|$)') ORDER BY length(w) DESC, w DESC LIMIT 1) AS word FROM u
+  SELECT u.*, translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, translate(host || path || query, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low_query,
+         (SELECT max_by(struct_pack(name := rhost || rpath, verdict := rverdict), length(rhost || rpath)) FROM r WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)) AS hit FROM u
+), p AS (
+  SELECT m.*, (SELECT name FROM w WHERE regexp_matches(CASE WHEN with_query THEN low_query ELSE low END, regex, 's') ORDER BY length(name) DESC, name DESC LIMIT 1) AS word FROM m
 )
 SELECT page_id, host, path, hit.name AS rule, CASE WHEN hit IS NOT NULL THEN hit.verdict WHEN word IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
-       CASE WHEN hit IS NULL THEN word END AS pattern FROM m
+       CASE WHEN hit IS NULL THEN word END AS pattern FROM p
 """
 
 SQL = {"op8_url_filters": OP8_SQL, "op2_mixing": OP2_SQL, "op4_chat_formatting": OP4_SQL, "op6_exact_dedup": OP6_SQL, "op9_quality_rules": OP9_SQL}

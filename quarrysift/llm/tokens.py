@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrysift.llm._common import bounded_batches, text_of
+from quarrysift.session import spread
 
 #: Words, and pieces of words, that a worker remembers in each of two generations. Results don't depend on it.
 CACHE_WORDS, CACHE_PIECES, CACHE_BYTES = 250_000, 150_000, 48
@@ -35,10 +36,12 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordEncoder:
-    """Ids of whole texts by a tokenizer whose tokens never cross ASCII white space, as little-endian unsigned 32-bit bytes.
+    """Ids of whole texts by any tokenizer, as little-endian unsigned 32-bit bytes.
 
-    Such a tokenizer gives a text the ids of its words one after another, so each word is encoded once and remembered. A
-    plain word goes piece by piece to the tokenizer's model; any other through the whole tokenizer.
+    A tokenizer of the known form (normalizer, cutting pattern, added tokens that start with <| and hold no white space)
+    never lets a token cross ASCII white space, so it gives a text the ids of its words one after another, and each word is
+    encoded once and remembered: a plain word piece by piece by the tokenizer's model, any other through the whole
+    tokenizer. With a tokenizer of another form each text is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -49,11 +52,12 @@ class WordEncoder:
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.words, self.older_words, self.pieces, self.older_pieces = {}, {}, {}, {}
         state = json.loads(self.tokenizer.to_str())
-        self.by_piece = state["normalizer"] == _KNOWN["normalizer"] and state["pre_tokenizer"] == _KNOWN["pre_tokenizer"]
+        plain = lambda t: t["content"].startswith("<|") and not any(map(str.isspace, t["content"])) and not t["lstrip"] and not t["rstrip"]
+        self.by_word = all(state[k] == _KNOWN[k] for k in _KNOWN) and all(map(plain, state["added_tokens"]))
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
-        if not self.by_piece or b"<|" in word or not _PLAIN.fullmatch(text):
+        if b"<|" in word or not _PLAIN.fullmatch(text):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         out, text, pieces = b"", text.lower(), self.pieces
         for piece in (text,) if word.isalpha() else _PIECES.findall(text):
@@ -69,6 +73,8 @@ class WordEncoder:
         return out
 
     def encode(self, text: bytes) -> bytes:
+        if not self.by_word:
+            return array("I", self.tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
         words, known = text.split(), self.words  # bytes are split at ASCII white space only
         found = list(map(known.get, words))
         if None in found:
@@ -86,7 +92,7 @@ class WordEncoder:
         return b"".join(found)
 
 
-#: The normalizer and the cutting pattern that the piecewise way stands for.
+#: The normalizer and the cutting pattern that the way word by word stands for.
 _KNOWN = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
     "pre_tokenizer": {
@@ -105,26 +111,28 @@ def encoder_for(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", more: tuple[str, ...] = ()) -> DataFrame:
     """Pieces of at most capacity tokens of each document's ids, with end_id after them.
 
-    Only documents with more than capacity ids are cut, every piece but the last being full. Returns id_col, piece, start
-    (ids of the document before the piece), length, ids (binary, little-endian unsigned 32-bit). A null or empty text is the
-    one id end_id. Repeated rows give repeated pieces; an empty table none; extra columns are ignored.
+    Only documents with more than capacity ids are cut, every piece but the last being full. Returns id_col, the columns of
+    `more`, piece, start (ids of the document before the piece), length, ids (binary, little-endian unsigned 32-bit). A null
+    or empty text is the one id end_id. Repeated rows give repeated pieces; an empty table none; extra columns are ignored.
     """
-    bounded_batches(docs.sparkSession, "8m")
-    kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField(id_col, kind), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())])
+    bounded_batches(docs.sparkSession)
+    own = [id_col, *more]
+    fields = [T.StructField(c, docs.schema[c].dataType) for c in own]
+    schema = T.StructType([*fields, T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end, most = encoder_for(tokenizer_path), np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            texts = batch.column(len(own)).to_pylist()
             rows, pieces, starts, blobs, held = [], [], [], [], 0
 
             def flush() -> pa.RecordBatch:
-                lengths = pa.array([len(b) // 4 for b in blobs], pa.int64())
-                return pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), lengths, pa.array(blobs, pa.binary())], names=[id_col, "piece", "start", "length", "ids"])
+                lengths, at = pa.array([len(b) // 4 for b in blobs], pa.int64()), pa.array(rows, pa.int64())
+                kept = [batch.column(i).take(at) for i in range(len(own))]
+                return pa.RecordBatch.from_arrays([*kept, pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), lengths, pa.array(blobs, pa.binary())], names=schema.names)
 
             for row, text in enumerate(texts):
                 whole = encoder.encode(text) + end
@@ -140,4 +148,4 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096,
             if rows:
                 yield flush()
 
-    return docs.select(F.col(id_col), text_of(text_col).cast("binary").alias("text")).mapInArrow(encode, schema)
+    return spread(docs.select(*own, text_of(text_col).cast("binary").alias("__text"))).mapInArrow(encode, schema)

@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrysift.llm._common import bounded_batches, text_of
-from quarrysift.operators.prefix import hash_key
+from quarrysift.llm._common import Scratch, bounded_batches, text_of
+from quarrysift.session import spread
 
 #: ASCII letters in lower case, all other ASCII but digits as spaces; other bytes stay.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -35,13 +35,18 @@ def fold(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
-#: How often a unit of one text counts at most, in training.
+#: How often a unit of one text counts at most, in training alone: there no single text makes a unit significant.
 MOST_IN_TEXT = 3
+#: Beginnings of words that are units of their own, in characters.
+BEGINNINGS = range(4, 9)
 
 
 def units(word: bytes) -> list[bytes]:
-    """What a word is known by: itself and its beginnings of 4 to 8 bytes."""
-    return [word, *(word[:k] + b"-" for k in range(4, 9) if len(word) > k)]
+    """What a word is known by: itself and its beginnings, cut between characters; those end in - and can't be words."""
+    if word.isascii():
+        return [word, *(word[:k] + b"-" for k in BEGINNINGS if len(word) > k)]
+    text = word.decode(errors="replace")
+    return [word, *(text[:k].encode() + b"-" for k in BEGINNINGS if len(text) > k)]
 
 
 @dataclass(frozen=True)
@@ -106,22 +111,25 @@ class Scanner:
 
     def evidence(self, words: list[bytes]) -> tuple[float, list[tuple[int, int, float]]]:
         """The evidence and the significant segments (those that chance gives less than once in such a text)."""
-        segments, chance = self.segments(words), math.log(max(len(words) * self.model.k, 1.0))  # short texts aren't rare by being short
-        significant = [s for s in segments if s[2] > chance]
-        x = sum(s[2] - chance for s in significant) if significant else max((s[2] for s in segments), default=0.0) - chance
-        return math.asinh(x), significant  # about its logarithm where it is large, so that long texts don't set the slope
+        segments = self.segments(words)
+        level = chance(len(words), self.model.k)
+        return evidence([s[2] for s in segments], level), [s for s in segments if s[2] > level]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, usable, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, label, text) of at most `most` labelled documents for which usable holds, drawn by a hash of the id."""
-    bounded_batches(docs.sparkSession)
-    few = labels.where(usable & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
-    few = few.orderBy(hash_key(F.col("id")), "id").limit(most)
-    return docs.select(F.col(id_col).alias("id"), text_of(text_col).cast("binary").alias("text")).join(F.broadcast(few), "id").select("id", "label", "text")
+def chance(n: int, k: float) -> float:
+    """The score that one segment of a text of n words reaches by chance. Short texts aren't rare by being short."""
+    return math.log(max(n * k, 1.0))
+
+
+def evidence(scores: list[float], level: float) -> float:
+    """The summed excess of the significant segments, or else what the best one lacks; about its logarithm where it is large,
+    so that long texts don't set the slope."""
+    over = [s - level for s in scores if s > level]
+    return math.asinh(sum(over) if over else max(scores, default=0.0) - level)
 
 
 def without_near_copies(sample: DataFrame, keys: int = 5, width: int = 2, least: float = 0.8) -> DataFrame:
-    """(id, label, text) rows without those that are near copies of a row with a smaller id and the same label.
+    """(id, label, text) rows without those that are near copies of a row with a smaller id (as text) and the same label.
 
     Near copies have word sets with a Jaccard similarity of `least` or more. Rows are compared where they agree in a key of
     `width` MinHash values of their longer words, as near copies almost surely do in one of the keys.
@@ -132,7 +140,8 @@ def without_near_copies(sample: DataFrame, keys: int = 5, width: int = 2, least:
         for b in batches:
             out = []
             for text in b.column(2).to_pylist():
-                words = {w for w in fold(text) if len(w) > 5} or set(fold(text)) or {b""}
+                own = set(fold(text))
+                words = {w for w in own if len(w) > 5} or own or {b""}
                 h = np.array([zlib.crc32(w) for w in words], np.uint64)
                 lows = [int(((h * np.uint64(int.from_bytes(s, "little") | 1)) >> np.uint64(16)).min()) for s in seeds]
                 out.append([f"{i} {lows[i : i + width]}" for i in range(0, len(lows), width)])
@@ -151,68 +160,98 @@ def without_near_copies(sample: DataFrame, keys: int = 5, width: int = 2, least:
                     gone.append(i)
                 else:
                     stay.append((i, words))
-            yield pa.RecordBatch.from_arrays([pa.array(gone, pa.int64())], names=["id"])
+            yield pa.RecordBatch.from_arrays([pa.array(gone, pa.string())], names=["id"])
 
-    keyed = sample.mapInArrow(sketch, "id long, label int, text binary, keys array<string>").select("id", "label", "text", F.explode("keys").alias("key"))
-    gone = keyed.repartition("label", "key").sortWithinPartitions("label", "key", "id").mapInArrow(copies, "id long").distinct()
+    sample = sample.select(F.col("id").cast("string").alias("id"), "label", "text")
+    keyed = sample.mapInArrow(sketch, "id string, label int, text binary, keys array<string>").select("id", "label", "text", F.explode("keys").alias("key"))
+    gone = keyed.repartition("label", "key").sortWithinPartitions("label", "key", "id").mapInArrow(copies, "id string").distinct()
     return sample.join(F.broadcast(gone), "id", "left_anti")  # ids of a bounded sample
 
 
-def train(sample: DataFrame, prior: float = 0.02, least_z: float = 3.5, least_odds: float = 1.5, least_docs: int = 4) -> Model:
-    """The model from (id, label, text) rows, a bounded sample. Without both labels all scores are near the only one.
+def counted_units(texts: DataFrame) -> DataFrame:
+    """unit, y1, y0 (how often it occurs in texts of either label, MOST_IN_TEXT times a text at most), t1 (toxic texts that have it)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:  # a batch is bounded in bytes, so its counts are too
+            seen: dict[int, tuple[Counter, Counter]] = {0: (Counter(), Counter()), 1: (Counter(), Counter())}
+            for label, text in zip(b.column("label").to_pylist(), b.column("text").to_pylist()):
+                own: Counter = Counter()
+                for word, n in Counter(fold(text)).items():
+                    for u in units(word):
+                        own[u] += n
+                times, in_texts = seen[label]
+                times.update({u: min(n, MOST_IN_TEXT) for u, n in own.items()})
+                in_texts.update(own.keys())
+            for label, (times, in_texts) in seen.items():
+                if times:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(times), pa.binary()), pa.array([label] * len(times), pa.int32()), pa.array(list(times.values()), pa.int64()), pa.array([in_texts[u] for u in times], pa.int64())], names=["unit", "label", "n", "texts"])
+
+    of = lambda label, c: F.sum(F.when(F.col("label") == label, F.col(c)).otherwise(0))
+    return texts.select("label", "text").mapInArrow(count, "unit binary, label int, n long, texts long").groupBy("unit").agg(of(1, "n").alias("y1"), of(0, "n").alias("y0"), of(1, "texts").alias("t1"))
+
+
+def log_odds(counted: DataFrame, prior: float) -> DataFrame:
+    """counted with d, the log-odds of each unit between toxic and other texts, and z, these in standard deviations.
+
+    The Dirichlet prior gives a unit `prior` pseudo-counts for each of its occurrences in both, and half a one more; totals are
+    sums of the same counts and pseudo-counts over all units.
+    """
+    total = counted.agg(F.sum("y1").alias("n1"), F.sum("y0").alias("n0"), F.sum(F.lit(prior) * (F.col("y1") + F.col("y0")) + 0.5).alias("a")).first()
+    n1, n0, all_ = float(total["n1"] or 0), float(total["n0"] or 0), float(total["a"] or 0.0)
+    a = F.lit(prior) * (F.col("y1") + F.col("y0")) + 0.5
+    odds = lambda y, n: F.log((F.col(y) + a) / (F.lit(n + all_) - F.col(y) - a))
+    return counted.withColumn("d", odds("y1", n1) - odds("y0", n0)).withColumn("z", F.col("d") / F.sqrt(1 / (F.col("y1") + a) + 1 / (F.col("y0") + a)))
+
+
+def train(sample: DataFrame, prior: float = 0.02, least_z: float = 3.5, least_odds: float = 1.5, least_docs: int = 4, owner: Scratch | None = None) -> Model:
+    """The model from (id, label, text) rows, a bounded sample with ids of any type (labelled_sample). Without both labels, or
+    without words in one of them, all scores are near the share of toxic rows.
 
     Copies and near copies of one label count once, and a unit three times in a text at most, so that no single text makes a unit
     significant.
     """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, tuple[Counter, Counter]] = {0: (Counter(), Counter()), 1: (Counter(), Counter())}
+    scratch = Scratch(sample.sparkSession, owner)
+    rows = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    counted = scratch.keep(counted_units(without_near_copies(sample)), "units")
+    found = log_odds(counted, prior).where((F.col("t1") >= least_docs) & (F.col("z") >= least_z) & (F.col("d") >= least_odds))
+    lexicon = {bytes(r["unit"]): (r["z"], r["d"]) for r in found.select("unit", "z", "d").collect()}  # units of a bounded sample
+    if len(rows) < 2 or not lexicon:
+        return Model({}, -0.01, 1.0, 0.0, math.log((rows.get(1, 0) + 1e-9) / (rows.get(0, 0) + 1e-9)))
+
+    # Each text's scored words, found once; what follows works on these.
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(Model(lexicon, -0.01, 1.0, 1.0, 0.0))
         for b in batches:
-            for label, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                times, texts = seen[label]
-                own = Counter(u for w, n in Counter(fold(text)).items() for u in units(w) * min(n, MOST_IN_TEXT))
-                times.update({u: min(n, MOST_IN_TEXT) for u, n in own.items()})
-                texts.update(own.keys())
-        for label, (times, texts) in seen.items():
-            yield pa.RecordBatch.from_arrays([pa.array(list(times), pa.binary()), pa.array([label] * len(times), pa.int32()), pa.array(list(times.values()), pa.int64()), pa.array([texts[u] for u in times], pa.int64())], names=["unit", "label", "n", "texts"])
-
-    texts = without_near_copies(sample)
-    sized = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.sum(F.size(F.split(F.col("text").cast("string"), " "))).alias("n")).collect()}
-    if len(sized) < 2:
-        return Model({}, -0.01, 1.0, 0.0, 20.0 if 1 in sized else -20.0)
-    of = lambda label, c: F.sum(F.when(F.col("label") == label, F.col(c)).otherwise(0))
-    counted = texts.mapInArrow(count, "unit binary, label int, n long, texts long").groupBy("unit").agg(of(1, "n").alias("y1"), of(0, "n").alias("y0"), of(1, "texts").alias("t1"))
-    a = F.lit(prior) * (F.col("y1") + F.col("y0")) + 0.5  # the Dirichlet prior: so many pseudo-counts, by overall frequency
-    odds = lambda y, m: F.log((F.col(y) + a) / (F.lit(m + prior * (sized[0] + sized[1])) - F.col(y) - a))
-    scored = counted.where(F.col("t1") >= least_docs).withColumn("d", odds("y1", sized[1]) - odds("y0", sized[0])).withColumn("z", F.col("d") / F.sqrt(1 / (F.col("y1") + a) + 1 / (F.col("y0") + a)))
-    lexicon = {bytes(r["unit"]): (r["z"], r["d"]) for r in scored.where((F.col("z") >= least_z) & (F.col("d") >= least_odds)).select("unit", "z", "d").collect()}  # units of a bounded sample
+            words = [fold(t) for t in b.column("text").to_pylist()]
+            hits = [scanner.hits(w) for w in words]
+            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([len(w) for w in words], pa.int64()), pa.array([[i for i, _ in h] for h in hits], pa.list_(pa.int64())), pa.array([[s for _, s in h] for h in hits], pa.list_(pa.float64()))], names=["label", "n", "places", "scores"])
 
+    hits = scratch.keep(sample.select("label", "text").mapInArrow(scan, "label int, n long, places array<long>, scores array<double>"), "hits")
     # The share of lexicon words in toxic texts gives the others' log-odds; with it, the scores are a likelihood ratio.
-    model = Model(lexicon, -0.01, 1.0, 1.0, 0.0)
-    toxic = [r for r in _measured(sample, model) if r["label"]]
-    model = Model(lexicon, math.log1p(-min(0.5, (sum(r["hits"] for r in toxic) + 1) / (sum(r["n"] for r in toxic) + 2))), 1.0, 1.0, 0.0)
-    clean = [r for r in _measured(sample, model) if not r["label"] and r["n"]]
-    k = len(clean) / max(sum(r["n"] * math.exp(-r["best"]) for r in clean), 1e-9)  # most likely for maxima of n scores
-    model = Model(lexicon, model.other, max(k, 1e-9), 1.0, 0.0)
-    fitted = _measured(sample, model)
-    slope, intercept = logistic(np.array([r["x"] for r in fitted]), np.array([r["label"] for r in fitted], float))
-    return Model(lexicon, model.other, model.k, max(slope, 0.0), intercept)
+    share = hits.where("label = 1").agg(F.sum(F.size("places")).alias("hits"), F.sum("n").alias("n")).first()
+    other = math.log1p(-min(0.5, (share["hits"] + 1) / (share["n"] + 2)))
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, places, scores = (b.column(c).to_pylist() for c in ("n", "places", "scores"))
+            found = [[s for *_, s in maximal_segments(list(zip(p, x)), k, other)] for k, p, x in zip(n, places, scores)]
+            yield pa.RecordBatch.from_arrays([b.column("label"), b.column("n"), pa.array(found, pa.list_(pa.float64()))], names=["label", "n", "segments"])
 
-def _measured(sample: DataFrame, model: Model) -> list:
-    """Numbers of each text of a bounded sample: label, words, words with a score, best segment, evidence."""
+    segments = scratch.keep(hits.mapInArrow(cut, "label int, n long, segments array<double>"), "segments")
+    best = F.coalesce(F.array_max("segments"), F.lit(0.0))
+    clean = segments.where("label = 0 AND n > 0").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.col("n") * F.exp(-best)).alias("mass")).first()
+    k = max((clean["texts"] or 0) / max(clean["mass"] or 0.0, 1e-9), 1e-9)  # most likely for maxima of n scores
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(model)
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for text in b.column(2).to_pylist():
-                words = fold(text)
-                rows.append((len(words), len(scanner.hits(words)), max((s[2] for s in scanner.segments(words)), default=0.0), scanner.evidence(words)[0]))
-            n, hits, best, x = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(n, pa.int64()), pa.array(hits, pa.int64()), pa.array(best, pa.float64()), pa.array(x, pa.float64())], names=["label", "n", "hits", "best", "x"])
+            x = [evidence(s, chance(n, k)) for n, s in zip(b.column("n").to_pylist(), b.column("segments").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(x, pa.float64())], names=["label", "x"])
 
-    return sample.mapInArrow(run, "label int, n long, hits long, best double, x double").collect()
+    fitted = segments.mapInArrow(weigh, "label int, x double").collect()  # two numbers for each row of a bounded sample
+    slope, intercept = logistic(np.array([r["x"] for r in fitted]), np.array([r["label"] for r in fitted], float))
+    if owner is None:
+        scratch.close()
+    return Model(lexicon, other, k, max(slope, 0.0), intercept)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, float]:
@@ -232,7 +271,9 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, f
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, score and segments (first word, past the last, score of each significant passage) of each whole text.
 
-    Null and empty texts score as texts without a hit. Rows are independent; extra columns are ignored.
+    Ids can be of any type. Null and empty texts score as texts without a hit. A text is scored whole, in one task, in time
+    linear in its length. Rows are independent: repeated rows and null ids are scored one by one. Extra columns are ignored;
+    an empty table gives no rows.
     """
     bounded_batches(docs.sparkSession)
 
@@ -248,4 +289,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(segments, kind)], names=[id_col, "score", "segments"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), text_of(text_col).cast("binary").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, score double, segments array<struct<first:int,end:int,score:double>>")
+    return spread(docs.select(F.col(id_col), text_of(text_col).cast("binary").alias("text"))).mapInArrow(run, f"`{id_col}` {kind}, score double, segments array<struct<first:int,end:int,score:double>>")

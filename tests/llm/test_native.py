@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -136,6 +137,21 @@ def test_typed_parts(spark):
     assert r.formatted == "<turn user>\nlook \\lhere\\g<image 1><document 2>\n</turn>\n<turn assistant>\nI <audio 3>see\n</turn>\n<turn user>\n\n</turn>\n"
     assert [tuple(a) for a in r.attachments] == [(1, "image", "a.png", 256), (2, "document", "b.xls", 0), (3, "audio", "c.wav", 40)]
     assert [r.formatted[s.start : s.start + s.length] for s in r.loss_spans] == ["I ", "see"]
+    assert [r.formatted.encode()[s.byte : s.byte + s.bytes] for s in r.loss_spans] == [b"I ", b"see"]
+    back = C.format_chat(turns, parts=F.col("parts")).select(C.read_parts(F.col("formatted"), F.col("attachments")).alias("t")).first().t
+    own = [[("text", "look <here>", None, 0), ("image", "", "a.png", 256), ("document", "", "b.xls", 0)], [("text", "I ", None, 0), ("audio", "", "c.wav", 40), ("text", "see", None, 0)], []]
+    assert [(x.role, [tuple(p) for p in x.parts]) for x in back] == list(zip(["user", "assistant", "user"], own))
+
+
+def test_long_conversation(spark):
+    """Linear time: 50,000 turns with awkward texts, formatted, read back and masked within a minute."""
+    n = 50_000
+    turns = spark.range(n).selectExpr("5L AS conv_id", "id AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role", "'é <turn> \\\\ ' || id AS text")
+    began = time.perf_counter()
+    out = C.format_chat(turns)
+    r = out.select(C.read_back(F.col("formatted")).alias("t"), C.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert time.perf_counter() - began < 60
+    assert [x.text for x in r.t] == [f"é <turn> \\ {i}" for i in range(n)] and r.loss == "".join(f"é <turn> \\ {i}" for i in range(1, n, 2))
 
 
 # ---- quality rules --------------------------------------------------------------------------------------------------
@@ -176,9 +192,7 @@ def test_quality_lines(spark, frame):
     assert {r.doc_id: r.kept for r in Q.quality_rules(docs).collect()} == {k: v for k, (_, v) in cases.items()}
     assert Q.quality_rules(docs).where("doc_id = 5").first().clean_text == good
     left = Q.filter_documents(docs)
-    assert left.columns == docs.columns and {r.doc_id: r.text for r in left.collect()} == {k: t for k, (t, v) in cases.items() if v}
-    assert Q.quality_rules(docs.where("false")).count() == 0
-
-
-def test_digest_is_sha256(spark, frame):
-    assert E.exact_dedup(frame([(1, "é b")])).first().digest == hashlib.sha256("éb".encode()).digest()
+    kept = {r.doc_id: r for r in left.collect()}
+    assert left.columns == docs.columns and kept.keys() == {k for k, (_, v) in cases.items() if v}
+    assert (kept[1].text, kept[5].text, kept[7].text) == (good, good, cases[7][0].partition("\n")[2])
+    assert all(r.n_chars == len(r.text) for r in kept.values())

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from quarrysift.llm import chat_format, exact_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, token_counts, tokens, toxicity, url_filter
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
+from quarrysift.llm._common import labelled_sample
+
 TEXT = "one two three four five six seven"
 
 
@@ -29,9 +31,9 @@ def test_others(spark, docs):
     assert mixing.mix_sources(docs).count() == 6 and quality_rules.quality_rules(docs).count() == 6
     assert token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 6
     labels = spark.createDataFrame([(None, 1, 0), (4, 1, 0), (5, 0, 1)], "doc_id long, quality int, toxic int")
-    sample = toxicity.labelled_sample(docs, labels, "toxic", F.lit(True), 10)
+    sample = labelled_sample(docs, labels, "toxic", F.lit(True), 10)
     assert sample.count() == 2 and toxicity.score(docs, toxicity.train(sample)).count() == 6
-    assert quality_classifier.score(docs, quality_classifier.train(toxicity.labelled_sample(docs, labels, "quality", F.lit(True), 10))).count() == 6
+    assert quality_classifier.score(docs, quality_classifier.train(labelled_sample(docs, labels, "quality", F.lit(True), 10))).count() == 6
     pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("http://a.com/").alias("url"))
     assert url_filter.url_filter(pages, url_filter.DEFAULT_RULES).count() == 6
     assert chat_format.format_chat(docs.select(F.col("doc_id").alias("conv_id"), "lang", "text", F.lit(None).cast("long").alias("turn"), F.lit(None).cast("string").alias("role"))).count() == 3

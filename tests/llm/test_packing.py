@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -26,24 +27,37 @@ def plain_best_fit(lengths, capacity):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.integers(1, 60), st.data())
-def test_runs_are_best_fit_decreasing(capacity, data):
+@given(st.integers(1, 60), st.data(), st.sampled_from(packing.PHASES))
+def test_rounds_place_every_piece(capacity, data, factor):
+    """Every rank has one place, sequences are gapless, a factor of 1 is best-fit decreasing, the bound of the matches holds."""
     lengths = data.draw(st.lists(st.integers(1, capacity), max_size=120))
     counts = Counter(lengths)
-    matches = sorted(packing.match_runs(dict(counts), capacity))
+    found, opened = packing.match_rounds(dict(counts), capacity, factor)
     sequences = defaultdict(list)
     for n, count in counts.items():
-        own = [m for m in matches if m[0] == n]
+        own = sorted(m for m in found if m[0] == n)
         for rank in range(count):
-            m = max((m for m in own if m[1] <= rank), key=lambda m: m[1])
-            sequences[m[2] + rank - m[1]].append((m[3], n))
+            _, first_rank, first, offset, per = max((m for m in own if m[1] <= rank), key=lambda m: m[1])
+            nth, within = divmod(rank - first_rank, per)
+            sequences[first + nth].append((offset + within * n, n))
     for pieces in sequences.values():
         at = 0
         for offset, n in sorted(pieces):
             assert offset == at
             at += n
         assert at <= capacity
-    assert len(sequences) == plain_best_fit(lengths, capacity)
+    assert len(sequences) == opened and len(found) <= (3 * math.log2(max(capacity, 2)) + 1) * len(counts)
+    if factor == 1:
+        assert opened == plain_best_fit(lengths, capacity)
+
+
+def test_matches_stay_bounded():
+    """As many pieces as a very large corpus has, over all lengths: the matches don't grow with them."""
+    rng = random.Random(1)
+    few = {n: rng.randint(1, 9) for n in range(1, 4097)}
+    for factor in packing.PHASES:
+        found, opened = packing.match_rounds({n: c * 10**9 + rng.randint(0, 10**6) for n, c in few.items()}, 4096, factor)
+        assert len(found) <= 37 * 4096 and opened > 10**9
 
 
 def check_places(rows, capacity):
@@ -65,7 +79,7 @@ def test_pieces_and_places(spark, frame, awkward):
     docs = frame(awkward)
     pieces = tokens.tokenize_pieces(docs, PATH, capacity=512)
     rows = packing.best_fit_pack(pieces, 512).collect()
-    assert check_places(rows, 512) == plain_best_fit([r.length for r in rows], 512)
+    assert check_places(rows, 512) <= plain_best_fit([r.length for r in rows], 512)
     plain = Tokenizer.from_file(PATH)
     wanted = Counter()
     for i, text in awkward:
@@ -77,9 +91,12 @@ def test_pieces_and_places(spark, frame, awkward):
 
 
 def test_hot_length_and_empty(spark):
-    rows = spark.range(3000).selectExpr("id AS doc_id", "0 AS piece", "CAST(IF(id % 3 = 0, 700, id % 4096 + 1) AS LONG) AS length", "'x' AS sequence", "1 AS offset_", "id % 2 AS __clash")
-    packed = packing.best_fit_pack(rows).collect()
-    assert len(packed) == 3000 and check_places(packed, 4096) == plain_best_fit([r.length for r in packed], 4096)
+    rows = spark.range(3000).selectExpr("id AS doc_id", "0 AS piece", "CAST(IF(id % 3 = 0, 700, id % 4096 + 1) AS LONG) AS length", "'x' AS sequence_id", "1 AS offset", "id % 2 AS __row", "1 AS __rank", "2 AS key")
+    out = packing.best_fit_pack(rows)
+    assert out.columns == ["doc_id", "piece", "length", "__row", "__rank", "key", "sequence_id", "offset"]
+    packed = out.collect()
+    assert len(packed) == 3000 and check_places(packed, 4096) <= plain_best_fit([r.length for r in packed], 4096)
+    assert all(r["__row"] == r.doc_id % 2 for r in packed)
     assert packing.best_fit_pack(rows.where("false")).collect() == []
     with pytest.raises(ValueError):
         packing.best_fit_pack(rows.selectExpr("doc_id", "piece", "0L AS length"))
@@ -100,3 +117,10 @@ def test_encoder_forgets(monkeypatch):
     encoder = tokens.WordEncoder(PATH)
     for text in ("one two three four", "five one six, seven's", "one two " + "y" * 100) * 3:
         assert np.frombuffer(encoder.encode(text.encode()), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_other_tokenizers_encode_whole_texts():
+    encoder = tokens.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not encoder.by_word and tokens.WordEncoder(PATH).by_word
+    for text in ("one two  three\n\nfour", " a\tb ", ""):
+        assert np.frombuffer(encoder.encode(text.encode()), "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids

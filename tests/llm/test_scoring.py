@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quarrysift.llm import quality_classifier as QC
 from quarrysift.llm import token_counts as TC
 from quarrysift.llm import toxicity as TX
+from quarrysift.llm._common import labelled_sample
 from quarrysift.llm import url_filter as U
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -90,8 +91,8 @@ def test_toxicity_learns(spark, frame, words):
         rows.append((i, " ".join(w)))
     docs = frame([*rows, (900, None), (901, ""), (902, "zzvile " * 3)])
     labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(400)], "doc_id long, toxic int")
-    sample = TX.labelled_sample(docs, labels, "toxic", F.col("doc_id") % 3 != 1, 1000)
-    assert sample.count() == sum(i % 3 != 1 for i in range(400)) and TX.labelled_sample(docs, labels, "toxic", F.lit(True), 50).count() == 50
+    sample = labelled_sample(docs, labels, "toxic", F.col("doc_id") % 3 != 1, 1000)
+    assert sample.count() == sum(i % 3 != 1 for i in range(400)) and labelled_sample(docs, labels, "toxic", F.lit(True), 50).count() == 50
     scores = {r.doc_id: r for r in TX.score(docs, TX.train(sample)).collect()}
     held = [i for i in range(400) if i % 3 == 1]
     assert sum((scores[i].score >= 0.7) == (i % 8 == 0) for i in held) >= 0.97 * len(held)
@@ -113,13 +114,13 @@ def test_only_near_copies_of_a_label_go(spark):
     one, other = "commonword " + " ".join(f"a{i}" for i in range(40)), "commonword " + " ".join(f"b{i}" for i in range(40))
     rows = [(1, 0, one), (2, 0, other), (3, 0, one + " a99"), (4, 1, one), (5, 1, one), (6, 0, ""), (7, 0, "")]
     sample = spark.createDataFrame(rows, "id long, label int, text string").selectExpr("id", "label", "cast(text as binary) AS text")
-    assert {r.id for r in TX.without_near_copies(sample).collect()} == {1, 2, 4, 6}
+    assert {r.id for r in TX.without_near_copies(sample).collect()} == {"1", "2", "4", "6"}
 
 
 def test_toxicity_without_labels(spark, frame, words):
     docs = frame([(1, words(5)), (2, None)])
     labels = spark.createDataFrame([(1, 0), (2, None), (7, 1)], "doc_id long, toxic int")
-    model = TX.train(TX.labelled_sample(docs, labels, "toxic", F.lit(True), 10))
+    model = TX.train(labelled_sample(docs, labels, "toxic", F.lit(True), 10))
     assert all(r.score < 0.1 for r in TX.score(docs, model).collect())
     assert TX.score(docs.where("false"), model).count() == 0
 
@@ -127,26 +128,47 @@ def test_toxicity_without_labels(spark, frame, words):
 # ---- URL filters ----------------------------------------------------------------------------------------------------
 
 
-def test_index_agrees_with_all_rules(spark):
+def odd_urls():
     rng = random.Random(7)
-    rules = [U.host_rule(*r) for r in [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "a.net", ""), ("block", "org", "/x")]] + U.DEFAULT_RULES + [U.Rule("any", "block", r"zz$", ())]
-    part = lambda xs: rng.choice(xs)
-    urls = [f"{part(['http', 'HTTPS', ''])}{part(['://', '://', ':/'])}{part(['', 'www.', 'x', 'sub.'])}{part(['Example.com', 'a.net', 'b.org', 'com', 'net'])}{part(['', '/', '/en/', '/EN/', '/es/1', '/xy', '/casino-x', '/casinos', '#f', '?q=poker', '/a/zz'])}{part(['', '?a#b', '#x?y'])}" for _ in range(400)] + [None, "", "://", "a://b://c/d"]
-    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit(1)).withColumn("rule", F.lit("?"))
+    part = rng.choice
+    urls = [f"{part(['http', 'HTTPS', ''])}{part(['://', '://', ':/'])}{part(['', 'www.', 'x', 'sub.'])}{part(['Example.com', 'a.net', 'b.org', 'com', 'net', 'adserver.net'])}{part(['', '/', '/en/', '/EN/', '/es/1', '/xy', '/casino-x', '/casinos', '#f', '?q=poker', '/a/zz', '/Ads/banner-1.GIF', '/click', '/clicks', '/free-x-download/'])}{part(['', '?a#b', '#x?y', '?adurl=1&clickid=2'])}" for _ in range(600)]
+    return [*urls, None, "", "://", "a://b://c/d", "http://a.com/e\u017fcort/x", "http://a.com/\u212aeygen", "http://b.org/\nads/bannerx.gif", "http://b.org/ads/banner\n.gif"]
+
+
+@pytest.mark.parametrize("way", ["list", "table", "join"])
+def test_index_agrees_with_all_rules(spark, monkeypatch, way):
+    rules = [U.host_rule(*r) for r in [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "a.net", ""), ("block", "org", "/x")]] + U.DEFAULT_RULES + [U.Rule("any", "block", r"zz$", ()), U.filter_rule("allow", "|www.*/xy|"), U.filter_rule("allow", "||b.org^")]
+    urls = odd_urls()
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit(1)).withColumn("rule", F.lit("?")).withColumn("row", F.lit(2))
 
     def plain(url):
         url = url or ""
         rest = url.partition("://")[2] if "://" in url else ""
         host = re.match("[^/?#]*", rest).group()
         path = re.match("[^?#]*", rest[len(host) :]).group()
+        query = re.match(r"(\?[^#]*)?", rest[len(host) + len(path) :]).group()
         host = host.translate(str.maketrans(U.UPPER, U.LOWER))
-        fits = [r for r in rules if re.search(r.pattern, host + path, re.S)]
+        fits = [r for r in rules if re.search(r.pattern, host + path + (query if r.query else ""), re.S)]
         best = max(fits, key=lambda r: (r.rank, len(r.name), r.verdict == "block", r.name), default=None)
         return host, path, best and best.name, best.verdict if best else "allow"
 
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in U.url_filter(pages, rules).collect()}
+    if way == "join":
+        monkeypatch.setattr(U, "INDEX_RULES", 3)
+    given = rules if way == "list" else U.rules_table(spark, rules)
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in U.url_filter(pages, given).collect()}
     assert got == {i: plain(u) for i, u in enumerate(urls)}
-    assert U.url_filter(pages.where("false"), rules).count() == 0 and U.url_filter(pages, []).where("verdict = 'allow'").count() == len(urls)
+    assert U.url_filter(pages.where("false"), given).count() == 0 and U.url_filter(pages, []).where("verdict = 'allow'").count() == len(urls)
+
+
+def test_rules_from_a_table(spark, monkeypatch):
+    rows = [("allow", "host", "WWW.Example.com/en/"), ("block", "host", "a.net"), ("block", "word", "poker"), ("block", "filter", "||ads.*/x^")]
+    made = U.rules_of(spark.createDataFrame(rows, "verdict string, kind string, rule string")).collect()
+    want = [U.host_rule("allow", "www.example.com", "/en/"), U.host_rule("block", "a.net", ""), U.word_rule("block", "poker"), U.filter_rule("block", "||ads.*/x^")]
+    assert [(r.name, r.verdict, r.pattern, tuple(r.tokens), r["rank"], r.query) for r in made] == [(r.name, r.verdict, r.pattern, r.tokens, r.rank, r.query) for r in want]
+    monkeypatch.setattr(U, "INDEX_RULES", 1)
+    monkeypatch.setattr(U, "TOKENLESS_RULES", 1)
+    with pytest.raises(ValueError):
+        U.url_filter(spark.createDataFrame([(1, "a")], "page_id int, url string"), U.rules_table(spark, [U.Rule("a", "block", "a", ()), U.Rule("b", "block", "b", ())]))
 
 
 def test_longest_host_rule(spark):
@@ -163,11 +185,11 @@ def test_classifier(spark, frame, words):
     rows = [(i, junk[(i // 5 + i // 20) % 4]() if i % 5 == 0 else words(30 + i % 90) + ".") for i in range(500)]
     docs = frame([*rows, (900, None), (901, "")])
     labels = spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(500)], "doc_id long, quality int")
-    model = QC.train(TX.labelled_sample(docs, labels, "quality", F.col("doc_id") % 4 != 0, 1000))
+    model = QC.train(labelled_sample(docs, labels, "quality", F.col("doc_id") % 4 != 0, 1000))
     scores = {r.doc_id: r.score for r in QC.score(docs, model).collect()}
     held = [i for i in range(500) if i % 4 == 0]
     assert sum((scores[i] >= 0.3) == (i % 5 > 0) for i in held) >= 0.97 * len(held)
     assert all(0 <= s <= 1 for s in scores.values()) and len(scores) == 502
-    flat = QC.train(TX.labelled_sample(docs, labels.where("quality = 1"), "quality", F.lit(True), 100))
+    flat = QC.train(labelled_sample(docs, labels.where("quality = 1"), "quality", F.lit(True), 100))
     assert all(r.score == pytest.approx(0.3) or 0 <= r.score <= 1 for r in QC.score(docs, flat).collect())
     assert QC.score(docs.where("false"), model).count() == 0
