@@ -68,6 +68,34 @@ def test_blocks(spark, frame, words, monkeypatch):
     assert found(N.near_dedup(frame(rows), words=3, threshold_pct=85)) == brute(rows, 3, 85)
 
 
+def test_chains_cost_what_their_buckets_hold(spark, frame, words):
+    """A family that chains through low similarities: rows dealt grow with members and buckets, comparisons with banded pairs."""
+    stream, rows, length, step = words(8000).split(), [], 120, 27
+    for i in range(280):
+        rows.append((i, " ".join(stream[i * step : i * step + length])))
+    shingler = N.Shingler(3, N.plan_bands(0.85, 7, 1e-6) * 7)
+    bands = [shingler.bands(shingler.signature(shingler.shingles(t.encode())), 7).tolist() for _, t in rows]
+    buckets = {}
+    for i, own in enumerate(bands):
+        for b in own:
+            buckets.setdefault(b, set()).add(i)
+    held = sum(len(b) for b in buckets.values() if len(b) > 1)
+    pairs = {(i, j) for b in buckets.values() for i in b for j in b if i < j}
+    assert len(pairs) > 100  # most neighbours are candidates, none is linked
+    with Scratch(spark) as own:
+        assert found(N.near_dedup(frame(rows), words=3, threshold_pct=85, owner=own)) == brute(rows, 3, 85)
+        tasks = spark.read.parquet(f"{own.root}/*/links-stars", f"{own.root}/*/links-rest").selectExpr("sum(compared)", "sum(held)").first()
+    assert tasks[0] <= 2 * len(pairs) and tasks[1] <= 2 * len(rows) + held
+
+
+def test_large_buckets_in_blocks(spark, frame, words, monkeypatch):
+    """One bucket for all (a band of a single hash of a common shingle): pairs of blocks lose no link."""
+    monkeypatch.setattr(N, "BLOCK_MEMBERS", 8)
+    texts = cloud(words, 70, seed=9)
+    rows = list(enumerate(texts))
+    assert found(N.near_dedup(frame(rows), words=1, threshold_pct=85, rows=1)) == brute(rows, 1, 85)
+
+
 def test_empty_and_clean(spark, frame, words):
     assert N.near_dedup(frame([])).collect() == []
     rows = [(i, words(40)) for i in range(30)]
