@@ -11,6 +11,7 @@ import builtins
 import hashlib
 import random
 import re
+import textwrap
 from collections import deque
 from collections.abc import Callable
 
@@ -170,9 +171,35 @@ def expression(tree):
 def loop_standard(tree):
     """Directly nested loops over ranges of step 1 become one loop over flat_idx, where no bound depends on an outer variable.
 
-    Loops that break, continue, or assign a loop variable stay, and so do bounds that aren't known not to be negative.
+    Loops that break, continue, or assign a loop variable stay, and so do bounds that aren't known not to be negative. A pair
+    `for i in range(n): for k in range(ptr[i], ptr[i + 1])` becomes one loop over k, in which i follows ptr: the row pointers of
+    a compressed sparse matrix, which are taken to be sorted.
     """
 
+    def next_of(e, name):
+        return isinstance(e, ast.BinOp) and isinstance(e.op, ast.Add) and {ast.dump(e.left), ast.dump(e.right)} == {ast.dump(load(name)), ast.dump(ast.Constant(1))}
+
+    def by_rows(node):
+        outer, inner = range_parts(node.iter), node.body[0] if len(node.body) == 1 else None
+        if not (outer and number(outer[2]) == 1 and isinstance(inner, ast.For) and isinstance(node.target, ast.Name) and isinstance(inner.target, ast.Name)) or node.orelse or inner.orelse:
+            return None
+        i, k, parts = node.target.id, inner.target.id, range_parts(inner.iter)
+        if not parts or number(parts[2]) != 1 or not all(isinstance(e, ast.Subscript) and isinstance(e.value, ast.Name) for e in parts[:2]):
+            return None
+        (first, last), (start, stop) = parts[:2], outer[:2]
+        pointers = first.value.id
+        if last.value.id != pointers or not (isinstance(first.slice, ast.Name) and first.slice.id == i and next_of(last.slice, i)):
+            return None
+        inside = [n for s in inner.body for n in ast.walk(s)]
+        stored = {n.id for n in inside if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store)}
+        written = {n.value.id for n in inside if isinstance(n, ast.Subscript) and isinstance(n.value, ast.Name) and not isinstance(n.ctx, ast.Load)}
+        fixed = {i, k, pointers} | {n.id for e in (start, stop) for n in ast.walk(e) if isinstance(n, ast.Name)}
+        if len({i, k, pointers}) < 3 or (stored | written) & fixed or any(isinstance(n, (ast.Break, ast.Return, ast.Yield, ast.YieldFrom)) for n in inside):
+            return None
+        at = lambda e: ast.Subscript(load(pointers), e, ast.Load())
+        follow = ast.While(ast.Compare(load(k), [ast.GtE()], [at(ast.BinOp(load(i), ast.Add(), ast.Constant(1)))]), [ast.AugAssign(store(i), ast.Add(), ast.Constant(1))], [])
+        return [ast.Assign([store(i)], start), ast.For(store(k), call("range", at(start), at(stop)), [follow, *inner.body], [])]
+
     def length(start, stop):
         a, b = number(start), number(stop)
         if isinstance(a, int) and isinstance(b, int):
@@ -220,6 +247,9 @@ def loop_standard(tree):
 
     class Outermost(ast.NodeTransformer):
         def visit_For(self, node):
+            rows = by_rows(node)
+            if rows:
+                return rows
             new = flatten(node)
             if new is None or new is node:
                 return self.generic_visit(node)
@@ -610,6 +640,29 @@ def transform_code(code: str, names: list[str], options: dict[str, dict] | None
         return code, f"{type(e).__name__}: {e}"
 
 
+#: The core rewrites, in the order in which they run before others.
+CORE = ["function_extract", "control_flow", "loop_standard", "expression", "variable_naming"]
+
+
+def pipeline_code(code: str, names: list[str] | None = None, include_core: bool = True, options: dict[str, dict] | None = None, keep: bool = False) -> tuple[str | None, str | None]:
+    """(code, error) of the variant that runs the core rewrites first, if asked to, and always writes the tree out again.
+
+    Without names all rewrites run. On an error the code is None, or with keep the text as it was.
+    """
+    wanted, options = names or [*TREE_REWRITES, *TEXT_REWRITES], options or {}
+    try:
+        tree = ast.parse(textwrap.dedent(code).strip())
+        for name in [*(CORE if include_core else []), *(n for n in wanted if n in TREE_REWRITES)]:
+            tree = ast.fix_missing_locations(TREE_REWRITES[name](tree, **options.get(name, {})))
+        out = ast.unparse(tree)
+        for name in wanted:
+            if name in TEXT_REWRITES:
+                out = TEXT_REWRITES[name](out, **options.get(name, {}))
+        return out, None
+    except Exception as e:  # noqa: BLE001  a row's error is data
+        return (code if keep else None), f"{type(e).__name__}: {e}"
+
+
 # ---- features -------------------------------------------------------------------------------------------------------
 
 
@@ -668,7 +721,10 @@ def _literal(e: ast.expr) -> bool:
 
 
 def slice_functions(code: str, most: int = 4000) -> list[dict]:
-    """One small module for each top-level function: imports, the constants it reads, stubs of the helpers it calls, itself."""
+    """One small module for each top-level function: imports, the constants it reads, stubs of the helpers it calls, itself.
+
+    Constants of more than `most` characters are left out of the module and named in dropped_consts.
+    """
     try:
         tree = ast.parse(code)
     except (SyntaxError, ValueError, RecursionError):
@@ -683,10 +739,11 @@ def slice_functions(code: str, most: int = 4000) -> list[dict]:
         local = {x.arg for x in (*a.posonlyargs, *a.args, *a.kwonlyargs, a.vararg, a.kwarg) if x} | {n.id for n in nodes if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store)} | {n.name for n in nodes if isinstance(n, ast.ExceptHandler) and n.name}
         reads = {n.id for n in nodes if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Load)} - local - set(dir(builtins))
         called = {n.func.id if isinstance(n.func, ast.Name) else n.func.attr for n in nodes if isinstance(n, ast.Call) and isinstance(n.func, (ast.Name, ast.Attribute))}
-        needed = [c for c in constants if c in reads and len(ast.unparse(constants[c])) <= most]
+        read = [c for c in constants if c in reads]
+        needed = [c for c in read if len(ast.unparse(constants[c])) <= most]
         helpers = [h for h in functions if h in called and h != name]
         stub = lambda h: ast.FunctionDef(h, functions[h].args, [ast.Raise(call("NotImplementedError"))], [], type_params=[])
         body = [*imports, *(constants[c] for c in needed), *map(stub, helpers), fn]
         text = ast.unparse(ast.fix_missing_locations(ast.Module(body, [])))
-        out.append({"function": name, "code": text, "needed_consts": needed, "stubbed_helpers": helpers, "imports_included": len(imports), "lines_out": len(text.splitlines())})
+        out.append({"function": name, "code": text, "needed_consts": needed, "dropped_consts": [c for c in read if c not in needed], "stubbed_helpers": helpers, "imports_included": len(imports), "lines_out": len(text.splitlines())})
     return out

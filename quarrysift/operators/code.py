@@ -36,6 +36,16 @@ def rewrite(code: Column, names: list[str], options: dict[str, dict] | None = No
     return run(code)
 
 
+def pipeline_rewrite(code: Column, names: list[str] | None = None, include_core: bool = True, options: dict[str, dict] | None = None, keep: bool = False) -> Column:
+    """struct(code, error) of the variant with the core rewrites, as codeast.pipeline_code."""
+
+    @F.pandas_udf("code string, error string")
+    def run(codes: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([codeast.pipeline_code(c or "", names, include_core, options, keep) for c in codes], columns=["code", "error"])
+
+    return run(code)
+
+
 def transform_dataset(df: DataFrame, names: list[str], code: str = "code", path: str | None = None, changed_only: bool = False, options: dict[str, dict] | None = None) -> DataFrame:
     """df with rewritten code, transformation_type, applied_transformers, transformation_error, and output_filename for a path.
 
@@ -93,10 +103,10 @@ def extract_functions(df: DataFrame, code: str = "code") -> DataFrame:
 
 
 def slice_functions(df: DataFrame, code: str = "code") -> DataFrame:
-    return _exploded(df, code, "function: string, code: string, needed_consts: array<string>, stubbed_helpers: array<string>, imports_included: int, lines_out: int", codeast.slice_functions)
+    return _exploded(df, code, "function: string, code: string, needed_consts: array<string>, dropped_consts: array<string>, stubbed_helpers: array<string>, imports_included: int, lines_out: int", codeast.slice_functions)
 
 
-@F.udtf(returnType="function string, code string, needed_consts array<string>, stubbed_helpers array<string>, imports_included int, lines_out int", useArrow=True)
+@F.udtf(returnType="function string, code string, needed_consts array<string>, dropped_consts array<string>, stubbed_helpers array<string>, imports_included int, lines_out int", useArrow=True)
 class SliceFunctions:
     """slice_functions as a table function, for SQL with LATERAL."""
 

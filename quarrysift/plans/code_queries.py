@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from quarrysift.functions import text as X
 from quarrysift.functions.text import strip
 from quarrysift.operators import code as C
+from quarrysift.operators import workflow
 from quarrysift.plans.registry import QUERIES, SQL, query, table, template
 from quarrysift.session import spread
+from quarrysift.sources.providers import EchoSpecs, SyntaxVerifier
 
 #: name: (rewrite, options, cases of (code before, code after)); case i holds for documents with doc_id % cases = i.
 REWRITES: dict[str, tuple[str, dict, list[tuple[str, str]]]] = {
@@ -288,3 +290,42 @@ def tx_remove_indent(spark, d):
     """By the registry's name, as one of a request's rewrites; tx_forget_indent is the native form."""
     code = F.expr(template("def f():\n    x = {doc_id}\n\n        y = 2\nz").replace("        y", "    y"))
     return table(spark, d, "documents").select("doc_id", C.rewrite(code, ["remove_indent"])["code"].alias("code"))
+
+
+@query(f"SELECT doc_id, CASE doc_id % 2 WHEN 0 THEN {template('var_0 = {doc_id}')} END AS code, doc_id % 2 = 1 AS failed FROM documents")
+def pipeline_transform_code(spark, d):
+    """The variant with core rewrites (names are among them) that always writes the tree out again; an error leaves no code."""
+    code = F.expr(f"CASE WHEN doc_id % 2 = 0 THEN {template('    x = ({doc_id})  # why')} ELSE 'def (' END")
+    rows = spread(table(spark, d, "documents").select("doc_id", code.alias("code")))
+    return rows.select("doc_id", C.pipeline_rewrite(F.col("code"), ["drop_comments"]).alias("r")).select("doc_id", "r.code", F.col("r.error").isNotNull().alias("failed"))
+
+
+_CSR = "for i in range({doc_id}):\n    for k in range(ptr[i], ptr[i + 1]):\n        y[i] += data[k] * x[col[k]]"
+_CSR_FLAT = "i = 0\nfor k in range(ptr[0], ptr[{doc_id}]):\n    while k >= ptr[i + 1]:\n        i += 1\n    y[i] += data[k] * x[col[k]]"
+
+
+@query(f"SELECT doc_id, {template(_CSR_FLAT)} AS code FROM documents")
+def tx_loop_standard_rows(spark, d):
+    """Loops over the rows of a compressed sparse matrix."""
+    rows = spread(table(spark, d, "documents").select("doc_id", F.expr(template(_CSR)).alias("code")))
+    return rows.select("doc_id", C.rewrite(F.col("code"), ["loop_standard"])["code"].alias("code"))
+
+
+@query(
+    """SELECT count_if(doc_id % 3 < 2)::BIGINT AS total_files, count_if(doc_id % 3 = 0)::BIGINT AS verified_files, count_if(doc_id % 3 = 0)::BIGINT AS compiled_files,
+    count_if(doc_id % 3 = 1)::BIGINT AS parse_error_files, 0::BIGINT AS failed_rewrites FROM documents"""
+)
+def end_to_end(spark, d):
+    """All steps over a program for each document: valid ones, ones that the stand-in verifier rejects, and blank ones."""
+    code = F.expr(f"CASE doc_id % 3 WHEN 0 THEN {template('x = {doc_id}')} WHEN 1 THEN {template('print({doc_id})')} ELSE '  ' END")
+    programs = spread(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("in/p"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), code.alias("code"), F.col("doc_id").alias("seq")))
+    steps = workflow.run(programs, BrokenSpecs("You write specifications.", "Specify:\n{code}"), SyntaxVerifier(), ["drop_comments"])
+    failed = steps["failed"].agg(F.count(F.lit(1)).alias("failed_rewrites"))
+    return steps["report"].select("total_files", "verified_files", "compiled_files", "parse_error_files").crossJoin(F.broadcast(failed))  # two rows of totals
+
+
+class BrokenSpecs(EchoSpecs):
+    """Specifications that are no program where the code prints."""
+
+    def specify(self, codes):
+        return super().specify(["def (" if c.startswith("print") else c for c in codes])

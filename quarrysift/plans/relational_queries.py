@@ -410,7 +410,7 @@ def analysis_subsets(spark, d):
     sizes = docs.select(F.concat(F.lit("size_"), P.size_class(F.col("text"))).alias("subset"), "doc_id")
     types = docs.select(P.repo_type(F.expr(REPO)).alias("t"), "doc_id")
     large = types.groupBy("t").count().where("count >= 10").select("t")
-    kinds = types.join(F.broadcast(large), "t").select(F.concat(F.lit("type_"), F.col("t")).alias("subset"), "doc_id")  # seven kinds at most
+    kinds = types.join(large, "t").select(F.concat(F.lit("type_"), F.col("t")).alias("subset"), "doc_id")
     return sizes.unionByName(kinds).unionByName(docs.select("doc_id").orderBy("doc_id").limit(100).select(F.lit("first_100").alias("subset"), "doc_id"))
 
 

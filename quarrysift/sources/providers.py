@@ -33,6 +33,16 @@ class StubSpecs:
         return [f"// spec of {len(c or '')} characters" for c in codes]
 
 
+class EchoSpecs:
+    """The code itself as the specification, in a fenced block below the prompt; a prompt is a template with {code}."""
+
+    def __init__(self, system: str, user: str):
+        self.system, self.user = system, user
+
+    def specify(self, codes: list[str]) -> list[str]:
+        return [f"{self.system}\n{self.user.replace('{code}', '')}\n```dafny\n{c or ''}\n```" for c in codes]
+
+
 class SyntaxVerifier:
     """Says that a program is verified if it is valid Python, in the words of a verifier's log."""
 

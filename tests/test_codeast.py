@@ -105,3 +105,26 @@ def test_slices():
     assert A.slice_functions("K = 'xxxxxxxxxx'\ndef a(): return K", most=5)[0]["needed_consts"] == []
     assert A.split_top_level("") == [] and A.split_top_level("x = ") == [(None, "x =\n")]
     assert [f["docstring"] for f in A.extract_functions("def a():\n    '''d'''\n    def b(): pass")] == ["d", ""]
+
+
+def test_rows_of_sparse_matrices():
+    code = "def f(ptr, data):\n    y = [0] * 4\n    for i in range(4):\n        for k in range(ptr[i], ptr[i + 1]):\n            if data[k] < 0:\n                continue\n            y[i] += data[k]\n    return y"
+    out = A.transform_code(code, ["loop_standard"])[0]
+    assert "while k >= ptr[i + 1]" in out and out.count("for ") == 1
+    for ptr, data in (([0, 2, 2, 3, 5], [1, -2, 3, 4, 5]), ([0, 0, 0, 0, 0], []), ([0, 0, 0, 0, 2], [7, 8])):
+        spaces = [{}, {}]
+        for text, space in zip((code, out), spaces):
+            exec(text, space)  # noqa: S102
+        assert spaces[0]["f"](ptr, data) == spaces[1]["f"](ptr, data)
+    for other in (code.replace("i + 1", "i + 2"), code.replace("continue", "break"), code.replace("y[i] += data[k]", "ptr[i] = 1"), code.replace("range(ptr[i], ptr[i + 1])", "range(ptr[i], end[i + 1])")):
+        assert "while" not in A.transform_code(other, ["loop_standard"])[0]
+
+
+def test_pipeline_code():
+    code = "    if a:\n        x = (1)  # c\n    else:\n        return_ = 2"
+    assert A.pipeline_code(code, ["drop_comments"], include_core=False) == ("if a:\n    x = 1\nelse:\n    return_ = 2", None)
+    assert A.pipeline_code("def (")[0] is None and A.pipeline_code("def (", keep=True)[0] == "def ("
+    assert A.pipeline_code("x = 1 # c", ["nothing"], include_core=False) == ("x = 1", None)
+    assert A.pipeline_code("x = 1")[1] is None  # all rewrites
+    big = A.slice_functions("K = 'xxxxxxxxxx'\ndef a(): return K", most=5)[0]
+    assert (big["needed_consts"], big["dropped_consts"]) == ([], ["K"])

@@ -186,3 +186,15 @@ def test_strip_is_python_s_and_linear(spark):
     began = time.perf_counter()
     spark.createDataFrame([("x" + " " * 400_000 + "y",)], "t string").select(F.length(X.content_hash(F.col("t"))), X.loc(F.col("t"))).collect()
     assert time.perf_counter() - began < 5
+
+
+def test_prompts(tmp_path):
+    from quarrysift.sources.prompts import load_prompts
+
+    for name, text in (("s.txt", " be exact \n"), ("u.txt", "Specify:\n{code}\n"), ("v.txt", "other {code}")):
+        (tmp_path / name).write_text(text)
+    at = lambda n: str(tmp_path / n)
+    assert load_prompts(at("s.txt"), f"file://{at('u.txt')}", {}) == ("be exact", "Specify:\n{code}\n")
+    assert load_prompts(at("s.txt"), at("u.txt"), {"PROMPT_TEMPLATE": at("v.txt"), "USER_PROMPT_TEMPLATE": ""})[1] == "other {code}"
+    with pytest.raises(FileNotFoundError):
+        load_prompts(at("none.txt"), at("u.txt"), {})
