@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from quarrysift.llm._common import Scratch, text_of, without_spaces
 from quarrysift.operators.skew import join_groups
+from quarrysift.session import spread
 
 #: For ranking rows by (longest text, smallest id) in one number, which a hash aggregate can update in place.
 _ID_BASE = Decimal(2**63)
@@ -21,7 +22,7 @@ def _sha256(text: Column) -> Column:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str, normalise: Callable[[Column], Column], digest: Callable[[Column], Column], *payload: Column) -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"), *payload)
+    rows = spread(docs).select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"), *payload)
     more = ["row"] if payload else []
     rows = rows.select("id", F.length("text").alias("chars"), normalise(F.col("text")).alias("norm"), *more)
     return rows.select("id", "chars", digest(F.col("norm")).alias("digest"), "norm", *more)
