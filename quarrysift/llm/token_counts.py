@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrysift.llm._common import bounded_batches, text_of
+from quarrysift.session import spread
 
 RULES = ("first", "last", "share")
 
@@ -80,7 +81,7 @@ def token_counts(docs: DataFrame, ranks_path: str, pattern: str, rule: str = "fi
     bounded_batches(docs.sparkSession)
     given = sections is not None
     spans = sections.cast("array<struct<start:bigint,end:bigint>>") if given else F.lit(None).cast("array<struct<start:bigint,end:bigint>>")
-    rows = docs.select(F.col(id_col), text_of(text_col).alias("text"), spans.alias("spans"))
+    rows = spread(docs.select(F.col(id_col), text_of(text_col).alias("text"), spans.alias("spans")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = OffsetEncoder(ranks_path, pattern)
