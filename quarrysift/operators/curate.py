@@ -112,18 +112,21 @@ def stratified_split(df: DataFrame, strata: list[str], seed: int, ids: list[str]
     return placed.select(*df.columns, split.alias("split"))
 
 
-def plan_batch(repos: DataFrame, counts: DataFrame, target: int, batch: int, most_repos: int = 10) -> DataFrame:
+def plan_batch(repos: DataFrame, counts: DataFrame, target: int, batch: int, most_repos: int = 10, past_target: bool = False) -> DataFrame:
     """The least collected repositories and how many programs each should give: repo, collected, per_repo, batch_size, status.
 
-    repos: (repo, seq); counts: (repo, collected). Without anything left, no repositories and status target_reached.
+    repos: (repo, seq); counts: (repo, collected); a null repo is one like any other, a null seq comes last. Without anything
+    left, no repositories, which is status target_reached. With past_target the repositories are listed then too: batch_size
+    is what is left, 0 or less.
     """
-    have = repos.join(counts, "repo", "left").select("repo", "seq", F.coalesce("collected", F.lit(0)).cast("long").alias("collected"))
+    have = repos.join(counts.withColumnRenamed("repo", "__repo"), F.col("repo").eqNullSafe(F.col("__repo")), "left").select("repo", "seq", F.coalesce("collected", F.lit(0)).cast("long").alias("collected"))
     total = counts.agg(F.coalesce(F.sum("collected"), F.lit(0)).cast("long").alias("total"))
-    least = have.orderBy("collected", "seq").limit(most_repos)
+    least = have.orderBy("collected", F.asc_nulls_last("seq"), "repo").limit(most_repos)
     n = least.agg(F.count(F.lit(1)).alias("n"))
-    size = F.greatest(F.lit(0).cast("long"), F.least(F.lit(batch).cast("long"), F.lit(target) - F.col("total")))
+    size = F.least(F.lit(batch).cast("long"), F.lit(target) - F.col("total"))
     sized = least.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(n)).withColumn("batch_size", size)  # two rows of scalars
-    return sized.where("batch_size > 0").select("repo", "collected", "batch_size", F.greatest(F.lit(1).cast("long"), F.floor(F.col("batch_size") / F.col("n")).cast("long")).alias("per_repo"), F.lit("planned").alias("status"))
+    planned = sized if past_target else sized.where("batch_size > 0")
+    return planned.select("repo", "collected", "batch_size", F.greatest(F.lit(1).cast("long"), F.floor(F.col("batch_size") / F.col("n")).cast("long")).alias("per_repo"), F.lit("planned").alias("status"))
 
 
 def positional_join(left: DataFrame, right: DataFrame, left_seq: str, right_seq: str) -> DataFrame:

@@ -101,6 +101,27 @@ def test_plan_reached(spark):
     assert [tuple(r)[:4] for r in curate.plan_batch(repos, counts, 95, 10).orderBy("repo").collect()] == [("a", 90, 5, 2), ("b", 0, 5, 2)]
 
 
+def test_plan_past_the_target_and_null_repo(spark):
+    counts = spark.createDataFrame([(None, 120), ("a", 3)], "repo string, collected int")
+    repos = spark.createDataFrame([(None, 1), ("a", 2), ("b", None), ("c", 4)], "repo string, seq int")
+    plan = lambda target, *a: sorted((tuple(r)[:4] for r in curate.plan_batch(repos, counts, target, 10, *a).collect()), key=str)
+    assert plan(100, 10, True) == sorted([(None, 120, -23, 1), ("a", 3, -23, 1), ("b", 0, -23, 1), ("c", 0, -23, 1)], key=str) and plan(100) == []
+    assert plan(200, 1) == [("c", 0, 10, 10)] and (None, 120, 10, 2) in plan(200)
+
+
+def test_planned_query_is_its_sql_past_the_target(spark, tmp_path):
+    import __spark_entry__ as entry
+    import duckdb
+
+    spark.range(100_300).selectExpr("id AS doc_id", "CASE WHEN id % 14 > 0 THEN 's' || cast(id * id % 14 AS string) END AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    columns = ("repo", "collected", "batch_size", "per_repo", "status")
+    got = entry.catalog.QUERIES["plan_next_batch"](spark, str(tmp_path)).select(*columns).collect()
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({entry.catalog.SQL['plan_next_batch']})").fetchall()
+    assert len(want) > 3 and sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_container_shapes(spark, tmp_path):
     import json
 
