@@ -64,8 +64,9 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(rows, str(BATCH_ROWS))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id string, label int, text binary) of at most `most` labelled documents for which usable holds, drawn by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column, most: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id string, label int, text binary) of at most `most` labelled documents for which usable holds, drawn by a hash of the id;
+    of all of them if `most` is None.
 
     Ids can be of any type; null ids have no label. Of several labels of one id the largest counts, of several texts the one
     with the least hash, so the bound holds for rows and their order of drawing is the same on every run. Labels other than
@@ -73,7 +74,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, usable:
     """
     bounded_batches(docs.sparkSession)
     few = labels.where(usable & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
-    few = few.orderBy(hash_key(F.col("id")), "id").limit(most)  # ids and labels of at most `most` rows: small enough to broadcast
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(few), "id")
+    if most is not None:
+        few = F.broadcast(few.orderBy(hash_key(F.col("id")), "id").limit(most))  # ids and labels of at most `most` rows
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(few, "id")
     once = rows.groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     return once.select(F.col("id").cast("string").alias("id"), "label", F.col("text").cast("binary").alias("text"))

@@ -2,24 +2,30 @@
 
 Preference pairs (a good and a bad document) say which of two documents is better; the chance of that is the logistic
 function of the difference of their scores, which are linear in a text's features: surface measures and hashed n-grams of words
-and bytes. The cut between good and bad is the
-quantile of the labelled sample's scores at its share of bad documents.
+and bytes. All pairs of all labelled documents count. The cut between good and bad is the exact
+quantile of all labelled documents' scores at their share of bad ones.
+
+A fit is a sequence of passes over the features, a table: what blocks of rows give is added up, one small array for each task.
+A document's part in the gradient depends on the distribution of the other label's scores alone, so the pairs are never formed.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from operator import eq
+from functools import reduce
+from operator import add, eq
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrysift.llm._common import bounded_batches, text_of
+from quarrysift.llm._common import Scratch, bounded_batches, text_of
 from quarrysift.session import spread
 
 _SYMBOLS, _UPPER, _DIGITS, _ENDS = b"#*$%&<>", bytes(range(65, 91)), b"0123456789", b".?:;"
@@ -29,6 +35,14 @@ BUCKETS = 256
 KINDS = 4
 SURFACE = 12
 SIZE = SURFACE + KINDS * BUCKETS
+#: The features of so many rows at most (some 30 MB) are passed over on the driver, more by jobs; the steps are the same.
+LOCAL_ROWS, BLOCK = 8192, 1024
+#: So many tasks' arrays at most come to the driver or to one task that adds them up.
+FAN_IN = 64
+#: Chances of pairs are known at scores this far apart, and linear in between (off by less than 1e-5).
+GRID = 1 / 64
+#: A quantile is looked for in so many ranges at once, until one has so few rows.
+RANGES = 4096
 
 
 def surface(text: bytes, words: list[bytes]) -> list[float]:
@@ -85,60 +99,216 @@ class Model:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, raw + math.log(self.cut_score / (1 - self.cut_score))))))
 
 
+def minimum(gradient: Callable[[np.ndarray], np.ndarray], curvature: np.ndarray, steps: int, least: float = 1e-5) -> np.ndarray:
+    """Where a strictly convex function is least, from its gradient alone, by quasi-Newton steps (L-BFGS) from zero.
+
+    curvature: about that of each coordinate. A step that goes too far, where the slope along it rises again, is shortened by
+    secants. Ends when no coordinate of the gradient is above `least`, or after so many steps.
+    """
+    w = np.zeros(len(curvature))
+    g, past = gradient(w), []
+    for _ in range(steps):
+        if np.abs(g).max() <= least:
+            break
+        step, parts = -g, []
+        for moved, change in reversed(past):
+            parts.append(moved @ step / (moved @ change))
+            step = step - parts[-1] * change
+        step = step / curvature * (past[-1][0] @ past[-1][1] / (past[-1][1] @ (past[-1][1] / curvature)) if past else 1.0)
+        for (moved, change), part in zip(past, reversed(parts)):
+            step = step + (part - change @ step / (moved @ change)) * moved
+        slope, rate = g @ step, 1.0
+        for _ in range(20):
+            ahead = gradient(w + rate * step)
+            end = ahead @ step
+            if end <= -0.9 * slope:
+                break
+            rate *= slope / (slope - end)
+        if (ahead - g) @ step > 0:
+            past = [*past[-49:], (rate * step, ahead - g)]
+        w, g = w + rate * step, ahead
+    return w
+
+
 def preference_weights(z: np.ndarray, good: np.ndarray, bad: np.ndarray, ridge: float, steps: int = 200) -> np.ndarray:
-    """w that minimises the mean of log(1 + exp(-(z[good] - z[bad]) w)) + ridge / 2 * w w, by accelerated gradient steps.
+    """w that minimises the mean of log(1 + exp(-(z[good] - z[bad]) w)) + ridge / 2 * w w, for given pairs in memory.
 
     A pair's gradient is that of its two documents' scores, so the differences themselves are never formed.
     """
-    w = ahead = np.zeros(z.shape[1])
-    # The curvature is at most a quarter of the mean squared length of the differences.
-    rate = 1 / (float(np.mean(((z[good[:2000]] - z[bad[:2000]]) ** 2).sum(axis=1))) / 4 + ridge)
-    momentum = 1.0
-    for _ in range(steps):
-        s = z @ ahead.astype(z.dtype)  # in the numbers of z, which then isn't copied
+
+    def gradient(w: np.ndarray) -> np.ndarray:
+        s = z @ w
         p = 1 / (1 + np.exp(np.clip(s[good] - s[bad], -30, 30))) / len(good)
-        pull = np.bincount(good, p, len(z)) - np.bincount(bad, p, len(z))
-        step = ahead + rate * (pull.astype(z.dtype) @ z - ridge * ahead)
-        later = (1 + math.sqrt(1 + 4 * momentum**2)) / 2
-        ahead = step + (momentum - 1) / later * (step - w)
-        if np.abs(step - w).max() < 1e-7:
-            return step
-        w, momentum = step, later
-    return w
+        return (np.bincount(bad, p, len(z)) - np.bincount(good, p, len(z))) @ z + ridge * w
+
+    return minimum(gradient, z.var(axis=0) / 2 + ridge, steps)
+
+
+# ---- passes over all labelled rows --------------------------------------------------------------------------------------
+
+
+class Rows:
+    """The labels and features of all rows, in blocks: over(f, add) adds up f(labels, features) of all blocks."""
+
+    def __init__(self, table: DataFrame):
+        self.table, self.blocks = table, None
+        if table.limit(LOCAL_ROWS + 1).count() <= LOCAL_ROWS:
+            rows = sorted(table.collect(), key=lambda r: (r["id"] or "", r["label"], r["text"]))  # in an order that doesn't depend on the tasks
+            parts = [rows[i : i + BLOCK] for i in range(0, len(rows), BLOCK)]
+            self.blocks = [(np.array([r["label"] for r in part]), np.frombuffer(b"".join(r["x"] for r in part), np.float32).reshape(-1, SIZE)) for part in parts]
+
+    def over(self, f: Callable[[np.ndarray, np.ndarray], Any], add: Callable[[Any, Any], Any] = add) -> Any:
+        """None without rows."""
+        if self.blocks is not None:
+            return reduce(add, (f(y, x.astype(float)) for y, x in self.blocks)) if self.blocks else None
+
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for b in batches:
+                labels, values = b.column("label").to_numpy(), b.column("x")
+                _, starts, data = values.buffers()
+                first = int(np.frombuffer(starts, np.int64 if pa.types.is_large_binary(values.type) else np.int32)[values.offset]) if len(values) else 0
+                x = np.frombuffer(data, np.float32, len(values) * SIZE, first).reshape(-1, SIZE) if len(values) else np.zeros((0, SIZE))
+                for i in range(0, len(x), BLOCK):
+                    part = f(labels[i : i + BLOCK], x[i : i + BLOCK].astype(float))
+                    total = part if total is None else add(total, part)
+            yield from _sent(total)
+
+        def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for b in batches:
+                for part in map(pickle.loads, b.column("part").to_pylist()):
+                    total = part if total is None else add(total, part)
+            yield from _sent(total)
+
+        parts, tasks = self.table.select("label", "x").mapInArrow(measure, "part binary"), self.table.rdd.getNumPartitions()
+        while tasks > FAN_IN:
+            tasks = -(-tasks // FAN_IN)
+            parts = parts.repartition(tasks).mapInArrow(join, "part binary")
+        found = [pickle.loads(r["part"]) for r in parts.collect()]
+        return reduce(add, found) if found else None
+
 
+def _sent(total: Any) -> Iterator[pa.RecordBatch]:
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(total)], pa.binary())], names=["part"])
 
-def train(sample: DataFrame, pairs: int = 200_000, ridge: float = 1e-3, cut_score: float = 0.3, seed: int = 5) -> Model:
-    """The model from (id, label, text) rows, a bounded sample with ids of any type (labelled_sample); pairs bounds the
-    preference pairs. Without both labels all scores are cut_score.
 
-    Surface measures are brought to one spread each; hashed ones are only centred, so that rare buckets stay small.
+def placed(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The last point of the grid that isn't above each score, and how far to the next one the score is."""
+    at = np.floor(s / GRID)
+    return at.astype(np.int64), s / GRID - at
+
+
+def spectrum(y: np.ndarray, s: np.ndarray) -> tuple[int, np.ndarray]:
+    """The first point of the grid and the scores of bad (row 0) and good documents (row 1) dealt to their two points."""
+    at, part = placed(s)
+    first = int(at.min())
+    at, size = at - first, int(at.max()) - first + 2
+    return first, np.stack([np.bincount(at[y == k], 1 - part[y == k], size) + np.bincount(at[y == k] + 1, part[y == k], size) for k in (0, 1)])
+
+
+def joined(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> tuple[int, np.ndarray]:
+    first = min(a[0], b[0])
+    both = np.zeros((2, max(a[0] + a[1].shape[1], b[0] + b[1].shape[1]) - first))
+    for start, counts in (a, b):
+        both[:, start - first : start - first + counts.shape[1]] += counts
+    return first, both
+
+
+def lost_pairs(counts: np.ndarray) -> np.ndarray:
+    """For a bad (row 0) and a good document (row 1) at each point: the chance to win (lose) against those of the other label,
+    summed over them, by the convolution of their scores with the logistic function."""
+    n = counts.shape[1]
+    kernel = 1 / (1 + np.exp(-np.clip(np.arange(1 - n, n) * GRID, -700, 700)))
+    size = 1 << (3 * n).bit_length()
+    won = np.fft.irfft(np.fft.rfft(counts, size) * np.fft.rfft(kernel, size), size)[:, n - 1 : 2 * n - 1]
+    return np.stack([won[1], counts[0].sum() - won[0]])
+
+
+def all_pairs_weights(rows: Rows, mean: np.ndarray, scale: np.ndarray, curvature: np.ndarray, ridge: float, steps: int) -> np.ndarray:
+    """preference_weights of z = (features - mean) / scale for each pair of a good and a bad row; two passes for a gradient."""
+
+    def gradient(w: np.ndarray) -> np.ndarray:
+        own, base = w / scale, float(mean @ (w / scale))
+        first, counts = rows.over(lambda y, x: spectrum(y, x @ own - base), joined)
+        pulls = lost_pairs(counts) / counts[0].sum() / counts[1].sum() * np.array([[1.0], [-1.0]])
+
+        def pull(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+            at, part = placed(x @ own - base)
+            # A score that is rounded otherwise than before can be one point off.
+            at = np.clip(at - first, 0, pulls.shape[1] - 2)
+            p = pulls[y, at] * (1 - part) + pulls[y, at + 1] * part
+            return np.append(p @ x, p.sum())
+
+        total = rows.over(pull)
+        return (total[:-1] - mean * total[-1]) / scale + ridge * w
+
+    return minimum(gradient, curvature, steps)
+
+
+def quantile(rows: Rows, weights: np.ndarray, base: float, share: float, n: int) -> float:
+    """numpy's quantile of all n scores (features @ weights - base), exactly: ranges are counted and parted until one has few rows."""
+    place = share * (n - 1)
+    k = int(place)
+    ends = rows.over(lambda y, x: np.array([-(x @ weights).min(), (x @ weights).max()]), np.maximum)
+    edges = np.unique(np.linspace(-ends[0] - base, ends[1] - base, RANGES + 1))
+    while True:
+        counts = rows.over(lambda y, x: np.bincount(np.searchsorted(edges, x @ weights - base, "right"), minlength=len(edges) + 1))  # noqa: B023
+        upto = np.cumsum(counts)
+        j = max(1, int(np.searchsorted(upto, k, "right")))
+        low, high = edges[j - 1], edges[j] if j < len(edges) else np.inf
+        if counts[j] <= RANGES or high == np.inf or np.nextafter(low, np.inf) >= high:
+            break
+        edges = np.unique(np.linspace(low, high, RANGES + 1))
+
+    def values(y: np.ndarray, x: np.ndarray) -> tuple[dict[float, int], float]:
+        s = x @ weights - base
+        found, times = np.unique(s[(s >= low) & (s < high)], return_counts=True)
+        return dict(zip(found.tolist(), times.tolist())), float(s[s >= high].min(initial=np.inf))
+
+    def both(a: tuple[dict[float, int], float], b: tuple[dict[float, int], float]) -> tuple[dict[float, int], float]:
+        return {v: a[0].get(v, 0) + b[0].get(v, 0) for v in a[0].keys() | b[0].keys()}, min(a[1], b[1])
+
+    times, after = rows.over(values, both)
+    found = sorted(times)
+    ordered = np.cumsum([times[v] for v in found])
+    at = lambda i: (*found, after)[int(np.searchsorted(ordered, i - int(upto[j - 1]), "right"))]
+    return at(k) if place == k else at(k) + (place - k) * (at(k + 1) - at(k))
+
+
+def train(labelled: DataFrame, ridge: float = 1e-3, cut_score: float = 0.3, steps: int = 100, owner: Scratch | None = None) -> Model:
+    """The model from all (id, label, text) rows with ids of any type (labelled_sample). Without both labels all scores are
+    cut_score.
+
+    Surface measures are brought to one spread each; hashed ones are only centred, so that rare buckets stay small. The features
+    are written once, some 4 KB a row, and gone after the fit.
     """
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([features(t) for t in b.column("text").to_pylist()], np.float32).reshape(-1, SIZE)
-            hashed = [zlib.crc32(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array(hashed, pa.int64()), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "label", "text", "x"])
-
-    # A few kilobytes for each row of a bounded sample, in an order that doesn't depend on the tasks.
-    rows = sorted(sample.select(F.col("id").cast("string").alias("id"), "label", "text").mapInArrow(measure, "id string, label int, text long, x binary").collect(), key=lambda r: (r["id"] or "", r["label"], r["text"]))
-    y = np.array([r["label"] for r in rows])
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    if not len(good) or not len(bad):
-        return Model(np.zeros(SIZE), 0.0, cut_score)
-    x = np.frombuffer(b"".join(r["x"] for r in rows), np.float32).reshape(-1, SIZE)
-    del rows
-    mean, scale = x.mean(axis=0), np.ones(SIZE, np.float32)
-    scale[:SURFACE] = np.maximum(x[:, :SURFACE].std(axis=0), 1e-6)
-    z = x - mean
-    z /= scale
-    del x
-    random = np.random.default_rng(seed)
-    n = min(pairs, len(good) * len(bad))
-    weights = preference_weights(z, random.choice(good, n), random.choice(bad, n), ridge)
-    cut = float(np.quantile(z @ weights.astype(z.dtype), len(bad) / len(y)))
-    own = weights / scale
-    return Model(own, float(mean @ own) + cut, cut_score)
+            texts = b.column("text").to_pylist()
+            for i in range(0, len(texts), BLOCK):
+                own = b.slice(i, BLOCK)
+                x = [features(t).astype(np.float32).tobytes() for t in texts[i : i + BLOCK]]
+                yield pa.RecordBatch.from_arrays([own.column("id"), own.column("label"), pa.array(map(zlib.crc32, texts[i : i + BLOCK]), pa.int64()), pa.array(x, pa.binary())], names=["id", "label", "text", "x"])
+
+    bounded_batches(labelled.sparkSession)
+    scratch = Scratch(labelled.sparkSession, owner)
+    rows = Rows(scratch.keep(labelled.select(F.col("id").cast("string").alias("id"), "label", "text").mapInArrow(measure, "id string, label int, text long, x binary"), "features"))
+    sums = rows.over(lambda y, x: np.stack([np.append(x.sum(axis=0), [len(y), y.sum()]), np.append((x * x).sum(axis=0), [0, 0])]))
+    model = Model(np.zeros(SIZE), 0.0, cut_score)
+    if sums is not None and 0 < sums[0, -1] < sums[0, -2]:
+        n, good = int(sums[0, -2]), int(sums[0, -1])
+        mean, scale = sums[0, :-2] / n, np.ones(SIZE)
+        variance = np.maximum(sums[1, :-2] / n - mean**2, 0.0)
+        scale[:SURFACE] = np.maximum(np.sqrt(variance[:SURFACE]), 1e-6)
+        own = all_pairs_weights(rows, mean, scale, variance / scale**2 / 2 + ridge, ridge, steps) / scale
+        base = float(mean @ own)
+        model = Model(own, base + quantile(rows, own, base, (n - good) / n, n), cut_score)
+    if owner is None:
+        scratch.close()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ from quarrysift.llm import chat_format, exact_dedup, mixing, near_dedup, packing
 from quarrysift.llm._common import Scratch, labelled_sample, table
 
 
-#: At most so many labelled documents are learned from, drawn by a hash of their id.
+#: Toxicity learns from at most so many labelled documents, drawn by a hash of their id.
 SAMPLE = 12_000
 
 
@@ -90,8 +90,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    sample = Scratch(spark).keep(labelled_sample(docs, labels, "quality", _remainder(5) != 0, SAMPLE), "sample")
-    scored = quality_classifier.score(docs, quality_classifier.train(sample))
+    labelled = labelled_sample(docs, labels, "quality", _remainder(5) != 0, None)
+    scored = quality_classifier.score(docs, quality_classifier.train(labelled))
     return scored.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 

@@ -167,3 +167,58 @@ def test_quality_is_reproducible(spark, words):
     got = QC.score(spark.createDataFrame(texts, "doc_id long, text string"), a).collect()
     plain = [a.score(QC.features((t or "").encode())) for _, t in texts]
     assert sorted(r.score for r in got) == pytest.approx(sorted(plain))
+
+
+def measured(spark, rows):
+    """A table of features like that which the fit writes, in several files, and the features themselves."""
+    x = [QC.features(t.encode()).astype(np.float32) for _, _, t in rows]
+    table = spark.createDataFrame([(str(i), y, zlib.crc32(t.encode()), bytearray(v.tobytes())) for (i, y, t), v in zip(rows, x)], "id string, label int, text long, x binary")
+    return table.repartition(5), np.array(x, float)
+
+
+@pytest.mark.parametrize("way", ["driver", "jobs"])
+def test_fit_and_cut_are_of_all_pairs_and_rows(spark, words, monkeypatch, way):
+    """Against all pairs one by one and numpy's quantile; jobs add up in two levels, and the quantile parts its ranges."""
+    monkeypatch.setattr(QC, "LOCAL_ROWS", 1000 if way == "driver" else 10)
+    monkeypatch.setattr(QC, "FAN_IN", 2)
+    monkeypatch.setattr(QC, "RANGES", 8)
+    monkeypatch.setattr(QC, "BLOCK", 7)
+    rows = [(i, int(i % 3 > 0), words(20) if i % 3 else " ".join(w + "#" * (i % 2) for w in words(20).split())) for i in range(90)]
+    table, x = measured(spark, rows)
+    kept = QC.Rows(table)
+    assert (kept.blocks is None) == (way == "jobs")
+    y, mean, scale = np.array([r[1] for r in rows]), x.mean(axis=0), np.ones(QC.SIZE)
+    scale[: QC.SURFACE] = np.maximum(x[:, : QC.SURFACE].std(axis=0), 1e-6)
+    good, bad = (a.ravel() for a in np.meshgrid(np.flatnonzero(y == 1), np.flatnonzero(y == 0)))
+    z = (x - mean) / scale
+    want = QC.preference_weights(z, good, bad, 0.05, 500)
+    got = QC.all_pairs_weights(kept, mean, scale, z.var(axis=0) / 2 + 0.05, 0.05, 15 if way == "jobs" else 500)
+    assert z @ got == pytest.approx(z @ want, abs=0.05 if way == "jobs" else 2e-3)
+    for share in (0.0, 1 / 3, 0.5, 1.0) if way == "driver" else (1 / 3,):
+        assert QC.quantile(kept, got / scale, float(mean @ (got / scale)), share, 90) == pytest.approx(np.quantile(z @ got, share))
+    assert QC.quantile(kept, np.zeros(QC.SIZE), 0.0, 0.3, 90) == 0.0
+
+
+def test_chances_of_pairs_are_close():
+    rng = np.random.default_rng(2)
+    s, y = rng.normal(size=400) * 6, rng.integers(0, 2, 400)
+    first, counts = QC.joined(QC.spectrum(y[:100], s[:100]), QC.spectrum(y[100:], s[100:]))
+    at, part = QC.placed(s)
+    table = QC.lost_pairs(counts)
+    got = table[y, at - first] * (1 - part) + table[y, at - first + 1] * part
+    lost = 1 / (1 + np.exp(-(s[:, None] - s[None, :]) * np.where(y, -1, 1)[:, None])) * (y[:, None] != y[None, :])
+    assert got / len(s) == pytest.approx(lost.sum(axis=1) / len(s), abs=1e-5)
+
+
+def test_quality_learns_from_every_usable_label(spark, monkeypatch):
+    """No bound on labels: the fit gets all of them, however many are usable."""
+    from quarrysift.llm import queries
+
+    monkeypatch.setattr(queries, "SAMPLE", 20)
+    fit, seen = QC.train, []
+    monkeypatch.setattr(QC, "train", lambda sample: (seen.append(sorted(r.id for r in sample.collect())), fit(sample))[1])
+    where = "/root/testdata/sf0.001"
+    queries.op10_quality_classifier(spark, where)
+    labels = spark.read.parquet(f"{where}/labels.parquet").join(spark.read.parquet(f"{where}/documents.parquet"), "doc_id")
+    usable = [str(r.doc_id) for r in labels.where("quality in (0, 1)").collect() if zlib.crc32(str(r.doc_id).encode()) % 5]
+    assert seen == [sorted(usable)] and len(usable) > 20
